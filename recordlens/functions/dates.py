@@ -10,7 +10,7 @@ MS_PER_DAY = 86_400_000
 def as_date(c: Column | str) -> Column:
     """ISO date (or date-time) text as a date; NULL when it does not parse."""
     c = F.lit(c) if isinstance(c, str) else c
-    return F.coalesce(F.try_to_date(c, F.lit("yyyy-MM-dd")), F.try_to_timestamp(c).cast("date"))
+    return F.coalesce(F.try_to_date(c, "yyyy-MM-dd"), F.try_to_timestamp(c).cast("date"))
 
 
 def compact_to_iso(c: Column) -> Column:

@@ -14,6 +14,11 @@ def blank(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def strip(c: Column) -> Column:
+    """Text without surrounding white space of any kind."""
+    return F.btrim(blank(c), F.lit(" \t\r\n\f\x0b\u00a0"))
+
+
 def is_blank(c: Column) -> Column:
     return blank(c) == ""
 
@@ -39,7 +44,7 @@ def normalize_header(c: Column) -> Column:
 
 def loose(c: Column) -> Column:
     """Case- and padding-insensitive comparison form."""
-    return F.upper(F.trim(blank(c)))
+    return F.upper(strip(c))
 
 
 def _words(c: Column) -> Column:
@@ -75,7 +80,7 @@ def query_tokens(text: str) -> list[str]:
 
 def split_themes(c: Column) -> Column:
     return F.filter(
-        F.transform(F.split(blank(c), r"[;,/|]+"), lambda t: F.trim(t)), lambda t: t != ""
+        F.transform(F.split(blank(c), r"[;,/|]+"), strip), lambda t: t != ""
     )
 
 
@@ -111,11 +116,11 @@ def chapter_of(code: Column) -> Column:
 
 
 def is_true(c: Column) -> Column:
-    return F.trim(blank(c.cast("string"))).rlike(r"(?i)^(y|yes|true|1)$")
+    return strip(c.cast("string")).rlike(r"(?i)^(y|yes|true|1)$")
 
 
 def is_damaging(c: Column) -> Column:
-    t = F.lower(F.trim(blank(c.cast("string"))))
+    t = F.lower(strip(c.cast("string")))
     return (t != "") & ~t.rlike(r"^(n|no|none|no damage|0)$")
 
 

@@ -237,7 +237,7 @@ def airport_sets(flights: DataFrame) -> DataFrame:
 def report_themes() -> Column:
     """Themes of a report as stored: separated by semicolons only."""
     parts = F.split(text.blank(F.col("THEMES")), ";")
-    return F.filter(F.transform(parts, lambda t: F.trim(t)), lambda t: t != "")
+    return F.filter(F.transform(parts, text.strip), lambda t: t != "")
 
 
 def context_counts(entities: DataFrame, flights: DataFrame, reports: DataFrame,
@@ -296,8 +296,8 @@ def reference_join(rows: DataFrame, refs: dict[str, tuple[DataFrame, str, str, l
     out = rows
     for prefix, (ref, row_code, ref_code, cols) in refs.items():
         dim = ref.groupBy(F.col(ref_code).alias(f"_{prefix}")).agg(
-            F.max(F.struct(*cols)).alias("_s"))
-        dim = dim.select(f"_{prefix}", *[F.col("_s")[c].alias(f"{prefix}_{c}") for c in cols])
+            F.max(F.struct(*cols)).alias("_values"))
+        dim = dim.select(f"_{prefix}", *[F.col("_values")[c].alias(f"{prefix}_{c}") for c in cols])
         out = out.join(dim, F.col(row_code) == F.col(f"_{prefix}"), "left")
         out = out.withColumn(f"{prefix}_UNKNOWN", F.col(f"_{prefix}").isNull()).drop(f"_{prefix}")
         out = out.withColumns({f"{prefix}_{c}": text.blank(F.col(f"{prefix}_{c}").cast("string"))

@@ -63,35 +63,43 @@ def verified_streak(history: DataFrame, order: list[str]) -> DataFrame:
     return after.select("source", "streak", "probes")
 
 
-def group_runs(events: DataFrame, order: list[str], *, gap_ms: int = 5000, at_least: int = 3,
-               session: str = "sessionId", chunk_seconds: int = 3600) -> DataFrame:
-    """Collapses runs of the same type and branch, each event soon after the one before.
+def run_islands(events: DataFrame, order: list[str], *, gap_ms: int = 5000,
+                session: str = "sessionId", weight: str | None = None,
+                chunk_seconds: int = 3600) -> DataFrame:
+    """Runs of the same type and branch, each event soon after the one before.
 
-    Runs of three or more give their last event with the count; shorter runs keep every event.
-    A run carries at most its first and last event through the aggregation.
+    One row per run: session, run number, run_count, and the first and last event as structs; a run
+    of any length is merged as an aggregate. ``weight`` lets one row stand for several.
     """
-    ms = dates.epoch_ms(F.col("timestamp"))
-    e = events.withColumn("_ms", ms)
     chunk = time_chunk(F.col("timestamp"), chunk_seconds)
-    cols = ["eventType", "branchPath", "_ms"]
-    e = with_previous(e, [session], order, cols, chunk)
+    e = events.withColumn("_ms", dates.epoch_ms(F.col("timestamp")))
+    e = with_previous(e, [session], order, ["eventType", "branchPath", "_ms"], chunk)
     joined_up = (F.col("prev").isNotNull()
                  & F.col("eventType").eqNullSafe(F.col("prev.eventType"))
                  & F.col("branchPath").eqNullSafe(F.col("prev.branchPath"))
                  & (F.col("_ms") - F.col("prev._ms") < gap_ms))
     e = e.withColumn("_new", F.when(joined_up, 0).otherwise(1)).drop("prev", "_ms")
     e = with_running_total(e, [session], order, F.col("_new"), "_run", chunk).drop("_new")
-    row = F.struct(*events.columns)
+    row = F.struct(*[c for c in events.columns if c != weight])
     by = F.struct(*order)
-    runs = e.groupBy(session, "_run").agg(
-        F.count("*").alias("run_count"), F.min_by(row, by).alias("_first"),
-        F.max_by(row, by).alias("_last"))
+    n = F.count("*") if weight is None else F.sum(weight)
+    return e.groupBy(session, "_run").agg(
+        n.alias("run_count"), F.min_by(row, by).alias("_first"), F.max_by(row, by).alias("_last"))
+
+
+def show_runs(runs: DataFrame, columns: list[str], at_least: int = 3) -> DataFrame:
+    """Long runs as their last event with the count; the events of short runs one by one."""
     shown = F.when(F.col("run_count") == 2, F.array("_first", "_last")).otherwise(F.array("_last"))
     out = runs.select("run_count", F.explode(shown).alias("r"))
-    return out.select(
-        *[F.col("r")[c].alias(c) for c in events.columns],
-        (F.col("run_count") >= at_least).alias("grouped"),
-        F.when(F.col("run_count") >= at_least, F.col("run_count")).otherwise(1).alias("count"))
+    long = F.col("run_count") >= at_least
+    return out.select(*[F.col("r")[c].alias(c) for c in columns], long.alias("grouped"),
+                      F.when(long, F.col("run_count")).otherwise(1).alias("count"))
+
+
+def group_runs(events: DataFrame, order: list[str], *, gap_ms: int = 5000,
+               session: str = "sessionId") -> DataFrame:
+    """Activity feed: runs of three or more collapse to their last event with the count."""
+    return show_runs(run_islands(events, order, gap_ms=gap_ms, session=session), events.columns)
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

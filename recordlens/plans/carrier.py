@@ -37,8 +37,7 @@ def carrier_indicator(requests: DataFrame, census: DataFrame, crashes: DataFrame
     c = F.col
     units = numbers.int_or_zero(c("c.power_units"))
     drivers = numbers.int_or_zero(c("c.total_drivers"))
-    added = F.try_to_date(F.nullif(dates.compact_to_iso(c("c.add_date")), F.lit("")),
-                          F.lit("yyyy-MM-dd"))
+    added = F.try_to_date(F.nullif(dates.compact_to_iso(c("c.add_date")), F.lit("")), "yyyy-MM-dd")
     j = j.select(
         "dot_number", c("_dot").isNotNull().alias("known"), c("c.legal_name").alias("legal_name"),
         c("c.status_code").alias("status_code"),

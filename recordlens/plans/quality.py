@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recordlens.functions import dates, fixed, jsonpath, numbers, text
 from recordlens.operators import aggregates, ranking, sequences
@@ -379,11 +379,11 @@ def resolve_best(candidates: DataFrame, policy: str | dict = "standard", *, as_o
     top = ranking.rank_sources(candidates.filter("eligible"))
     gated = top.withColumn("reasons", policy_reasons(rules, as_of=as_of)).withColumn(
         "allowed", F.size("reasons") == 0)
-    approved = gated.filter("allowed").orderBy(F.desc("confidence"), *ranking.rank_order()).limit(4)
-    listed = approved.agg(F.collect_list(F.struct("capability_id", "confidence")).alias("a"))
-    picked = listed.select(F.posexplode("a").alias("i", "s")).select(
-        F.col("s.capability_id").alias("capability_id"), (F.col("i") + 1).alias("position"))
-    return gated.join(picked, "capability_id", "left").withColumn(
+    # ten rows at most, so a window without partitions is fine here
+    place = F.row_number().over(Window.partitionBy("allowed").orderBy(
+        F.desc("confidence"), *ranking.rank_order()))
+    placed = gated.withColumn("position", F.when(F.col("allowed") & (place <= 4), place))
+    return placed.withColumn(
         "decision", F.when(F.col("position") == 1, "approved")
         .when(F.col("position").isNotNull(), "fallback")
         .when(F.col("allowed"), "not needed").otherwise("rejected"))
@@ -395,20 +395,16 @@ def route_best(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
     At most ten candidates take part, as in the ranked search.
     """
     top = ranking.rank_sources(candidates.filter("eligible"))
-    good = top.filter((F.col("status") == "verified") & F.col("fresh"))
-    best = good.orderBy(*ranking.rank_order()).limit(1)
-    rank_key = F.struct(
-        -F.coalesce((F.col("status") == "verified") & F.col("fresh"), F.lit(False)).cast("int"),
-        -F.coalesce("success_rate_30d", F.lit(-1.0)), -F.col("match_score"),
-        F.col("latency_ms").isNull(), F.col("latency_ms"), F.col("capability_id"))
-    ranked = top.agg(F.array_sort(F.collect_list(  # ten rows at most
-        F.struct(rank_key.alias("k"), F.col("capability_id").alias("id")))).alias("r"))
+    w = Window.orderBy(*ranking.rank_order())  # ten rows at most
+    top = top.withColumn("_place", F.row_number().over(w))
+    best = top.filter((F.col("status") == "verified") & F.col("fresh")).orderBy("_place").limit(1)
+    ranked = top.agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("_place", F.col("capability_id").alias("id")))),
+        lambda x: x["id"]).alias("ranked"))
     declared = best.join(catalog.select("capability_id", "fallback_ids"), "capability_id", "left")
-    known = F.transform(F.col("r"), lambda x: x["id"])
-    out = declared.withColumn("_ranked", ranked.select(known).scalar())
     every = F.array_distinct(F.concat(
-        F.coalesce("fallback_ids", F.array().cast("array<string>")), F.col("_ranked")))
-    return out.select(
+        F.coalesce("fallback_ids", F.array().cast("array<string>")), ranked.scalar()))
+    return declared.select(
         "capability_id", "receipt_id", "status", "success_rate_30d",
         F.slice(F.array_remove(every, F.col("capability_id")), 1, 3).alias("fallbacks"))
 

@@ -40,6 +40,8 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         "latency_ms": "value",
         "status": "CASE WHEN event_type <> 'error' THEN 'verified' ELSE 'failed_checks' END",
         "schema_hash": "CASE WHEN event_type IN ('click', 'view') THEN event_type END",
+        "checks_passed": "CASE WHEN event_type <> 'error' THEN 3 ELSE 1 END",
+        "checks_total": "3",
     }),
     "v_registry": ("part", {
         "N_NUMBER": "'N' || CAST(p_partkey AS STRING)",
