@@ -171,8 +171,8 @@ SELECT entity, count(*) AS flights, count(*) FILTER (origin = dest) AS local, su
 FROM g GROUP BY entity
 """, views=("v_flights",))
 def activity_profile(t: Tables):
-    gaps = sequences.longest_gap(t.v_flights, ["SEQ"])
-    p = aggregates.activity_profile(t.v_flights, gaps, as_of=ORDERS_AS_OF)
+    p = aggregates.activity_profile(
+        sequences.with_flight_gap(t.v_flights, ["SEQ"]), as_of=ORDERS_AS_OF)
     return p.select(c("ENTITY").alias("entity"), "flights", "local", "minutes", "recent_90",
                     "recent_365", c("last_date").cast("string").alias("last_date"), "longest_gap",
                     (F.floor(c("local_share") * 1000000 + 0.5) / 1000000).alias("local_share"))

@@ -84,9 +84,13 @@ def split_themes(c: Column) -> Column:
     )
 
 
+def _sql(v: object) -> str:
+    return "'" + v.replace("'", "\\'") + "'" if isinstance(v, str) else str(v)
+
+
 def lookup(c: Column, table: dict[str, object], default: Column | None = None) -> Column:
     """Value of a small fixed code table; unknown codes give the default."""
-    m = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    m = F.expr("map(" + ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in table.items()) + ")")
     hit = F.try_element_at(m, c)
     return hit if default is None else F.coalesce(hit, default)
 

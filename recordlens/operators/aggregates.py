@@ -116,23 +116,30 @@ def inspection_rates(inspections: DataFrame, *, as_of: str, months: int = 24) ->
 
 
 # ------------------------------------------------------------------ activity
-def activity_profile(flights: DataFrame, gaps: DataFrame, *, as_of: str) -> DataFrame:
-    """Per mark: flight count, local share, mean minutes, recent counts, last date, longest gap."""
+def profile_aggregates(as_of: str) -> list[Column]:
+    """Per-mark sums over flights: counts, local flights, minutes, recent counts, last date."""
     d = dates.as_date(F.col("DATE"))
     age = dates.age_days(d, as_of)
-    mark = text.normalize_mark(F.col("N_NUMBER")).alias("ENTITY")
-    sums = flights.groupBy(mark).agg(
+    return [
         F.count("*").alias("flights"),
         F.count_if(F.col("ORIGIN") == F.col("DEST")).alias("local"),
         F.sum(F.coalesce(numbers.number(F.col("DURATION_MIN")), F.lit(0.0))).alias("minutes"),
         F.count_if(age.between(0, 90)).alias("recent_90"),
         F.count_if(age.between(0, 365)).alias("recent_365"),
         F.max(d).alias("last_date"),
-    )
-    return sums.join(gaps, "ENTITY", "left").withColumns({
+    ]
+
+
+def activity_profile(stepped: DataFrame, *, as_of: str, extra: list[Column] = ()) -> DataFrame:
+    """Per mark: flight counts, local share, mean minutes, last date and longest gap.
+
+    ``stepped`` are flights with the gap to the flight before (with_flight_gap).
+    """
+    sums = stepped.groupBy("ENTITY").agg(
+        *profile_aggregates(as_of), F.coalesce(F.max("gap"), F.lit(0)).alias("longest_gap"), *extra)
+    return sums.withColumns({
         "local_share": F.col("local") / F.col("flights"),
         "mean_minutes": F.col("minutes") / F.col("flights"),
-        "longest_gap": F.coalesce("longest_gap", F.lit(0)),
     })
 
 

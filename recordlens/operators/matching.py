@@ -61,21 +61,24 @@ def tail_events(entities: DataFrame, records: DataFrame) -> DataFrame:
 def or_key_join(entities: DataFrame, records: DataFrame) -> DataFrame:
     """Records with the entity's mark or its serial number, once each.
 
-    Two equi-joins whose results cannot overlap: the serial branch leaves out rows that the mark
-    branch already gives, so no distinct over the pairs is needed.
+    Both keys go into one typed key column, so one scan and one equi-join cover them. A record that
+    has the mark is not taken again by its serial, so no distinct over the pairs is needed.
     """
-    ents = entities.select(text.normalize_mark(F.col("N_NUMBER")).alias("ENTITY"),
-                           F.col("SERIAL_NUMBER").alias("ENTITY_SERIAL"))
-    recs = records.withColumn("_mark", text.normalize_mark(F.col("N_NUMBER")))
-    by_mark = recs.join(ents.select("ENTITY"), recs["_mark"] == F.col("ENTITY"))
-    serial = ents.filter(~text.is_blank(F.col("ENTITY_SERIAL")))
-    by_serial = recs.join(serial, recs["SERIAL_NUMBER"] == F.col("ENTITY_SERIAL")).filter(
-        F.col("_mark") != F.col("ENTITY")
-    )
-    cols = ["ENTITY", *records.columns]
-    return by_mark.select(*cols, F.lit("mark").alias("MATCHED_BY")).unionByName(
-        by_serial.select(*cols, F.lit("serial").alias("MATCHED_BY"))
-    )
+    def keys(mark, serial):
+        pair = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
+        return F.explode(F.array_compact(F.array(
+            F.when(~text.is_blank(mark), pair("mark", mark)),
+            F.when(~text.is_blank(serial), pair("serial", serial)))))
+
+    mark = text.normalize_mark(F.col("N_NUMBER"))
+    ents = entities.select(mark.alias("ENTITY"), keys(mark, F.col("SERIAL_NUMBER")).alias("_e"))
+    ents = ents.select("ENTITY", F.col("_e.kind").alias("_ek"), F.col("_e.key").alias("_ekey"))
+    recs = records.withColumn("_mark", mark).withColumn(
+        "_r", keys(F.col("_mark"), F.col("SERIAL_NUMBER"))).select(
+        "*", F.col("_r.kind").alias("MATCHED_BY"), F.col("_r.key").alias("_rkey")).drop("_r")
+    j = recs.join(ents, (F.col("MATCHED_BY") == F.col("_ek")) & (F.col("_rkey") == F.col("_ekey")))
+    once = (F.col("MATCHED_BY") == "mark") | (F.col("_mark") != F.col("ENTITY"))
+    return j.filter(once).select("ENTITY", *records.columns, "MATCHED_BY")
 
 
 # ------------------------------------------------------------------ make and model
