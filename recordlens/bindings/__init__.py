@@ -54,4 +54,4 @@ def registered():
     return QUERIES, ORACLES
 
 
-MODULES = ["expressions", "joins", "aggregates", "windows", "risk"]
+MODULES = ["expressions", "joins", "aggregates", "windows", "risk", "checks", "files", "sessions"]
