@@ -33,10 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the session names none (tests, local runs) a temporary folder is set once.
     """
-    configured = spark.conf.get(CHECKPOINT_CONF, None)
+    configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not configured:
         configured = tempfile.mkdtemp(prefix="recordlens-")
-        spark.conf.set(CHECKPOINT_CONF, configured)
+        spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 

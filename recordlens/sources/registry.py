@@ -42,7 +42,8 @@ def decode_class(c: Column) -> Column:
 
 
 def _coded(rows: DataFrame, bundle: dict[str, DataFrame]) -> DataFrame:
-    named = rows.filter(~text.is_blank(F.col("N_NUMBER")))
+    named = rows.filter(~text.is_blank(F.col("N_NUMBER"))).withColumns(
+        {c: F.lit("") for c in ("MFR_MDL_CODE", "ENG_MFR_MDL") if c not in rows.columns})
     return reference_join(named, {
         "ACFT": (bundle["acftref"], "MFR_MDL_CODE", "CODE", ["MFR", "MODEL"]),
         "ENG": (bundle["engine"], "ENG_MFR_MDL", "CODE", ["MFR", "MODEL"]),
