@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recordlens.functions import dates, fixed, numbers, text
 from recordlens.operators.ordered import nth_smallest, pick_row, top_n
+from recordlens.session import cut
 
 THREE_YEARS = 3 * 365
 FIVE_YEARS = 5 * 365
@@ -243,7 +244,12 @@ def history_stats(history: DataFrame, *, as_of: str) -> DataFrame:
 
 
 def fleet_metrics(state: DataFrame) -> DataFrame:
-    """One row over all sources: totals by status, latency order statistics, drift, categories."""
+    """One row over all sources: totals by status, latency order statistics, drift, categories.
+
+    The state has one row per source and is read several times, so it is written once.
+    """
+    state = cut(state.select("category", "status", "fresh", "schema_changes_30d", "success_rate_30d",
+                             "latency_ms"), "fleet")
     verified = F.col("status") == "verified"
     counts = state.agg(
         F.count("*").alias("sources"), F.count_if(verified).alias("verified"),
@@ -252,8 +258,7 @@ def fleet_metrics(state: DataFrame) -> DataFrame:
         F.count_if(F.col("status").isNotNull() & ~F.col("fresh")).alias("stale"),
         F.count_if(F.col("schema_changes_30d") > 0).alias("drifted"),
         numbers.half_up_to(F.avg("success_rate_30d"), 3).alias("mean_success_30d"),
-        F.approx_count_distinct("category").alias("_c"),
-    ).drop("_c")
+    )
     categories = state.select("category").distinct().agg(F.count("category").alias("c"))
     latency = nth_smallest(state.filter(verified), "latency_ms",
                            {"median_latency": 0.5, "p95_latency": 0.95})

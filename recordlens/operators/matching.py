@@ -103,36 +103,42 @@ def with_model_key(records: DataFrame, mfr: str = "MFR", model: str = "MODEL") -
     )
 
 
-def prefix_model_counts(entities: DataFrame, records: DataFrame, label: Column) -> DataFrame:
-    """Matching records of the same model family per entity and label, without the entity's own.
+def family_labels(entities: DataFrame, records: DataFrame, label: Column) -> DataFrame:
+    """Labels of the other records of each entity's model family: ENTITY, LABELS array (LABEL, n).
 
-    Records are counted per (maker, model, label) before the join, so no entity-record pairs are
-    made; the entity's own records are counted apart and subtracted.
+    Records are counted per (maker, model, label) and gathered per distinct entity model; the array
+    then goes to the entities of that model, less the entity's own records, so no entity-record
+    pairs are made. Labels come from a short list (chapters, themes), which bounds the arrays.
     """
-    recs = with_model_key(records.withColumn("LABEL", label)).withColumn(
-        "_mark", text.normalize_mark(F.col("N_NUMBER"))
-    )
+    recs = with_model_key(records.withColumn("LABEL", label)).filter(F.length("_model") > 0)
     family = recs.groupBy("_mfr", "_model", "LABEL").agg(F.count("*").alias("n"))
     keys = model_prefixes(entities, "MFR", "MODEL")
     per_model = (
         keys.join(family, (keys["MFR_KEY"] == family["_mfr"]) & (keys["PREFIX"] == family["_model"]))
         .groupBy("MFR_KEY", "MODEL_KEY", "LABEL").agg(F.sum("n").alias("n"))
+        .groupBy("MFR_KEY", "MODEL_KEY").agg(F.collect_list(F.struct("LABEL", "n")).alias("_all"))
     )
     ents = entities.select(text.normalize_mark(F.col("N_NUMBER")).alias("ENTITY"),
                            text.loose(F.col("MFR")).alias("MFR_KEY"),
                            text.loose(F.col("MODEL")).alias("MODEL_KEY"))
-    own_recs = recs.groupBy("_mark", "_mfr", "_model", "LABEL").agg(F.count("*").alias("own"))
+    mine = recs.select(text.normalize_mark(F.col("N_NUMBER")).alias("ENTITY"), "_mfr", "_model", "LABEL")
     own = (
-        ents.join(own_recs, (ents["ENTITY"] == own_recs["_mark"]) & (ents["MFR_KEY"] == own_recs["_mfr"]))
-        .filter((F.length("_model") > 0) & F.col("MODEL_KEY").startswith(F.col("_model")))
-        .groupBy("ENTITY", "LABEL").agg(F.sum("own").alias("own"))
-    )
-    total = ents.join(per_model, ["MFR_KEY", "MODEL_KEY"])
-    return (
-        total.join(own, ["ENTITY", "LABEL"], "left")
-        .select("ENTITY", "LABEL", (F.col("n") - F.coalesce("own", F.lit(0))).alias("n"))
-        .filter(F.col("n") > 0)
+        mine.join(ents, "ENTITY")
+        .filter((F.col("_mfr") == F.col("MFR_KEY")) & F.col("MODEL_KEY").startswith(F.col("_model")))
+        .groupBy("ENTITY", "LABEL").agg(F.count("*").alias("n"))
+        .groupBy("ENTITY").agg(F.map_from_entries(F.collect_list(F.struct("LABEL", "n"))).alias("_own"))
     )
+    less = F.transform("_all", lambda x: F.struct(
+        x["LABEL"].alias("LABEL"),
+        (x["n"] - F.coalesce(F.try_element_at(F.col("_own"), x["LABEL"]), F.lit(0))).alias("n")))
+    return ents.join(per_model, ["MFR_KEY", "MODEL_KEY"]).join(own, "ENTITY", "left").select(
+        "ENTITY", F.filter(less, lambda x: x["n"] > 0).alias("LABELS"))
+
+
+def prefix_model_counts(entities: DataFrame, records: DataFrame, label: Column) -> DataFrame:
+    """Matching records of the model family per entity and label, without the entity's own."""
+    return family_labels(entities, records, label).select(
+        "ENTITY", F.explode("LABELS").alias("l")).select("ENTITY", "l.LABEL", "l.n")
 
 
 CONFIG = ["M1", "M2", "E1", "E2"]
@@ -321,26 +327,36 @@ def serial_guarded_history(cancelled: DataFrame, current: DataFrame) -> DataFram
 
 
 # ------------------------------------------------------------------ match tiers
-def contained_tokens(texts: DataFrame, id_col: str, text_col: str, tokens: DataFrame) -> DataFrame:
+INLINE_GRAMS = 1000
+
+
+def contained_tokens(texts: DataFrame, id_col: str, text_col: str, tokens: DataFrame, *,
+                     inline: int = INLINE_GRAMS) -> DataFrame:
     """(id, token) for every token (column TOKEN) that occurs anywhere inside the text.
 
     Each token is keyed by its leading characters (8, 4, 2 or 1 of them); the texts are cut into
-    overlapping pieces of those lengths and joined on equality, then checked in full. Only lengths
-    that occur among the tokens are cut.
+    overlapping pieces of those lengths, matched on equality, then checked in full. Only lengths
+    that occur among the tokens are cut. Up to ``inline`` distinct keys travel to the texts as one
+    array, so that a text gives only its hits; beyond that all pieces are joined with the keys.
     """
     size = (F.when(F.length("TOKEN") >= 8, 8).when(F.length("TOKEN") >= 4, 4)
             .when(F.length("TOKEN") >= 2, 2).otherwise(1))
     vocab = tokens.select("TOKEN").distinct().filter(F.length("TOKEN") > 0).withColumn("_size", size)
     vocab = vocab.withColumn("_gram", F.col("TOKEN").substr(F.lit(1), F.col("_size")))
-    sizes = sorted(r[0] for r in vocab.select("_size").distinct().collect())  # at most four values
+    grams = vocab.select("_size", "_gram").distinct()
+    counted = {r[0]: r[1] for r in grams.groupBy("_size").count().collect()}  # at most four rows
     src = texts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    if not sizes:
+    if not counted:
         return src.select(F.col("_id").alias(id_col), F.lit("").alias("TOKEN")).limit(0)
     pieces = None
-    for s in sizes:
-        grams = F.array_distinct(
-            F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{s}}}))"), F.lit(1)))
-        part = src.select("_id", F.explode(grams).alias("_gram"))
+    for s, n in sorted(counted.items()):
+        cuts = F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{s}}}))"), F.lit(1))
+        if sum(counted.values()) <= inline:
+            keys = grams.filter(F.col("_size") == s).agg(F.collect_set("_gram").alias("k")).scalar()
+            hits = F.array_intersect(cuts, keys)
+        else:
+            hits = F.array_distinct(cuts)
+        part = src.select("_id", F.explode(hits).alias("_gram"))
         pieces = part if pieces is None else pieces.unionByName(part)
     candidates = pieces.join(vocab, "_gram").select("_id", "TOKEN")
     return (

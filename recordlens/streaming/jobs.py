@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from recordlens.functions import text
 from recordlens.operators import sequences
 from recordlens.operators.ordered import pick_row, time_chunk, with_previous
+from recordlens.session import cut
 from recordlens.sources import tables
 from recordlens.streaming.carry import last_carry, output, start_with_carry
 
@@ -129,7 +130,7 @@ def stream_run_groups(events: DataFrame, order: list[str], base: str, *, gap_ms:
                 F.when(two, 1).otherwise(F.col("run_count")).cast("bigint").alias("_w"))
             again = again.select(*[F.col("r")[c].alias(c) for c in columns], "_w")
             rows = rows.unionByName(again)
-        runs = sequences.run_islands(rows, order, gap_ms=gap_ms, session=session, weight="_w")
+        runs = cut(sequences.run_islands(rows, order, gap_ms=gap_ms, session=session, weight="_w"), "runs")
         last = runs.groupBy(F.col(session).alias("_s")).agg(F.max("_run").alias("_open"))
         marked = runs.join(last, F.col(session).eqNullSafe(F.col("_s"))).withColumn(
             "_is_open", F.col("_run") == F.col("_open"))
