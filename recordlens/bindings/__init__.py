@@ -22,7 +22,9 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         reader = view if name.startswith("v_") else load
-        return reader(self.spark, self.sf_dir, name)
+        frame = reader(self.spark, self.sf_dir, name)
+        setattr(self, name, frame)
+        return frame
 
 
 def query(sql: str | None = None, views: tuple[str, ...] = (), key: str | None = None):

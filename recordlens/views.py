@@ -212,7 +212,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
     cores = spark.sparkContext.defaultParallelism
     if table in LARGE_TABLES and len(df.inputFiles()) < min(cores, 64):
-        df = df.repartition(cores)
+        df = df.repartition(cores, df.columns[0])
     return df
 
 
