@@ -313,6 +313,7 @@ SELECT 2, count(*) FROM f WHERE tail_n > 0 UNION ALL SELECT 3, count(*) FROM f W
 SELECT 4, count(*) FROM f WHERE direct_n > 0 UNION ALL SELECT 5, count(*) FROM f WHERE s1 > 0 UNION ALL
 SELECT 6, count(*) FROM f JOIN m6 ON m6.entity = mark WHERE m6.evidence > 0 UNION ALL
 SELECT 7, count(*) FROM f JOIN m5f ON m5f.entity = mark WHERE f1 UNION ALL
+SELECT 8, count(*) FROM f JOIN m5f ON m5f.entity = mark WHERE m5f.n = 0 HAVING count(*) > 0 UNION ALL
 SELECT 9, count(*) FROM f UNION ALL SELECT 10, count(*) FROM f UNION ALL SELECT 11, count(*) FROM f
 """, views=VIEWS)
 def buyer_checklist(t: Tables):

@@ -104,6 +104,9 @@ CUTS = [None, "2024-01-11", "2024-01-21", None]
 
 def arrivals(t: Tables, view_name: str, time: str, start, base: str) -> None:
     """Writes the view in three time slices; after each one the stream runs until it has read it."""
+    if t.spark.sparkContext.master.startswith("local"):
+        # stateful streams keep their number of partitions, so one machine gets one per core
+        t.spark.conf.set("spark.sql.shuffle.partitions", str(t.spark.sparkContext.defaultParallelism))
     df = getattr(t, view_name)
     ts = c(time).cast("timestamp")
     source = f"{base}/in"

@@ -6,18 +6,18 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
-# streams and file round trips run jobs while they are built; the reports share the assessment's plan
-EAGER = ("stream_", "session_stream", "batch_", "language_guard", "buyer_checklist", "plain_verdict",
-         "report_findings", "score_components", "run_isolation", "csv_", "load_tables", "history_scan",
-         "registry_bundle", "stage_and", "health_log")
-LAZY = [n for n in QUERIES if not n.startswith(EAGER)]
+JOINS = """registry_lookup tail_events or_key_join prefix_model_join ad_applicability_join
+token_overlap_join context_or_join dimension_lookup reference_join serial_guarded_history match_tiers
+event_match_tiers text_vocab_join prior_holder_split merge_metric_column fallback_candidates
+compare_sources known_exclusion fleet_metrics severity_rollup group_runs rank_sources route_best
+assess_all carrier_indicator detection_scorecard contract_catalog""".split()
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", LAZY)
+@pytest.mark.parametrize("name", JOINS)
 def test_no_nested_loop(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text
