@@ -31,10 +31,12 @@ def local_session(cpus: int | str = "*", app: str = "recordlens") -> SparkSessio
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint folder.
 
-    Only where the session names none (tests, local runs) a temporary folder is set once.
+    Only a local master (tests, local runs) may do without: a temporary folder is set once.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="recordlens-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured
