@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from recordlens.llm import (
     differencing_pack,
+    line_neighbourhood,
     secret_battery,
     toxicity_subwords,
     url_ngrams,
@@ -28,6 +29,11 @@ def op2_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("spans", secret_battery.spans_text(F.col("spans")))
 
 
+def op3_line_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_neighbourhood.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers = warc_revisits.archive_pages(table(spark, sf_dir, "pages"))
     return headers.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -63,6 +69,10 @@ def pack_digest(documents: DataFrame) -> DataFrame:
 
 
 ORACLES = {
+    "op3_line_neighbourhood": f"""
+        WITH {line_neighbourhood.oracle_sql()}
+        SELECT doc_id, n_lines, n_removed, sha256(text) AS text_sha256 FROM line_dedup
+    """,
     "op4_warc_revisits": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
