@@ -15,8 +15,9 @@ BYTE_CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.u
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_IS_SEPARATOR = np.zeros(256, dtype=bool)
-_IS_SEPARATOR[list(SEPARATORS)] = True
+BLANKS = np.isin(np.arange(256), list(SEPARATORS))
+# Every ASCII byte but letters and digits.
+NO_LETTERS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,17 +47,18 @@ def slices(texts: list[str | None], limit: int = SLICE_BYTES) -> Iterator[tuple[
         yield first, run
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str], separators: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of all words in order, and where each text's words begin (one more at the end).
 
     A-Z count as a-z; a word is a run of bytes that are no separators.
     """
-    data = np.frombuffer("\n".join(texts).encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    lengths = np.fromiter((len(t.encode("utf-8", "surrogatepass")) for t in texts), np.int64, len(texts))
+    encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n".join(encoded), dtype=np.uint8)
+    lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
     begins = np.concatenate([[0], np.cumsum(lengths + 1)])
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    apart = _IS_SEPARATOR[data]
+    apart = separators[data]
     inside = np.flatnonzero(~apart)
     if not len(inside):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
@@ -80,6 +82,19 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def all_shingles(words: np.ndarray, begins: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, position of the first word) of every run of ``size`` words that stays in one text."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    out = np.full(n, size, dtype=np.uint64)
+    for k in range(size):
+        out = mix(out * BASE + words[k:n + k])
+    owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    inside = np.flatnonzero(owner[:n] == owner[size - 1:])
+    return out[inside], inside
+
+
 def char_ngrams(strings: list[str], low: int, high: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(string index, bucket) of every character n-gram, low to high bytes long, of the strings.
 

@@ -12,6 +12,7 @@ from recordlens.llm import (
     differencing_pack,
     line_neighbourhood,
     secret_battery,
+    seed_alignment,
     toxicity_subwords,
     url_ngrams,
     warc_revisits,
@@ -68,6 +69,12 @@ def pack_digest(documents: DataFrame) -> DataFrame:
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op10_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = seed_alignment.benchmark_matches(documents, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
 ORACLES = {
     "op3_line_neighbourhood": f"""
         WITH {line_neighbourhood.oracle_sql()}
