@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordlens.llm import (
+    cover_tree,
     differencing_pack,
     line_neighbourhood,
     secret_battery,
@@ -25,6 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_battery.find_secrets(table(spark, sf_dir, "documents"))
     return found.withColumn("spans", secret_battery.spans_text(F.col("spans")))
@@ -76,6 +81,23 @@ def op10_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES = {
+    "op1_cover_tree": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+        ), g AS (
+            SELECT vec_id, e FROM v
+            WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(e, lambda x: x <> 0)) > 0
+        ), l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+        ), reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b
+        ), c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, component_id,
+               vec_id = component_id AS kept
+        FROM v JOIN c ON c.a = vec_id
+    """,
     "op3_line_neighbourhood": f"""
         WITH {line_neighbourhood.oracle_sql()}
         SELECT doc_id, n_lines, n_removed, sha256(text) AS text_sha256 FROM line_dedup
