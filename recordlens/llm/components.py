@@ -42,7 +42,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = both.join(least, "a").where("b > a AND b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = cut(large.distinct(), "links")
+        large = large.distinct()
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(least, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         edges = cut(small.unionByName(least.select("a", F.col("low").alias("b"))).distinct(), "links")

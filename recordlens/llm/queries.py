@@ -12,6 +12,7 @@ from recordlens.llm import (
     cover_tree,
     differencing_pack,
     line_neighbourhood,
+    partition_join,
     secret_battery,
     seed_alignment,
     toxicity_subwords,
@@ -74,13 +75,39 @@ def pack_digest(documents: DataFrame) -> DataFrame:
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op9_partition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partition_join.near_sets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = seed_alignment.benchmark_matches(documents, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
 
 
+def near_sets_sql(documents: str, size: int = partition_join.SHINGLE, percent: int = partition_join.PERCENT) -> str:
+    """Common table expressions that end in near_sets(doc_id, n_shingles, component_id)."""
+    return f"""
+        ws AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                      'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM {documents}),
+        ss AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(
+                      range(1, greatest(len(w) - {size - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {size - 1}], ' ')))
+                      END AS s FROM ws),
+        texts AS (SELECT min(doc_id) AS first, list_sort(s) AS s FROM ss WHERE len(s) > 0 GROUP BY list_sort(s)),
+        e AS (SELECT first, unnest(s) AS g, len(s) AS n FROM texts),
+        i AS (SELECT a.first AS a, b.first AS b, count(*) AS c, any_value(a.n) + any_value(b.n) AS t
+              FROM e a JOIN e b ON a.g = b.g AND a.first < b.first GROUP BY 1, 2),
+        l AS (SELECT a, b FROM i WHERE 100 * c >= {percent} * (t - c)),
+        both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        reach AS (SELECT first AS a, first AS b FROM texts
+                  UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.b),
+        groups AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+        near_sets AS (SELECT doc_id, len(ss.s) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+                      FROM ss LEFT JOIN texts ON texts.s = list_sort(ss.s) LEFT JOIN groups ON groups.a = first)"""
+
+
 ORACLES = {
+    "op9_partition_join": f"WITH RECURSIVE {near_sets_sql('documents')} SELECT * FROM near_sets",
     "op1_cover_tree": """
         WITH RECURSIVE v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
