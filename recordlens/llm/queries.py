@@ -15,6 +15,7 @@ from recordlens.llm import (
     partition_join,
     secret_battery,
     seed_alignment,
+    suffix_levels,
     toxicity_subwords,
     url_ngrams,
     warc_revisits,
@@ -50,6 +51,10 @@ def held_out(key: str = "doc_id"):
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2
 
 
+def op5_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_levels.repeat_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity_subwords.train(documents, labels.where(~held_out()))
