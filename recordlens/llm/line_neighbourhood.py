@@ -131,15 +131,17 @@ def dedup_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", l
         .groupBy(F.col("place.id").alias("gone_id"), F.col("mark").alias("gone_mark"))
         .agg(F.collect_set("place.pos").alias("gone"))
     )
-    marked = documents.withColumn("row_mark", row_mark(F.col(text)))
-    joined = marked.join(gone, F.col(key).eqNullSafe(F.col("gone_id")) & (F.col("row_mark") == F.col("gone_mark")), "left")
+    # The document travels as one struct, so that its columns cannot clash with those of the join.
+    marked = documents.select(F.struct("*").alias("document"), F.col(key).alias("id"), F.col(text).alias("text"),
+                              row_mark(F.col(text)).alias("mark"))
+    joined = marked.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left")
     places = F.coalesce("gone", F.array().cast("array<int>"))
-    every = lines_of(F.col(text))
+    every = lines_of(F.col("text"))
     kept = F.array_join(F.filter(every, lambda line, i: ~F.array_contains(places, i)), "\n")
-    return (
-        joined.withColumn("n_lines", F.size(every).cast("long")).withColumn("n_removed", F.size(places).cast("long"))
-        .withColumn(text, kept).drop("gone_id", "gone_mark", "gone", "row_mark")
-    )
+    others = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(F.col("document").withField(text, kept).alias("document"), F.size(every).cast("long").alias("n_lines"),
+                         F.size(places).cast("long").alias("n_removed")).select(
+        *[F.col(f"document.`{c}`") for c in others], "n_lines", "n_removed")
 
 
 def oracle_sql(documents: str = "documents", least_chars: int = LEAST_CHARS, near_chars: int = NEAR_CHARS) -> str:

@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of the passages they hit.
 
 Words are runs of letters and digits (A-Z as a-z). The seeds of a test item are its ``SEED`` word n-grams;
-how many documents hold each is counted over the whole corpus, and an item keeps its rarer half, at least
-``LEAST_SEEDS``, so that an item copied everywhere still has seeds. A passage that holds ``HITS`` seeds of an
+how many documents hold each is counted over the whole corpus, and of those found an item keeps the rarer
+half, at least ``LEAST_SEEDS``, so that an item copied everywhere still has seeds. A passage that holds ``HITS`` seeds of an
 item within the item's length is aligned with it word by word (match 2, mismatch -1, gap -1). The score is
 the best local alignment over that of a perfect copy; from ``SCORE`` on the document is contaminated.
 Edited, shortened and paraphrased copies keep enough matching words, common phrases do not.
@@ -65,9 +65,10 @@ class Items:
         """Leaves each item its rarer half of seeds by document count; ties go by place."""
         seed = np.repeat(np.arange(len(self.seeds)), self.counts)
         order = np.lexsort((self.place, documents[seed], self.item))
+        order = order[documents[seed[order]] > 0]  # a seed in no document finds nothing
         item = self.item[order]
         rank = np.arange(len(order)) - np.searchsorted(item, item)
-        total = np.bincount(self.item, minlength=len(self.ids))[item]
+        total = np.bincount(item, minlength=len(self.ids))[item]
         kept = order[rank < np.maximum(-(-total // 2), LEAST_SEEDS)]
         self.index(self.seeds[seed[kept]], self.item[kept], self.place[kept])
 
