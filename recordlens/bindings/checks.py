@@ -1,4 +1,4 @@
-"""Quality checks, receipts, policies, routing and failure injection on whole driver tables."""
+"""Quality checks, receipts, policies, routing and detection on whole driver tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from recordlens.bindings import Tables, query
 from recordlens.bindings.aggregates import STATE_SQL
 from recordlens.bindings.windows import CATALOG_SQL, candidates
-from recordlens.functions import fixed
+from recordlens.functions import fixed, text
 from recordlens.operators import aggregates
 from recordlens.plans import quality
 from recordlens.sources import feeds, ingest, store, tables
@@ -225,7 +225,9 @@ REASONS_SQL = """list_filter([
    CASE WHEN confidence < min_conf THEN 'confidence too low' END], lambda x: x IS NOT NULL)"""
 POLICY_SQL = """
   pol(policy, max_age, min_passes, min_rate, min_conf, allow) AS (VALUES ('production', 1440, 3, 0.9, 0.9, false),
-    ('standard', 2880, 1, NULL, 0.75, true), ('permissive', NULL, NULL, NULL, NULL, true))"""
+    ('standard', 2880, 1, NULL, 0.75, true), ('permissive', NULL, NULL, NULL, NULL, true),
+    ('custom', NULL, 2, 0.5, 0.6, true))"""
+CUSTOM_POLICY = {"minimum_consecutive_passes": 2, "minimum_success_rate_30d": 0.5, "minimum_confidence": 0.6}
 
 
 @query(f"""
@@ -234,13 +236,14 @@ SELECT capability_id, policy, array_to_string({REASONS_SQL}, ';') AS reasons,
        len({REASONS_SQL}) = 0 AS allowed, confidence FROM cand, pol
 """, views=("v_history",))
 def policy_gate(t: Tables):
-    return quality.policy_gate(candidates(t), as_of=EVENTS_AS_OF).select(
+    policies = {**fixed.POLICIES, "custom": CUSTOM_POLICY}
+    return quality.policy_gate(candidates(t), policies, as_of=EVENTS_AS_OF).select(
         "capability_id", "policy", F.array_join("reasons", ";").alias("reasons"), "allowed", "confidence")
 
 
 @query(f"""
 WITH {CATALOG_SQL}, {POLICY_SQL},
-top AS (SELECT *, row_number() OVER (ORDER BY place) AS p2 FROM ranked WHERE eligible QUALIFY p2 <= 10),
+top AS (SELECT * FROM ranked WHERE eligible),
 g AS (SELECT top.*, len({REASONS_SQL}) = 0 AS allowed, array_to_string({REASONS_SQL}, ';') AS reasons
       FROM top, pol WHERE policy = 'standard'),
 n AS (SELECT *, row_number() OVER (PARTITION BY allowed ORDER BY confidence DESC, place) AS pos FROM g)
@@ -256,7 +259,7 @@ def resolve_best(t: Tables):
 
 @query(f"""
 WITH {CATALOG_SQL},
-top AS (SELECT *, row_number() OVER (ORDER BY place) AS p2 FROM ranked WHERE eligible QUALIFY p2 <= 10),
+top AS (SELECT * FROM ranked WHERE eligible),
 best AS (SELECT * FROM top WHERE status = 'verified' AND fresh ORDER BY place LIMIT 1),
 fb AS (SELECT id, min(o) AS o FROM (
     SELECT (capability_id + 1) % 40 AS id, 0 AS o FROM best UNION ALL SELECT capability_id, place FROM top)
@@ -358,33 +361,78 @@ def readiness(t: Tables):
     return quality.readiness(rows)
 
 
-def _injected(t: Tables):
-    base = t.customer.select(c("c_custkey").alias("i"), c("c_name").alias("name"),
-                             (c("c_acctbal") + 10000).alias("population"))
-    total = t.customer.agg(F.count("*")).scalar()
-    variants = quality.inject_failures(base, total, as_of=EVENTS_AS_OF)
-    return quality.injection_results(variants, total, as_of=EVENTS_AS_OF)
-
-
-CASES_SQL = ", ".join(
-    f"('{k}', '{e}', {'NULL' if d is None else repr(d)}, {'false' if d is None else 'true'})"
-    for k, (e, d) in quality.INJECTION_CASES.items())
+# Every nation's customers are one case; its number modulo six says what is wrong with them.
+FAULTS = {1: "schema", 2: "schema", 3: "completeness", 4: "join_keys", 5: "completeness"}
+FAULTY_SQL = """
+f AS (SELECT c_nationkey AS case_id, c_nationkey % 6 AS fault, c_custkey AS k, c_custkey % 2 = 0 AS hit,
+             c_name AS name, c_acctbal AS balance FROM customer),
+r AS (SELECT case_id, fault, k, CASE WHEN fault = 4 AND hit THEN 'none' ELSE name END AS name,
+             CASE WHEN fault = 1 AND hit THEN balance + 1000000 WHEN fault = 2 AND hit THEN balance - 1000000
+                  ELSE balance END AS balance FROM f WHERE NOT (fault = 5 AND k > 3)
+      UNION ALL SELECT case_id, fault, k, name, balance FROM f WHERE fault = 3 AND hit),
+t AS (SELECT case_id, fault, count(*) < 2 AS few, count(DISTINCT k) < count(*) AS twice,
+             min(balance) < -10000 OR max(balance) > 100000 AS wild,
+             bool_or(NOT regexp_matches(name, '^Customer#')) AS odd FROM r GROUP BY ALL),
+outcome AS (SELECT case_id, CASE WHEN fault = 0 THEN 'verified' ELSE 'failed_checks' END AS expected,
+  CASE WHEN few OR twice OR wild OR odd THEN 'failed_checks' ELSE 'verified' END AS actual,
+  CASE fault WHEN 1 THEN 'schema' WHEN 2 THEN 'schema' WHEN 3 THEN 'completeness' WHEN 4 THEN 'join_keys'
+       WHEN 5 THEN 'completeness' END AS dimension_expected,
+  CASE WHEN fault IN (1, 2) THEN wild WHEN fault IN (3, 5) THEN few OR twice WHEN fault = 4 THEN odd
+       ELSE false END AS dimension_flagged FROM t)"""
+
+
+def _outcomes(t: Tables):
+    fault, hit, balance = c("fault"), c("hit"), c("c_acctbal")
+    base = t.customer.withColumns({
+        "case_id": c("c_nationkey"), "fault": c("c_nationkey") % 6, "hit": c("c_custkey") % 2 == 0})
+    changed = base.filter(~((fault == 5) & (c("c_custkey") > 3))).select(
+        "case_id", c("c_custkey").alias("k"), F.when((fault == 4) & hit, "none").otherwise(c("c_name")).alias("name"),
+        F.when((fault == 1) & hit, balance + 1000000).when((fault == 2) & hit, balance - 1000000)
+        .otherwise(balance).alias("balance"))
+    again = base.filter((fault == 3) & hit).select(
+        "case_id", c("c_custkey").alias("k"), c("c_name").alias("name"), balance.alias("balance"))
+    checks = quality.run_contract(changed.unionByName(again), [
+        {"type": "min_rows", "min": 2}, {"type": "unique_field", "field": "k"},
+        {"type": "value_range", "field": "balance", "min": -10000, "max": 100000},
+        {"type": "field_pattern", "field": "name", "pattern": "^Customer#"},
+    ], as_of=EVENTS_AS_OF, keys=["case_id"]).withColumnRenamed("dimension", "check_dimension")
+    wanted = base.select("case_id", text.lookup(fault.cast("string"), {
+        str(k): v for k, v in FAULTS.items()}).alias("dimension")).distinct()
+    return quality.case_outcomes(checks, wanted)
+
+
+@query(f"WITH {FAULTY_SQL} SELECT * FROM outcome")
+def inject_failures(t: Tables):
+    return _outcomes(t)
 
 
 @query(f"""
-SELECT case_id, expected, expected AS actual, dimension_expected, dimension_flagged
-FROM (VALUES {CASES_SQL}) v(case_id, expected, dimension_expected, dimension_flagged)
+WITH {FAULTY_SQL}, s AS (SELECT count(*) FILTER (expected <> 'verified') AS injected,
+  count(*) FILTER (expected <> 'verified' AND actual <> 'verified') AS detected,
+  count(*) FILTER (expected = 'verified') AS controls,
+  count(*) FILTER (expected = 'verified' AND actual <> 'verified') AS false_positives,
+  count(*) FILTER (expected <> 'verified' AND dimension_flagged) AS classified FROM outcome)
+SELECT *, detected = injected AND false_positives = 0 AND classified = injected AS pass FROM s
 """)
-def inject_failures(t: Tables):
-    return _injected(t).drop("failing_checks")
+def detection_scorecard(t: Tables):
+    return aggregates.detection_scorecard(_outcomes(t))
 
 
-@query("""
-SELECT 10::BIGINT AS injected, 10::BIGINT AS detected, 5::BIGINT AS controls, 0::BIGINT AS false_positives,
-       10::BIGINT AS classified, true AS pass
-""")
-def detection_scorecard(t: Tables):
-    return aggregates.detection_scorecard(_injected(t))
+@query(f"""
+WITH {CATALOG_SQL}, {POLICY_SQL},
+top AS (SELECT * FROM ranked WHERE capability_id BETWEEN 3 AND 17),
+g AS (SELECT top.*, len({REASONS_SQL}) = 0 AS allowed FROM top, pol WHERE policy = 'standard'),
+n AS (SELECT *, row_number() OVER (PARTITION BY allowed ORDER BY confidence DESC, place) AS pos FROM g)
+SELECT capability_id, CASE WHEN allowed AND pos <= 4 THEN pos END AS position,
+  CASE WHEN NOT allowed THEN 'rejected' WHEN pos = 1 THEN 'approved' WHEN pos <= 4 THEN 'fallback'
+       ELSE 'not needed' END AS decision FROM n
+""", views=("v_history",))
+def resolve_capability(t: Tables):
+    cand = candidates(t)
+    catalog = cand.select("capability_id", F.transform(
+        F.sequence(F.lit(1), F.lit(14)), lambda k: c("capability_id") + k).alias("fallback_ids"))
+    return quality.resolve_capability(cand, catalog, 3, as_of=EVENTS_AS_OF).select(
+        "capability_id", "position", "decision")
 
 
 @query("""

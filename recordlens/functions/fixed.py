@@ -93,14 +93,16 @@ CHECK_DIMENSION = {
     "field_pattern": "join_keys", "value_range": "schema", "known_answer": "task",
     "freshness": "freshness",
 }
-# minutes, passes, 30-day rate, confidence, experimental allowed; None = rule not set
+# rule names, then the rules of each policy (fixed values)
+POLICY_RULES = ["maximum_receipt_age_minutes", "minimum_consecutive_passes", "minimum_success_rate_30d",
+                "minimum_confidence", "allow_experimental_sources"]
 POLICIES = {
-    "production": dict(max_age_min=24 * 60, min_passes=3, min_rate=0.9, min_confidence=0.9,
-                       allow_experimental=False),
-    "standard": dict(max_age_min=48 * 60, min_passes=1, min_rate=None, min_confidence=0.75,
-                     allow_experimental=True),
-    "permissive": dict(max_age_min=None, min_passes=None, min_rate=None, min_confidence=None,
-                       allow_experimental=True),
+    "production": {"maximum_receipt_age_minutes": 1440, "minimum_consecutive_passes": 3,
+                   "minimum_success_rate_30d": 0.9, "minimum_confidence": 0.9,
+                   "allow_experimental_sources": False},
+    "standard": {"maximum_receipt_age_minutes": 2880, "minimum_consecutive_passes": 1,
+                 "minimum_confidence": 0.75, "allow_experimental_sources": True},
+    "permissive": {"allow_experimental_sources": True},
 }
 DEFAULT_TTL_HOURS = 6
 SAMPLE_CHARS = 16 * 1024

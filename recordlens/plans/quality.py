@@ -332,7 +332,10 @@ def confidence(passed: Column, total: Column, rate30: Column) -> Column:
 
 
 def policy_reasons(rules: dict, *, as_of: str) -> Column:
-    """Names of the policy rules a source state violates."""
+    """Names of the policy rules a source state violates. A rule of another name is an error."""
+    unknown = sorted(set(rules) - set(fixed.POLICY_RULES))
+    if unknown:
+        raise ValueError(f"unknown policy rules: {', '.join(unknown)}")
     c = F.col
     verified_at = c("verified_at").cast("timestamp")
     age_min = (dates.epoch_ms(F.lit(as_of).cast("timestamp")) - dates.epoch_ms(verified_at)) / 60000
@@ -341,16 +344,19 @@ def policy_reasons(rules: dict, *, as_of: str) -> Column:
         F.when(c("status") != "verified", F.concat(F.lit("status "), c("status"))),
         F.when(c("status").isNotNull() & ~c("fresh"), "receipt expired"),
     ]
-    if rules.get("max_age_min") is not None:
-        out.append(F.when(age_min > rules["max_age_min"], "receipt too old"))
-    if rules.get("allow_experimental") is False:
+    limits = {k: v for k, v in rules.items() if v is not None}
+    if "maximum_receipt_age_minutes" in limits:
+        out.append(F.when(age_min > limits["maximum_receipt_age_minutes"], "receipt too old"))
+    if limits.get("allow_experimental_sources") is False:
         out.append(F.when(c("experimental"), "experimental"))
-    if rules.get("min_passes") is not None:
-        out.append(F.when(F.coalesce(c("streak"), F.lit(0)) < rules["min_passes"], "streak too short"))
-    if rules.get("min_rate") is not None:
-        out.append(F.when(c("success_rate_30d") < rules["min_rate"], "success rate too low"))
-    if rules.get("min_confidence") is not None:
-        out.append(F.when(F.coalesce(c("confidence"), F.lit(0.0)) < rules["min_confidence"],
+    if "minimum_consecutive_passes" in limits:
+        out.append(F.when(F.coalesce(c("streak"), F.lit(0)) < limits["minimum_consecutive_passes"],
+                          "streak too short"))
+    if "minimum_success_rate_30d" in limits:
+        out.append(F.when(c("success_rate_30d") < limits["minimum_success_rate_30d"],
+                          "success rate too low"))
+    if "minimum_confidence" in limits:
+        out.append(F.when(F.coalesce(c("confidence"), F.lit(0.0)) < limits["minimum_confidence"],
                           "confidence too low"))
     return F.array_compact(F.array(*out))
 
@@ -370,43 +376,58 @@ def is_experimental(scouted: Column, approved: Column) -> Column:
 
 # ------------------------------------------------------------------ search, resolve, route
 def resolve_best(candidates: DataFrame, policy: str | dict = "standard", *, as_of: str) -> DataFrame:
-    """Decision over the ranked candidates (at most ten): the approved one of highest confidence,
-    up to three fallbacks, and the rejected with their reasons.
+    """Decision over all eligible candidates: the approved one of highest confidence, up to three
+    fallbacks, and the rejected with their reasons. The policy comes before any cut.
 
     Columns: position (1 = recommended, 2-4 = fallback, NULL = rejected or beyond), decision.
     """
+    return _decide(candidates.filter("eligible"), policy, as_of)
+
+
+def _decide(candidates: DataFrame, policy: str | dict, as_of: str) -> DataFrame:
+    if isinstance(policy, str) and policy not in fixed.POLICIES:
+        raise ValueError(f"unknown policy {policy!r}")
     rules = fixed.POLICIES[policy] if isinstance(policy, str) else policy
-    top = ranking.rank_sources(candidates.filter("eligible"))
-    gated = top.withColumn("reasons", policy_reasons(rules, as_of=as_of)).withColumn(
+    gated = candidates.withColumn("reasons", policy_reasons(rules, as_of=as_of)).withColumn(
         "allowed", F.size("reasons") == 0)
-    # ten rows at most, so a window without partitions is fine here
-    place = F.row_number().over(Window.partitionBy("allowed").orderBy(
-        F.desc("confidence"), *ranking.rank_order()))
-    placed = gated.withColumn("position", F.when(F.col("allowed") & (place <= 4), place))
+    order = [F.desc("confidence"), *ranking.rank_order()]
+    # four rows at most, so a window without partitions is fine here
+    best = gated.filter("allowed").orderBy(*order).limit(4).withColumn(
+        "position", F.row_number().over(Window.orderBy(*order))).select("capability_id", "position")
+    placed = gated.join(best, "capability_id", "left")
     return placed.withColumn(
         "decision", F.when(F.col("position") == 1, "approved")
         .when(F.col("position").isNotNull(), "fallback")
         .when(F.col("allowed"), "not needed").otherwise("rejected"))
 
 
-def route_best(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
-    """First eligible, verified and fresh candidate by rank, with up to three fallbacks.
+def resolve_capability(candidates: DataFrame, catalog: DataFrame, capability_id,
+                       policy: str | dict = "standard", *, as_of: str) -> DataFrame:
+    """The same decision over one capability and all of its declared fallbacks."""
+    own = catalog.filter(F.col("capability_id") == capability_id)
+    wanted = own.select(F.explode(F.array_union(F.array("capability_id"), F.coalesce(
+        "fallback_ids", F.array_remove(F.array("capability_id"), F.col("capability_id"))))).alias("capability_id"))
+    return _decide(candidates.join(wanted, "capability_id", "left_semi"), policy, as_of)
 
-    At most ten candidates take part, as in the ranked search.
-    """
-    top = ranking.rank_sources(candidates.filter("eligible"))
-    w = Window.orderBy(*ranking.rank_order())  # ten rows at most
-    top = top.withColumn("_place", F.row_number().over(w))
-    best = top.filter((F.col("status") == "verified") & F.col("fresh")).orderBy("_place").limit(1)
-    ranked = top.agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("_place", F.col("capability_id").alias("id")))),
-        lambda x: x["id"]).alias("ranked"))
-    declared = best.join(catalog.select("capability_id", "fallback_ids"), "capability_id", "left")
-    every = F.array_distinct(F.concat(
-        F.coalesce("fallback_ids", F.array().cast("array<string>")), ranked.scalar()))
-    return declared.select(
+
+def route_best(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
+    """First eligible, verified and fresh candidate by rank, with up to three fallbacks: declared ones,
+    then the others by rank."""
+    order = ranking.rank_order()
+    eligible = candidates.filter("eligible")
+    best = eligible.filter((F.col("status") == "verified") & F.col("fresh")).orderBy(*order).limit(1)
+    declared = best.select("capability_id").join(catalog, "capability_id").select(
+        F.posexplode("fallback_ids").alias("place", "id")).groupBy("id").agg(F.min("place").alias("place"))
+    taken = declared.select("id").unionByName(best.select(F.col("capability_id").alias("id")))
+    others = eligible.join(taken, F.col("capability_id") == F.col("id"), "left_anti").orderBy(*order).limit(3)
+    ranked = others.select(F.col("capability_id").alias("id"),
+                           F.row_number().over(Window.orderBy(*order)).alias("place"))  # three rows
+    listed = declared.withColumn("turn", F.lit(0)).unionByName(ranked.withColumn("turn", F.lit(1)))
+    every = listed.agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("turn", "place", "id"))), lambda x: x["id"]).alias("ids"))
+    return best.select(
         "capability_id", "receipt_id", "status", "success_rate_30d",
-        F.slice(F.array_remove(every, F.col("capability_id")), 1, 3).alias("fallbacks"))
+        F.slice(F.array_remove(every.scalar(), F.col("capability_id")), 1, 3).alias("fallbacks"))
 
 
 def explain_failure(state: DataFrame) -> DataFrame:
@@ -519,103 +540,18 @@ def readiness(sources: DataFrame) -> DataFrame:
                  & (F.col("network_sources") == F.col("ok_sources")))
 
 
-# ------------------------------------------------------------------ failure injection
-INJECTION_CASES = {  # case -> expected status and dimension (fixed values)
-    "control_healthy": ("verified", None),
-    "control_extra_fields": ("verified", None),
-    "control_reordered_fields": ("verified", None),
-    "control_extra_rows": ("verified", None),
-    "control_unicode_names": ("verified", None),
-    "html_body": ("failed_checks", "availability"),
-    "truncated": ("failed_checks", "completeness"),
-    "stale_timestamps": ("failed_checks", "freshness"),
-    "renamed_field": ("failed_checks", "schema"),
-    "duplicated_rows": ("failed_checks", "completeness"),
-    "impossible_values": ("failed_checks", "schema"),
-    "rate_limit_body": ("failed_checks", "completeness"),
-    "partial_geography": ("failed_checks", "completeness"),
-    "wrong_vintage": ("failed_checks", "task"),
-    "bad_join_keys": ("failed_checks", "join_keys"),
-}
-
-
-def inject_failures(reference: DataFrame, total: Column, *, as_of: str) -> DataFrame:
-    """Fifteen variants of a reference table (columns i = 0..n-1, name, population) as JSON rows.
-
-    Output: case_id, status, raw (row document), is_row. A case without any row keeps one
-    placeholder, so that its emptiness is seen. One pass writes all variants.
-    """
-    i, n = F.col("i"), total
-    geoid = F.lpad(F.col("i").cast("string"), 12, "0")
-
-    def doc(**over) -> Column:
-        base = {"i": i, "geoid": geoid, "name": F.col("name"), "population": F.col("population"),
-                "vintage": F.lit("2025"), "updated_at": F.lit(as_of)}
-        base.update(over)
-        return F.to_json(F.struct(*[v.alias(k) for k, v in base.items() if v is not None]))
-
-    def row(case: str, raw: Column, when: Column | None = None, is_row: bool = True) -> Column:
-        s = F.struct(F.lit(case).alias("case_id"), raw.alias("raw"), F.lit(is_row).alias("is_row"))
-        return s if when is None else F.when(when, s)
-
-    plain = doc()
-    first = i == 0
-    copies = F.array_compact(F.array(
-        row("control_healthy", plain),
-        row("control_extra_fields", doc(extra_note=F.lit("harmless"), another=F.lit(42))),
-        row("control_reordered_fields", F.to_json(F.struct(
-            F.lit("2025").alias("vintage"), F.col("population"), F.lit(as_of).alias("updated_at"),
-            F.col("name"), geoid.alias("geoid"), i.alias("i")))),
-        row("control_extra_rows", plain),
-        row("control_extra_rows", doc(i=i + n, geoid=F.lpad((i + n).cast("string"), 12, "0")),
-            i < n / 2),
-        row("control_unicode_names", doc(name=F.when(
-            i % 3 == 0, F.concat(F.lit("Œ–"), F.col("name"), F.lit(" 郡"))).otherwise(F.col("name")))),
-        row("html_body", F.lit("<html><body>Back soon</body></html>"), first, False),
-        row("truncated", plain, i < F.floor(n * 0.75)),
-        row("stale_timestamps", doc(updated_at=F.lit("2000-01-01"))),
-        row("renamed_field", doc(population=None, population_total=F.col("population"))),
-        row("duplicated_rows", plain), row("duplicated_rows", plain, i < 5),
-        row("impossible_values", doc(population=F.when(i % 4 == 0, -5000.0)
-                                     .otherwise(F.col("population")))),
-        row("rate_limit_body", F.lit('{"message": "rate limit exceeded", "rows": []}'), first, False),
-        row("partial_geography", plain, i < n / 2),
-        row("wrong_vintage", doc(vintage=F.lit("2019"))),
-        row("bad_join_keys", doc(geoid=F.concat(F.lit("bad-"), i.cast("string")))),
-    ))
-    return reference.select(F.explode(copies).alias("c")).select("c.*").withColumn(
-        "status", F.lit(200)).withColumn("doc", jsonpath.parse(F.col("raw")))
-
-
-def injection_checks(total: Column) -> list[dict]:
-    """The one contract of the injection cases."""
-    return [
-        {"type": "status", "equals": 200},
-        {"type": "json"},
-        {"type": "min_rows", "min": total},
-        {"type": "unique_field", "field": "geoid"},
-        {"type": "fields_present", "fields": ["geoid", "name", "population", "vintage"]},
-        {"type": "field_pattern", "field": "geoid", "pattern": "^[0-9]{12}$"},
-        {"type": "value_range", "field": "population", "min": 0, "max": 100000000},
-        {"type": "known_answer", "field": "vintage", "first_by": "i", "equals": "2025"},
-        {"type": "freshness", "field": "updated_at", "first_by": "i", "max_age_hours": 48},
-    ]
+# ------------------------------------------------------------------ detection
+def case_outcomes(checks: DataFrame, expected: DataFrame, key: str = "case_id") -> DataFrame:
+    """Per case the expected and actual status, the expected dimension and whether it was flagged.
 
-
-def injection_results(variants: DataFrame, total: Column, *, as_of: str) -> DataFrame:
-    """Per case: expected and actual status, expected dimension and whether it was flagged."""
-    checks = run_contract(variants, injection_checks(total), as_of=as_of, keys=["case_id"],
-                          json_col="doc", row_flag="is_row")
-    want = {k: v[0] for k, v in INJECTION_CASES.items()}
-    dim = {k: v[1] for k, v in INJECTION_CASES.items() if v[1]}
-    expected_dim = text.lookup(F.col("case_id"), dim)
-    g = checks.withColumn("dimension_expected", expected_dim).groupBy(
-        "case_id", "dimension_expected").agg(
+    ``checks`` are contract results keyed by case, ``expected`` has (key, dimension): the dimension a
+    case ought to fail in, NULL for a healthy one.
+    """
+    g = checks.join(expected, key).groupBy(key, "dimension").agg(
         F.bool_and(F.col("ok") | ~F.col("critical")).alias("success"),
-        F.count_if(~F.col("ok")).alias("failing_checks"),
-        F.bool_or(~F.col("ok") & (F.col("dimension") == F.col("dimension_expected"))).alias("flag"))
+        F.coalesce(F.bool_or(~F.col("ok") & (F.col("check_dimension") == F.col("dimension"))),
+                   F.lit(False)).alias("dimension_flagged"))
     return g.select(
-        "case_id", text.lookup(F.col("case_id"), want).alias("expected"),
+        key, F.when(F.col("dimension").isNull(), "verified").otherwise("failed_checks").alias("expected"),
         F.when(F.col("success"), "verified").otherwise("failed_checks").alias("actual"),
-        "dimension_expected", F.coalesce("flag", F.lit(False)).alias("dimension_flagged"),
-        "failing_checks")
+        F.col("dimension").alias("dimension_expected"), "dimension_flagged")

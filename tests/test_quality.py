@@ -71,13 +71,44 @@ def test_rollup_completeness(spark):
     assert got["q"]["task_success"] and got["q"]["schema_valid"] and got["q"]["completeness_score"] == 1.0
 
 
-def test_injection(spark):
-    for n in (20, 37):
-        base = spark.range(n).selectExpr("id AS i", "concat('p', id) AS name", "10000.0 + id AS population")
-        total = base.agg(F.count("*")).scalar()
-        res = quality.injection_results(quality.inject_failures(base, total, as_of=AS_OF), total, as_of=AS_OF)
-        card = aggregates.detection_scorecard(res).first()
-        assert (card["detected"], card["false_positives"], card["classified"], card["pass"]) == (10, 0, 10, True)
+def test_case_outcomes(spark):
+    rows_ = spark.createDataFrame(
+        [("fine", 1, "x"), ("fine", 2, "y"), ("twice", 1, "x"), ("twice", 1, "y"), ("hollow", 1, "none"), ("hollow", 2, "y")],
+        "case_id string, k int, name string")
+    checks = quality.run_contract(
+        rows_, [{"type": "unique_field", "field": "k"}, {"type": "field_pattern", "field": "name", "pattern": "^.$"}],
+        as_of=AS_OF, keys=["case_id"]).withColumnRenamed("dimension", "check_dimension")
+    wanted = spark.createDataFrame([("fine", None), ("twice", "completeness"), ("hollow", "completeness")],
+                                   "case_id string, dimension string")
+    got = quality.case_outcomes(checks, wanted)
+    assert rows(got, "case_id", "actual", "dimension_flagged") == [
+        ("fine", "verified", False), ("hollow", "failed_checks", False), ("twice", "failed_checks", True)]
+    card = aggregates.detection_scorecard(got).first()
+    assert (card["injected"], card["detected"], card["false_positives"], card["classified"], card["pass"]) == (2, 2, 0, 1, False)
+
+
+def test_unknown_policy_rules_are_errors(spark):
+    state = spark.createDataFrame([], "status string, fresh boolean, verified_at string, experimental boolean, "
+                                      "streak int, success_rate_30d double, confidence double, eligible boolean")
+    with pytest.raises(ValueError, match="min_passes"):
+        quality.policy_gate(state, {"mine": {"min_passes": 3}}, as_of=AS_OF)
+    with pytest.raises(ValueError, match="unknown policy"):
+        quality.resolve_best(state, "strict", as_of=AS_OF)
+
+
+def test_an_allowed_source_beyond_place_ten(spark):
+    cols = ("capability_id int, eligible boolean, status string, fresh boolean, success_rate_30d double, "
+            "match_score int, latency_ms double, verified_at string, experimental boolean, streak int, confidence double, "
+            "receipt_id int")
+    data = [(i, True, "failed_checks", True, 1.0, 9, 1.0, AS_OF, False, 5, 1.0, i) for i in range(12)]
+    data.append((99, True, "failed_checks", True, 0.5, 1, 1.0, AS_OF, False, 5, 0.9, 99))
+    data.append((50, True, "verified", True, 0.1, 0, 9.0, AS_OF, False, 5, 0.8, 50))
+    frame = spark.createDataFrame(data, cols)
+    got = {r.capability_id: r.decision for r in quality.resolve_best(frame, as_of=AS_OF).collect()}
+    assert got[50] == "approved" and len(got) == 14
+    catalog = frame.select("capability_id", F.array(F.lit(3), F.lit(99)).alias("fallback_ids"))
+    best = quality.route_best(frame, catalog).first()
+    assert best.capability_id == 50 and best.fallbacks == [3, 99, 0]
 
 
 HISTORY = "source string, ts timestamp, event_id int, task_success boolean, latency_ms double, status string, schema_hash string, checks_passed int, checks_total int"
