@@ -292,7 +292,7 @@ def multi_file_union(t: Tables):
     b = t.lineitem.filter("l_linenumber > 3").select(
         day.alias("DATE"), c("l_suppkey").cast("string").alias("n-number"), c("l_returnflag").alias("MFR"),
         c("l_linestatus").alias("AIRCRAFT_MODEL"), c("l_linestatus").alias("component name"))
-    rows, _ = tables.multi_file_union(
+    rows, _, _ = tables.multi_file_union(
         [(a, "2019", "sdr_2019.csv"), (b, "2020", "sdr_2020.csv")], feeds.SDR_HEADERS, feeds.SDR_ESSENTIAL)
     return rows.filter(c("REPORT_ID") != "").groupBy(
         c("SOURCE_YEAR").alias("year"), c("N_NUMBER").alias("mark"), c("MFR").alias("mfr"),

@@ -244,8 +244,9 @@ def event_match_tiers(t: Tables):
 
 
 @query(f"""
-WITH v AS (SELECT {header_sql('substr(text, 1, 40)')} AS mk, {header_sql('substr(text, 41, 30)')} AS md,
-                  substr(text, 1, 40) AS mfr, substr(text, 41, 30) AS model FROM benchmark),
+WITH b AS (SELECT regexp_split_to_array(text, '[.\\n]') AS parts FROM benchmark),
+s AS (SELECT parts[1] AS mfr, coalesce(parts[2], '') AS model FROM b),
+v AS (SELECT {header_sql('mfr')} AS mk, {header_sql('model')} AS md, mfr, model FROM s),
 d AS (SELECT doc_id, {header_sql('text')} AS hay FROM documents),
 mk AS (SELECT mk, min(mfr) AS mfr FROM v WHERE mk <> '' GROUP BY mk),
 md AS (SELECT mk, md, max(model) AS model FROM v WHERE length(md) >= 3 GROUP BY mk, md),
@@ -256,8 +257,9 @@ UNION ALL SELECT doc_id, mfr, '', 'MAKE_TEXT_MATCH' FROM hits
 WHERE (doc_id, mk) NOT IN (SELECT (doc_id, mk) FROM both_hit)
 """)
 def text_vocab_join(t: Tables):
-    vocab = t.benchmark.select(F.substring("text", 1, 40).alias("MFR"),
-                               F.substring("text", 41, 30).alias("MODEL"))
+    sentences = F.split("text", "[.\\n]")  # the first sentence of an item and the second, in full
+    vocab = t.benchmark.select(sentences[0].alias("MFR"),
+                               F.coalesce(F.get(sentences, F.lit(1)), F.lit("")).alias("MODEL"))
     return matching.text_vocab_join(t.documents, vocab, id_col="doc_id", text_col="text").select(
         "doc_id", c("APPLIES_MFR").alias("mfr"), c("APPLIES_MODEL").alias("model"),
         c("APPLICABILITY_CONFIDENCE").alias("confidence"))
@@ -267,7 +269,7 @@ def text_vocab_join(t: Tables):
 SELECT "AD_NUMBER" AS ad_number, CASE WHEN "RECURRING" = 'yes' THEN "EFFECTIVE_DATE" ELSE '' END
        AS effective, CASE WHEN "RECURRING" = 'yes' THEN "SUBJECT" ELSE '' END AS subject,
        "APPLIES_MFR" AS mfr,
-       'Applicability inferred from AD text (TEXT_MATCH); confirm against DRS.' AS notes FROM v_ads
+       'Derived from the wording alone (TEXT_MATCH); look the directive up.' AS notes FROM v_ads
 """, views=("v_ads",))
 def ads_view(t: Tables):
     a = t.v_ads

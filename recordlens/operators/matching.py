@@ -53,7 +53,7 @@ def identity_confidence(resolved: DataFrame, *, as_of: str) -> DataFrame:
 
 def tail_events(entities: DataFrame, records: DataFrame) -> DataFrame:
     """Records that carry the entity's own mark."""
-    keyed = records.withColumn("ENTITY", text.normalize_mark(F.col("N_NUMBER")))
+    keyed = records.withColumn("ENTITY", text.normalize_mark(F.col("N_NUMBER"))).filter(F.col("ENTITY") != "")
     ids = entities.select(text.normalize_mark(F.col("N_NUMBER")).alias("ENTITY")).distinct()
     return keyed.join(ids, "ENTITY")
 
@@ -121,7 +121,8 @@ def family_labels(entities: DataFrame, records: DataFrame, label: Column) -> Dat
     ents = entities.select(text.normalize_mark(F.col("N_NUMBER")).alias("ENTITY"),
                            text.loose(F.col("MFR")).alias("MFR_KEY"),
                            text.loose(F.col("MODEL")).alias("MODEL_KEY"))
-    mine = recs.select(text.normalize_mark(F.col("N_NUMBER")).alias("ENTITY"), "_mfr", "_model", "LABEL")
+    mine = recs.select(text.normalize_mark(F.col("N_NUMBER")).alias("ENTITY"), "_mfr", "_model", "LABEL").filter(
+        F.col("ENTITY") != "")  # records without a mark are nobody's own
     own = (
         mine.join(ents, "ENTITY")
         .filter((F.col("_mfr") == F.col("MFR_KEY")) & F.col("MODEL_KEY").startswith(F.col("_model")))
@@ -327,6 +328,14 @@ def serial_guarded_history(cancelled: DataFrame, current: DataFrame) -> DataFram
 
 
 # ------------------------------------------------------------------ match tiers
+def spread_key(key: Column, usable: Column, rows: DataFrame) -> Column:
+    """The key where it is usable, else a value of the row's own that matches nothing.
+
+    Rows without a key so spread over all tasks of a join instead of meeting in one.
+    """
+    return F.when(usable, key).otherwise(F.concat(F.lit("\x00"), F.xxhash64(*rows.columns).cast("string")))
+
+
 INLINE_GRAMS = 1000
 
 
@@ -389,9 +398,11 @@ def match_tiers(reports: DataFrame, registry: DataFrame, *, id_col: str,
         "_e": text.normalize_header(F.col("ENG_MODEL")),
         "_ok": text.is_valid_mark(F.col("N_NUMBER")) & ~text.is_blank(F.col("N_NUMBER")),
     })
-    j = rep.join(marks, rep["_ok"] & (rep["N_NUMBER"] == marks["_by_mark"]), "left")
-    j = j.join(serials, ~text.is_blank(j["SERIAL_NUMBER"])
-               & (j["SERIAL_NUMBER"] == serials["_serial"]), "left")
+    rep = rep.withColumns({
+        "_mark_key": spread_key(F.col("N_NUMBER"), F.col("_ok"), rep),
+        "_serial_key": spread_key(F.col("SERIAL_NUMBER"), ~text.is_blank(F.col("SERIAL_NUMBER")), rep)})
+    j = rep.join(marks, F.col("_mark_key") == F.col("_by_mark"), "left")
+    j = j.join(serials, F.col("_serial_key") == F.col("_serial"), "left")
     j = j.join(models, j["_m"] == models["_by_mm"], "left")
     j = j.join(engines, ~text.is_blank(j["ENG_MODEL"]) & (j["_m"] == engines["_by_mme"])
                & (j["_e"] == engines["_by_eng"]), "left")
@@ -413,7 +424,7 @@ def match_tiers(reports: DataFrame, registry: DataFrame, *, id_col: str,
     j = j.join(named, j["_tier"].isNull() & (j["_narr"] == named["_hit"]), "left")
     return j.select(
         id_col,
-        F.col("N_NUMBER").alias("REPORT_MARK"),
+        F.col("N_NUMBER").alias("SDR_N_NUMBER"),
         F.coalesce("_by_mark", "_by_serial", F.lit("")).alias("MATCHED_N_NUMBER"),
         F.coalesce("_tier", F.when(F.col("_hit").isNotNull(), "WEAK_TEXT_MATCH"),
                    F.lit("NO_MATCH")).alias("CONFIDENCE"),
@@ -429,10 +440,11 @@ def event_match_tiers(events: DataFrame, registry: DataFrame, *,
                        list(registry_order), last=True)
     serials = serials.select(F.col("SERIAL_NUMBER").alias("_serial"),
                              F.col("_mark").alias("_by_serial"))
-    j = events.join(marks, ~text.is_blank(events["N_NUMBER"])
-                    & (events["N_NUMBER"] == marks["_by_mark"]), "left")
-    j = j.join(serials, ~text.is_blank(j["SERIAL_NUMBER"])
-               & (j["SERIAL_NUMBER"] == serials["_serial"]), "left")
+    keyed = events.withColumns({
+        "_mark_key": spread_key(F.col("N_NUMBER"), ~text.is_blank(F.col("N_NUMBER")), events),
+        "_serial_key": spread_key(F.col("SERIAL_NUMBER"), ~text.is_blank(F.col("SERIAL_NUMBER")), events)})
+    j = keyed.join(marks, F.col("_mark_key") == F.col("_by_mark"), "left")
+    j = j.join(serials, F.col("_serial_key") == F.col("_serial"), "left")
     model = ~text.is_blank(F.col("MFR")) & ~text.is_blank(F.col("MODEL"))
     return j.select(
         "EVENT_ID", F.col("N_NUMBER").alias("EVENT_N_NUMBER"),
@@ -474,8 +486,8 @@ def ads_view(applicability: DataFrame, directives: DataFrame) -> DataFrame:
     """Applicability rows with the directive's date and subject; cost and recurrence unknown."""
     d = directives.select("AD_NUMBER", F.col("EFFECTIVE_DATE").alias("_date"),
                           F.col("TITLE").alias("_title"))
-    note = F.concat(F.lit("Applicability inferred from AD text ("),
-                    F.col("APPLICABILITY_CONFIDENCE"), F.lit("); confirm against DRS."))
+    note = F.concat(F.lit("Derived from the wording alone ("),
+                    F.col("APPLICABILITY_CONFIDENCE"), F.lit("); look the directive up."))
     return applicability.join(d, "AD_NUMBER", "left").select(
         "AD_NUMBER", text.blank(F.col("_date")).alias("EFFECTIVE_DATE"),
         text.blank(F.col("_title")).alias("SUBJECT"), "APPLIES_MFR", "APPLIES_MODEL",

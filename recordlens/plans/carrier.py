@@ -71,20 +71,20 @@ def carrier_indicator(requests: DataFrame, census: DataFrame, crashes: DataFrame
         _flag(c("known") & new12, "verify", _say(
             "Fairly new to the records (about ", months, " months).")),
         _flag(c("known") & (c("units") == 0), "elevated", F.lit(
-            "The census reports 0 power units. Confirm the equipment that would haul the load.")),
+            "No power unit is on file. Ask which truck would carry the load.")),
         _flag(c("known") & odd_ratio, "verify", _say(
             "Unusual ratio of ", c("drivers"), " drivers to ", c("units"), " power units.")),
         _flag(c("known") & few, "verify", _say(
             "Only ", c("inspections"), " roadside inspections in 24 months; too few to judge.")),
         _flag(c("known") & vehicle, "elevated", _say(
-            "Vehicle out-of-service rate is far above the national average. It is ",
+            "More vehicles are put out of service than usual for the country, at ",
             c("vehicle_oos_pct"), " per cent.")),
         _flag(c("known") & driver, "elevated", _say(
-            "Driver out-of-service rate is above the national average. It is ",
+            "More drivers are put out of service than usual for the country, at ",
             c("driver_oos_pct"), " per cent.")),
         _flag(c("known") & crash, "elevated", _say(
-            c("crashes"), " crashes in 24 months against ", c("units"), " power units. This is an "
-            "elevated frequency.")),
+            "Crashes are frequent for the fleet: ", c("crashes"), " in 24 months with ", c("units"),
+            " power units.")),
     ))
     indicator = numbers.clamp_100(concern).cast("int")
     decision = (
@@ -117,7 +117,7 @@ def carrier_verdict(assessed: DataFrame) -> DataFrame:
             F.lit(" Key points: "),
             F.array_join(F.transform(F.slice(high, 1, 2), lambda f: first_sentence(f["text"])), "; "),
             F.lit(".")))
-        .otherwise(" Nothing in the public record stands out; it cannot confirm who is calling."))
+        .otherwise(" No warning sign is on record, which does not prove who is on the phone."))
     known = F.concat(name, lead, F.lit(" in the public record."), detail,
                      F.lit(" This supports a decision and guarantees nothing."))
     unknown = F.concat(F.lit("No census record was found for USDOT "), c("dot_number"),

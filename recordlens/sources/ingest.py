@@ -31,7 +31,9 @@ def _csv_files(spark: SparkSession, folder: str, pattern: str = "*.[cC][sS][vV]"
     """Paths of the landed files (a short list from the file system, no content)."""
     try:
         listing = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/{pattern}")
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return []
     return sorted(r[0] for r in listing.select("path").collect())
 
@@ -77,14 +79,16 @@ def load_sdr(spark, folder, store, as_of):
     for path in files:
         name = path.rsplit("/", 1)[-1]
         hit = re.search(r"(19|20)\d{2}", name)
-        parts.append((tables.csv_scan(spark, path), hit.group(0) if hit else "unknown", name))
-    reports, lineage = tables.multi_file_union(parts, feeds.SDR_HEADERS, feeds.SDR_ESSENTIAL)
+        parts.append((tables.csv_scan(spark, path), hit.group(0) if hit else "unknown", path))
+    reports, lineage, skipped = tables.multi_file_union(parts, feeds.SDR_HEADERS, feeds.SDR_ESSENTIAL)
+    warnings = [f"{file}: {reason}" for file, reason in skipped]
     if reports is None:
-        raise FeedProblem("ZERO_ROWS", "no file has the essential columns")
+        raise FeedProblem("ZERO_ROWS", f"no file has the essential columns: {' | '.join(warnings)}")
+    empty = lineage.filter("ROWS = 0").select("FILE").collect()  # one row per file
+    warnings += sorted(f"{r[0]}: no rows" for r in empty)
     reports = tables.with_columns(reports, feeds.SDR)
     out = {"sdr_reports": reports, "sdr": reports, "sdr_source_files": lineage}
     reg = store.production("aircraft_registry_current")
-    warnings = []
     if reg is None:
         warnings.append("no registry yet; matches left out")
     else:
@@ -95,19 +99,25 @@ def load_sdr(spark, folder, store, as_of):
 
 
 def load_ntsb(spark, folder, store, as_of):
-    parts = []
+    parts, warnings = [], []
     for path in _csv_files(spark, folder):
-        mapped, _ = tables.reconcile_columns(
+        mapped, missing = tables.reconcile_columns(
             tables.csv_scan(spark, path), feeds.NTSB_HEADERS, feeds.NTSB_ESSENTIAL)
-        if mapped is not None:
+        if mapped is None:
+            lost = ", ".join(f for f in missing if f in feeds.NTSB_ESSENTIAL)
+            warnings.append(f"{path.rsplit('/', 1)[-1]}: no column for {lost}; the file is left out")
+        else:
             parts.append(mapped.withColumns({
                 "N_NUMBER": text.normalize_mark(F.col("N_NUMBER")), "SOURCE_MODE": F.lit("bulk")}))
     for path in _csv_files(spark, folder, "*.[jJ][sS][oO][nN]"):
         body = spark.read.option("wholetext", True).text(path)
+        if body.filter(F.try_parse_json("value").isNull()).count():
+            warnings.append(f"{path.rsplit('/', 1)[-1]}: not readable as JSON; the file is left out")
+            continue
         parts.append(documents.eav_pivot_scan(body, "value", "api"))
         parts.append(documents.ntsb_json(body, "value", "api"))
     if not parts:
-        raise FeedProblem("ZERO_ROWS", "no events")
+        raise FeedProblem("ZERO_ROWS", " | ".join(["no events", *warnings]))
     rows = None
     for i, p in enumerate(parts):  # later files win over earlier ones
         p = tables.with_columns(p, feeds.NTSB).withColumn("_file", F.lit(i))
@@ -117,7 +127,6 @@ def load_ntsb(spark, folder, store, as_of):
     events = aggregates.dedupe_last_wins(rows, key, ["_file", *feeds.NTSB]).drop("_file")
     out = {"ntsb_events": events, "ntsb": events}
     reg = store.production("aircraft_registry_current")
-    warnings = []
     if reg is None:
         warnings.append("no registry yet; matches left out")
     else:

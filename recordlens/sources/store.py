@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recordlens.operators.ordered import pick_row, with_previous
+from recordlens.session import read_if_there
 from recordlens.sources import feeds
 
 STATUS = ["OK", "OK_WITH_WARNINGS", "SOURCE_UNAVAILABLE", "SCHEMA_CHANGED", "ZERO_ROWS",
@@ -36,13 +36,6 @@ def latest_artifacts(files: DataFrame, order: list[str]) -> DataFrame:
     return pick_row(files, ["name"], order, last=True)
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
 class TableStore:
     """Staging, promotion and schema fingerprints below a base folder."""
 
@@ -59,7 +52,7 @@ class TableStore:
         return self.spark.read.parquet(staged["path"])
 
     def _log(self) -> DataFrame | None:
-        return _read(self.spark, f"{self.base}/promotions")
+        return read_if_there(self.spark, f"{self.base}/promotions")
 
     def schema_changes(self, staged: list[dict]) -> list[dict]:
         """Staged tables whose ordered columns differ from those promoted last."""

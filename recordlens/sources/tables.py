@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from recordlens.functions import text
 from recordlens.sources import feeds
@@ -127,32 +127,39 @@ def batch_sink(records: DataFrame, directory: str) -> None:
 
 # ------------------------------------------------------------------ yearly files
 def multi_file_union(parts: Sequence[tuple[DataFrame, str, str]], candidates: dict[str, list[str]],
-                     essential: Sequence[str]) -> tuple[DataFrame | None, DataFrame | None]:
-    """Yearly files of different layouts as one table, and the row count of each file.
+                     essential: Sequence[str]
+                     ) -> tuple[DataFrame | None, DataFrame | None, list[tuple[str, str]]]:
+    """Yearly files of different layouts as one table, the row count of each file, and the files left out.
 
-    ``parts`` are (table, year, file name). A file without the essential headers is skipped. Missing
-    report ids are made from the year and a hash of the row, which stays the same on a re-run.
+    ``parts`` are (table, year, path). A file without the essential headers is left out and listed with
+    the reason. Missing report ids are made from the year, a hash of the row and, for equal rows, their
+    number; they stay the same on a re-run.
     """
-    tables, lineage = [], []
-    for df, year, file in parts:
+    tables, lineage, skipped = [], [], []
+    for df, year, path in parts:
+        file = path.rsplit("/", 1)[-1]
         lineage.append(df.agg(F.lit(year).alias("YEAR"), F.lit(file).alias("FILE"),
-                              F.count("*").alias("ROWS")))
-        mapped, _ = reconcile_columns(df, candidates, essential)
+                              F.count("*").alias("ROWS"), F.lit(path).alias("PATH")))
+        mapped, missing = reconcile_columns(df, candidates, essential)
         if mapped is None:
+            lost = [f for f in missing if f in essential]
+            skipped.append((file, f"no column for {', '.join(lost)}; the file is left out"))
             continue
-        mark = text.normalize_mark(F.col("N_NUMBER"))
-        made = F.concat(F.lit(f"{year}-"), F.sha2(F.concat_ws("|", *mapped.columns), 256))
-        tables.append(mapped.withColumns({
-            "N_NUMBER": mark, "SOURCE_YEAR": F.lit(year),
-            "REPORT_ID": F.when(text.is_blank(F.col("REPORT_ID")), made)
-            .otherwise(F.col("REPORT_ID"))}))
+        digest = F.sha2(F.concat_ws("|", *mapped.columns), 256)
+        blank = text.is_blank(F.col("REPORT_ID"))
+        turn = F.row_number().over(Window.partitionBy("_digest").orderBy("_digest"))
+        made = F.concat(F.lit(f"{year}-"), F.col("_digest"), F.when(turn > 1, F.concat(F.lit("-"), turn)).otherwise(""))
+        # Only rows without an id are numbered, so the others are not shuffled.
+        without = mapped.filter(blank).withColumn("_digest", digest).withColumn("REPORT_ID", made).drop("_digest")
+        tables.append(mapped.filter(~blank).unionByName(without).withColumns({
+            "N_NUMBER": text.normalize_mark(F.col("N_NUMBER")), "SOURCE_YEAR": F.lit(year)}))
     union = None
     for t in tables:
         union = t if union is None else union.unionByName(t, allowMissingColumns=True)
     counts = None
     for t in lineage:
         counts = t if counts is None else counts.unionByName(t)
-    return union, counts
+    return union, counts, skipped
 
 
 def year_range(spec: str | None, current_year: int) -> tuple[int, int]:

@@ -10,30 +10,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-Step = Callable[[DataFrame, "DataFrame | None"], "tuple[DataFrame, DataFrame]"]
-
+from recordlens.session import remove_folder
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+Step = Callable[[DataFrame, "DataFrame | None"], "tuple[DataFrame, DataFrame]"]
 
 
 def start_with_carry(stream: DataFrame, step: Step, base: str) -> StreamingQuery:
-    """Runs ``step(batch, carry) -> (output, new carry)`` on every micro-batch."""
+    """Runs ``step(batch, carry) -> (output, new carry)`` on every micro-batch.
+
+    Only the first batch may do without a carry: a missing one later is an error, not an empty state.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        carry = None if batch_id == 0 else _read(spark, f"{base}/carry/batch={batch_id - 1}")
-        out, new_carry = step(batch, carry)
-        out.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
-        new_carry.write.mode("overwrite").parquet(f"{base}/carry/batch={batch_id}")
-
+        carry = spark.read.parquet(f"{base}/carry/batch={batch_id - 1}") if batch_id else None
+        batch = batch.persist()  # output and carry read it both
+        try:
+            out, new_carry = step(batch, carry)
+            out.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+            new_carry.write.mode("overwrite").parquet(f"{base}/carry/batch={batch_id}")
+        finally:
+            batch.unpersist()
+        if batch_id > 1:  # a repeated batch needs the carry before it, none older
+            remove_folder(spark, f"{base}/carry/batch={batch_id - 2}")
+
+    return start_batches(stream, run, base)
+
+
+def start_batches(stream: DataFrame, run: Callable[[DataFrame, int], None], base: str) -> StreamingQuery:
+    """Calls ``run(batch, batch id)`` for what the stream holds now."""
     return (
         stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{base}/checkpoint")
         .trigger(availableNow=True).start()

@@ -10,7 +10,7 @@ from recordlens.operators import sequences
 from recordlens.operators.ordered import pick_row, time_chunk, with_previous
 from recordlens.session import cut
 from recordlens.sources import tables
-from recordlens.streaming.carry import last_carry, output, start_with_carry
+from recordlens.streaming.carry import last_carry, output, start_batches, start_with_carry
 
 EVENT_SCHEMA = (
     "sessionId string, timestamp long, eventType string, filePath string, branchPath string, "
@@ -199,8 +199,10 @@ def stream_ingest(spark: SparkSession, directory: str, candidates: dict[str, lis
                   essential: list[str], base: str, *, max_files: int = 100) -> StreamingQuery:
     """New CSV files under drifting headers to one table; a file with known content is skipped.
 
-    A batch holds at most ``max_files`` file names, the only thing the driver sees. The table's
-    rows are keyed by batch id, so a repeated batch replaces its own rows.
+    A batch holds at most ``max_files`` file names, the only thing the driver sees. Rows, hashes and
+    quarantine are keyed by batch id, so a repeated batch replaces its own. A file without the essential
+    headers goes to the quarantine with the reason; its hash stays unknown, so it is tried again when it
+    comes again.
     """
     files = (
         spark.readStream.format("binaryFile").schema(
@@ -209,21 +211,33 @@ def stream_ingest(spark: SparkSession, directory: str, candidates: dict[str, lis
     )
     hashed = files.select("path", F.sha2("content", 256).alias("sha256"))
 
-    def step(batch: DataFrame, carry: DataFrame | None):
+    def run(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        first = batch.groupBy("sha256").agg(F.min("path").alias("path"))
-        known = session.createDataFrame([], "sha256 string, path string") if carry is None else carry
-        new = first.join(known, "sha256", "left_anti").select("sha256", "path")
-        paths = [r["path"] for r in new.select("path").collect()]
+        new = batch.groupBy("sha256").agg(F.min("path").alias("path"))
+        if batch_id:
+            known = session.read.parquet(f"{base}/known").filter(F.col("batch") < batch_id)
+            new = new.join(known, "sha256", "left_anti")
+        listed = sorted((r["path"], r["sha256"]) for r in new.collect())
         out = tables.empty_table(session, [*candidates, "SOURCE_FILE"])
-        for path in sorted(paths):
-            mapped, _ = tables.reconcile_columns(tables.csv_scan(session, path), candidates, essential)
-            if mapped is not None:
-                name = path.rsplit("/", 1)[-1]
-                out = out.unionByName(mapped.withColumn("SOURCE_FILE", F.lit(name)))
-        return out, known.unionByName(new)
-
-    return start_with_carry(hashed, step, base)
+        taken, refused = [], []
+        for path, digest in listed:
+            mapped, missing = tables.reconcile_columns(tables.csv_scan(session, path), candidates, essential)
+            if mapped is None:
+                refused.append((path, digest, f"no column for {', '.join(missing)}"))
+            else:
+                taken.append((digest, path))
+                out = out.unionByName(mapped.withColumn("SOURCE_FILE", F.lit(path.rsplit("/", 1)[-1])))
+        for name, frame in (
+                ("out", out), ("known", session.createDataFrame(taken, "sha256 string, path string")),
+                ("quarantine", session.createDataFrame(refused, "path string, sha256 string, reason string"))):
+            frame.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id}")
+
+    return start_batches(hashed, run, base)
+
+
+def quarantined(spark: SparkSession, base: str) -> DataFrame:
+    """Path, hash and reason of the files that gave no rows."""
+    return spark.read.parquet(f"{base}/quarantine").drop("batch")
 
 
 def ingested(spark: SparkSession, base: str) -> DataFrame:

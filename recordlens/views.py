@@ -202,18 +202,10 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
 }
 
 
-LARGE_TABLES = ("lineitem", "orders", "events", "documents")
-
-
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One driver table. A large table that comes as fewer files than there are cores (one file in
-    the local samples) is spread over them; tables of many files are read as they are."""
+    """One driver table as it is stored."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if table in LARGE_TABLES and len(df.inputFiles()) < min(cores, 64):
-        df = df.repartition(cores, df.columns[0])
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
