@@ -173,7 +173,10 @@ def test_ingest_end_to_end(spark, landed, tmp_path):
     base = str(tmp_path / "db")
     records = ingest.run_ingest(spark, landed, base, as_of=AS_OF)
     assert [r["source_name"] for r in records] == list(ingest.FEEDS)
-    assert {r["status"] for r in records} <= {"OK", "OK_WITH_WARNINGS"}
+    by_name = {r["source_name"]: (r["status"], r["error_message"]) for r in records}
+    assert {n: s for n, (s, _) in by_name.items()} == {
+        "registry": "OK_WITH_WARNINGS", "sdr": "OK_WITH_WARNINGS", "ntsb": "OK", "ads": "OK", "enforcement": "OK",
+        "asrs": "OK_WITH_WARNINGS", "incursions": "OK", "strikes": "OK"}, by_name
     s = store.TableStore(spark, base)
     assert rows(s.production("sdr_aircraft_matches"), "CONFIDENCE") == [
         ("EXACT_N_NUMBER",), ("MODEL_ONLY",), ("NO_MATCH",), ("WEAK_TEXT_MATCH",)]
@@ -231,3 +234,73 @@ def test_yearly_overwrite(spark, tmp_path, table):
     tables.write_years(table("v SOURCE_YEAR", ("1", "2019"), ("2", "2020")), path)
     tables.write_years(table("v SOURCE_YEAR", ("3", "2020")), path)
     assert rows(spark.read.parquet(path).selectExpr("v", "cast(SOURCE_YEAR as string)")) == [("1", "2019"), ("3", "2020")]
+
+
+def test_files_left_out_are_reported(spark, tmp_path):
+    src = tmp_path / "in"
+    write(src / "sdr/sdr_2019.csv", "SDR NO,DIFFICULTY DATE,MAKE,MODEL,REGISTRATION NUMBER\n1,2019-01-01,ACME,X,10A\n"
+          ",2019-01-02,ACME,X,\n,2019-01-02,ACME,X,\n")
+    write(src / "sdr/sdr_2020.csv", "what,is,this\n1,2,3\n")
+    write(src / "sdr/sdr_2021.csv", "SDR NO,DIFFICULTY DATE,MAKE,MODEL\n")
+    write(src / "ntsb/one.csv", "NTSB_NO,EV_DATE,REGIST_NO,MAKE,MODEL\nE1,2020-01-01,10a,ACME,X-20\n")
+    write(src / "ntsb/odd.csv", "what,is,this\n1,2,3\n")
+    write(src / "ntsb/broken.json", "{oops")
+    base = str(tmp_path / "db")
+    records = ingest.run_ingest(spark, {n: str(src / n) for n in ("sdr", "ntsb")}, base, as_of=AS_OF)
+    got = {r["source_name"]: (r["status"], r["error_message"].split(" | ")) for r in records}
+    assert got["sdr"][0] == got["ntsb"][0] == "OK_WITH_WARNINGS"
+    assert got["sdr"][1][0].startswith("sdr_2020.csv: no column for DATE") and "sdr_2021.csv: no rows" in got["sdr"][1]
+    assert got["ntsb"][1][0].startswith("odd.csv: no column for") and "broken.json: not readable as JSON" in got["ntsb"][1][1]
+    s = store.TableStore(spark, base)
+    assert s.production("ntsb").count() == 1
+    reports = s.production("sdr_reports").select("REPORT_ID").collect()
+    assert len(reports) == len({r[0] for r in reports}) == 3
+    assert s.production("sdr_source_files").filter("PATH LIKE '%sdr_2020.csv'").count() == 1
+
+
+def test_streamed_files_without_columns_are_quarantined(spark, tmp_path):
+    from recordlens.streaming import jobs
+
+    src, base = tmp_path / "in", str(tmp_path / "out")
+    write(src / "good.csv", "DATE,MFR,MODEL\n2020-01-01,ACME,X\n")
+    write(src / "odd.csv", "what,is,this\n1,2,3\n")
+    fields = {"DATE": ["DATE"], "MFR": ["MFR"], "MODEL": ["MODEL"]}
+
+    def run(columns):
+        jobs.stream_ingest(spark, str(src), columns, ["DATE", "MFR", "MODEL"], base).awaitTermination()
+
+    run(fields)
+    assert jobs.ingested(spark, base).count() == 1
+    refused = jobs.quarantined(spark, base).collect()
+    assert len(refused) == 1 and refused[0]["path"].endswith("odd.csv") and "DATE" in refused[0]["reason"]
+    # The same content under another name, now with a known layout: good.csv is known, odd.csv is not.
+    write(src / "again.csv", (src / "good.csv").read_text())
+    write(src / "odd2.csv", (src / "odd.csv").read_text())
+    run({"DATE": ["WHAT"], "MFR": ["IS"], "MODEL": ["THIS"]})
+    assert jobs.ingested(spark, base).count() == 2
+
+
+def test_a_lost_carry_is_an_error(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from recordlens.streaming.carry import start_with_carry
+
+    src, base = tmp_path / "in", str(tmp_path / "out")
+
+    def count(batch, carry):
+        total = batch.agg(F.count("*").alias("n"))
+        if carry is not None:
+            total = total.unionByName(carry).agg(F.sum("n").alias("n"))
+        return total, total
+
+    def run(name):
+        write(src / name, '{"k": 1}\n')
+        stream = spark.readStream.schema("k int").json(str(src))
+        start_with_carry(stream, count, base).awaitTermination()
+
+    for name in ("a.json", "b.json", "c.json"):
+        run(name)
+    assert sorted(r["n"] for r in spark.read.parquet(f"{base}/out").collect()) == [1, 2, 3]
+    assert sorted(p.name for p in (tmp_path / "out" / "carry").iterdir()) == ["batch=1", "batch=2"]
+    (tmp_path / "out" / "carry" / "batch=2").rename(tmp_path / "aside")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        run("d.json")
