@@ -11,8 +11,9 @@ Two classes link when 100 * intersection >= ``percent`` * union.
    K + 1, so up to K may be passed over. ``Family`` weighs keys against chance agreement for this.
 3. Keys held by few classes give pairs directly. A popular key (more than ``POPULAR`` classes: copies,
    templates, empty segments) is passed over by sets with few of them, which loses nothing by point 2. Sets
-   with many are near copies of each other: first all are compared with the key's hub, then what is still in
-   different groups is compared where two sets share a key, one pair per two sets.
+   with many are near copies of each other: first all are compared with the key's hub. Where the sets that
+   hang together by popular keys then still form several groups, blocks of ``BLOCK_SETS`` are counted against
+   each other shingle by shingle; a block pair gives one link per set at most, never its pairs.
 4. Pairs are verified exactly on the sets.
 
 Keys travel in sorted binary runs, at most ``RUN_KEYS`` at a time; a task that gathers keys holds at most
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordlens.llm.components import components
+from recordlens.llm.components import components, local_components
 from recordlens.llm.hashing import BASE, mix, shingle_hashes, slices, word_hashes
 from recordlens.session import cut
 
@@ -46,6 +47,8 @@ SPARE = 0.2
 RUN_KEYS = 1_500_000
 PART_BYTES = 12 << 20
 CHANCE_WEIGHT = 50.0
+BLOCK_SETS = 256
+SHINGLES_AT_ONCE = 4096
 
 
 @lru_cache
@@ -318,13 +321,13 @@ def near_sets(documents: DataFrame, key: str = "doc_id", text: str = "text", siz
     members = cut(popular_members(found, percent), "popular")
     weight = members.groupBy("a").agg(F.count("*").alias("weight"))
     hubs = members.join(weight, "a").groupBy("key").agg(F.max(F.struct("weight", "a")).alias("hub"))
-    pairs = cut(found.where("kind = 0").select("a", "b").unionByName(
-        members.join(hubs, "key").select("a", F.col("hub.a").alias("b"))).where("a <> b").distinct(), "pairs")
+    to_hub = cut(members.join(hubs, "key").select("a", F.col("hub.a").alias("b")).where("a <> b").distinct(), "hubs")
+    pairs = cut(found.where("kind = 0").select("a", "b").unionByName(to_hub).distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("print")).unionByName(pairs.select(F.col("b").alias("print")))
     sets = cut(class_sets(source, classes, ends.unionByName(members.select(F.col("a").alias("print"))),
                           key, text, size), "class-sets")
     links = cut(linked(pairs, sets, percent), "set-links")
-    links = links.unionByName(linked(apart(members, links), sets, percent))
+    links = links.unionByName(links_between_groups(to_hub, links, sets, percent))
     by_id = classes.select("print", "id")
     named = (
         links.join(by_id.toDF("a", "id_a"), "a").join(by_id.toDF("b", "id_b"), "b").select("id_a", "id_b")
@@ -347,11 +350,45 @@ def shared_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return ties.join(classes, "print").select("id_a", F.col("id").alias("id_b"))
 
 
-def apart(members: DataFrame, links: DataFrame) -> DataFrame:
-    """a, b: sets with many popular keys that share one and are in different groups so far."""
+def common_counts(members: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all pairs of a block's sets."""
+    owner = np.repeat(np.arange(len(members)), [len(m) for m in members])
+    _, column, uses = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+    shared = uses[column] > 1  # a shingle of one set counts for no pair
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    out = np.zeros((len(members), len(members)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, SHINGLES_AT_ONCE):
+        a, b = np.searchsorted(column, [low, low + SHINGLES_AT_ONCE])
+        held = np.zeros((len(members), SHINGLES_AT_ONCE), np.float32)
+        held[owner[a:b], column[a:b] - low] = 1
+        out += held @ held.T
+    return np.rint(out).astype(np.int64)
+
+
+def links_between_groups(to_hub: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links of sets with many popular keys across the groups that the links so far leave."""
+    clusters = components(to_hub, "a", "b").select(F.col("id").alias("a"), F.col("component_id").alias("cluster"))
     groups = components(links, "a", "b").select(F.col("id").alias("a"), F.col("component_id").alias("group"))
-    known = cut(members.join(groups, "a", "left").select("key", "a", F.coalesce("group", "a").alias("group")), "apart")
-    mixed = known.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
-    left = known.join(mixed.select("key"), "key", "left_semi")
-    right = left.select("key", F.col("a").alias("b"), F.col("group").alias("other"))
-    return left.join(right, "key").where("group < other").select("a", "b").distinct()
+    known = cut(clusters.join(groups, "a", "left").select("a", "cluster", F.coalesce("group", "a").alias("group")), "groups")
+    mixed = known.groupBy("cluster").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n"))
+    mixed = mixed.where("low <> high").select("cluster", F.ceil(F.col("n") / BLOCK_SETS).cast("int").alias("blocks"))
+    dealt = known.join(mixed, "cluster").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "cluster", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "a", "group")
+    rows = sent.join(sets.select(F.col("print").alias("a"), "members"), "a")
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        group, prints = block["group"].to_numpy(), block["a"].to_numpy()
+        if (group == group[0]).all():
+            return pd.DataFrame({"a": [], "b": []})
+        held = [np.frombuffer(m, np.uint64) for m in block["members"]]
+        common, size = common_counts(held), np.array([len(m) for m in held])
+        near = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+        x, y = np.nonzero(np.triu(near & (group[:, None] != group[None, :]), 1))
+        label = local_components(len(held), x, y)
+        moved = np.flatnonzero(label != np.arange(len(held)))
+        return pd.DataFrame({"a": prints[moved], "b": prints[label[moved]]})
+
+    return rows.groupBy("cluster", "first", "second").applyInPandas(compare, "a long, b long")

@@ -205,6 +205,29 @@ def test_key_table_splits_small_and_popular_keys():
     assert pairs == {(a, b) for a in range(40) for b in range(a + 1, 40) if a // 3 == b // 3}
 
 
+def test_common_counts():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 3000)).astype(np.uint64)) for _ in range(20)]
+    got = partition_join.common_counts(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(20) for j in range(20) if i != j)
+
+
+def test_many_near_copies_at_the_threshold(spark):
+    rng = np.random.default_rng(31)
+    base = rng.choice(WORDS, 90).tolist()
+    rows = []
+    for i in range(150):  # each two words off the base: pairs of copies fall on both sides of the threshold
+        own = list(base)
+        for at in rng.choice(90, 2, replace=False):
+            own[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(own)))
+    sets = {i: shingles(t, 4) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    label = roots(links, sets)
+    got = {r.doc_id: r.component_id for r in partition_join.near_sets(docs(spark, rows)).collect()}
+    assert got == label and 0 < len(links) < 150 * 149 // 2
+
+
 def suffix_brute(rows):
     first, out = {}, {}
     bodies = sorted((i, (t or "").encode()) for i, t in rows if i is not None)
