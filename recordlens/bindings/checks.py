@@ -472,3 +472,21 @@ def ingest_warnings(t: Tables):
     warnings = F.regexp_replace("error_message", r"^part-[^:]*: ", "")
     return store.read_health(spark, f"{base}/db").select(
         "source_name", "status", "confidence", "records_loaded", warnings.alias("warnings"))
+
+
+@query("""
+WITH t AS (SELECT n_name AS "table", ['key', 'name', 'v' || n_regionkey] AS now,
+  CASE n_nationkey % 4 WHEN 0 THEN ['key', 'v' || n_regionkey, 'name'] WHEN 1 THEN ['key', 'name']
+       ELSE ['key', 'name', 'v' || n_regionkey] END AS before FROM nation WHERE n_nationkey % 5 <> 2)
+SELECT "table", array_to_string(before, ',') AS previous, array_to_string(now, ',') AS current FROM t WHERE now <> before
+""")
+def table_schema_drift(t: Tables):
+    version = F.concat(F.lit("v"), c("n_regionkey").cast("string"))
+    now = F.array(F.lit("key"), F.lit("name"), version)
+    current = t.nation.select(c("n_name").alias("table"), now.alias("columns"))
+    kind = c("n_nationkey") % 4
+    before = F.when(kind == 0, F.array(F.lit("key"), version, F.lit("name"))).when(
+        kind == 1, F.array(F.lit("key"), F.lit("name"))).otherwise(now)
+    saved = t.nation.filter(c("n_nationkey") % 5 != 2).select(c("n_name").alias("table"), before.alias("columns"))
+    return quality.table_schema_drift(current, saved).select(
+        "table", F.array_join("previous", ",").alias("previous"), F.array_join("current", ",").alias("current"))
