@@ -336,36 +336,50 @@ def spread_key(key: Column, usable: Column, rows: DataFrame) -> Column:
     return F.when(usable, key).otherwise(F.concat(F.lit("\x00"), F.xxhash64(*rows.columns).cast("string")))
 
 
-INLINE_GRAMS = 1000
+BIT_WORDS = 1 << 14
 
 
-def contained_tokens(texts: DataFrame, id_col: str, text_col: str, tokens: DataFrame, *,
-                     inline: int = INLINE_GRAMS) -> DataFrame:
+def may_be_among(values: DataFrame, name: str):
+    """Test for a text column expression: False only for texts that are not among the values.
+
+    A bit map of fixed size, whatever the number of values; it travels to the rows as one array.
+    """
+    bits = 64 * BIT_WORDS
+    place = F.pmod(F.xxhash64(name), F.lit(bits))
+    words = values.groupBy(F.floor(place / 64).cast("long").alias("_word")).agg(F.bit_or(F.call_function(
+        "shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))).alias("_bits"))
+    dense = values.sparkSession.range(BIT_WORDS).join(words, F.col("id") == F.col("_word"), "left").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("_bits", F.lit(0).cast("long")).alias("b")))),
+                    lambda x: x.b).alias("b")).scalar()
+
+    def test(value: Column) -> Column:
+        at = F.pmod(F.xxhash64(value), F.lit(bits))
+        word = F.get(dense, F.floor(at / 64).cast("int"))
+        return F.call_function("shiftright", word, F.pmod(at, F.lit(64)).cast("int")).bitwiseAND(1) == 1
+
+    return test
+
+
+def contained_tokens(texts: DataFrame, id_col: str, text_col: str, tokens: DataFrame) -> DataFrame:
     """(id, token) for every token (column TOKEN) that occurs anywhere inside the text.
 
     Each token is keyed by its leading characters (8, 4, 2 or 1 of them); the texts are cut into
     overlapping pieces of those lengths, matched on equality, then checked in full. Only lengths
-    that occur among the tokens are cut. Up to ``inline`` distinct keys travel to the texts as one
-    array, so that a text gives only its hits; beyond that all pieces are joined with the keys.
+    that occur among the tokens are cut. A bit map of the keys keeps most pieces from being joined.
     """
     size = (F.when(F.length("TOKEN") >= 8, 8).when(F.length("TOKEN") >= 4, 4)
             .when(F.length("TOKEN") >= 2, 2).otherwise(1))
     vocab = tokens.select("TOKEN").distinct().filter(F.length("TOKEN") > 0).withColumn("_size", size)
     vocab = vocab.withColumn("_gram", F.col("TOKEN").substr(F.lit(1), F.col("_size")))
     grams = vocab.select("_size", "_gram").distinct()
-    counted = {r[0]: r[1] for r in grams.groupBy("_size").count().collect()}  # at most four rows
+    sizes = sorted(r[0] for r in grams.select("_size").distinct().collect())  # at most four rows
     src = texts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    if not counted:
+    if not sizes:
         return src.select(F.col("_id").alias(id_col), F.lit("").alias("TOKEN")).limit(0)
-    pieces = None
-    for s, n in sorted(counted.items()):
+    known, pieces = may_be_among(grams, "_gram"), None
+    for s in sizes:
         cuts = F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{s}}}))"), F.lit(1))
-        if sum(counted.values()) <= inline:
-            keys = grams.filter(F.col("_size") == s).agg(F.collect_set("_gram").alias("k")).scalar()
-            hits = F.array_intersect(cuts, keys)
-        else:
-            hits = F.array_distinct(cuts)
-        part = src.select("_id", F.explode(hits).alias("_gram"))
+        part = src.select("_id", F.explode(F.array_distinct(cuts)).alias("_gram")).filter(known(F.col("_gram")))
         pieces = part if pieces is None else pieces.unionByName(part)
     candidates = pieces.join(vocab, "_gram").select("_id", "TOKEN")
     return (
