@@ -7,10 +7,10 @@ equal ones. Judged on the input: a line that goes still counts as an earlier lin
 1. Equal lines form classes by two 64-bit hashes; a class knows its first place.
 2. Two lines within one edit share the first or the last half exactly. Only lines that share such a half
    with another class go on; this loses no pair.
-3. These emit all their deletion variants as hashed keys (variant, place of the deletion). Lines with equal
-   key differ in that one character, so all of a key's lines have its earliest line as partner; a line
-   that equals a variant of another is one deletion away from it. Both joins have one partner per key and
-   line, not all pairs.
+3. These emit their deletion variants (in the half that is not shared) as hashed keys with the place of the
+   deletion, and themselves. Lines with equal key and place differ in that one character, so all of them have
+   the earliest as partner; a line that equals a variant of another is one deletion away from it. Equal
+   variants meet in one shuffle, and each line gets one partner of each kind, not all pairs.
 4. Partners are verified by ``levenshtein`` on the texts.
 
 Defined results: a null text is one empty line and comes back as an empty text. Documents without an id
@@ -20,7 +20,7 @@ table. Other columns pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordlens.session import cut
@@ -28,6 +28,7 @@ from recordlens.session import cut
 LEAST_CHARS = 8
 NEAR_CHARS = 20
 KEY = ["h1", "h2"]
+BIT_WORDS = 1 << 14
 
 
 def lines_of(text: Column) -> Column:
@@ -50,69 +51,95 @@ def occurrences(documents: DataFrame, key: str, text: str, least_chars: int) ->
 
 
 def half_keys(line: Column) -> Column:
-    """Hashes of the first and last halves; a line of odd length has halves of both roundings."""
+    """struct(half, side): hashes of the first (side 1) and last (side 2) halves; a line of odd length has
+    halves of both roundings."""
     n = F.length(line)
     sizes = F.array_distinct(F.array(F.floor(n / 2).cast("int"), F.ceil(n / 2).cast("int")))
+    half = lambda h, side, part: F.struct(
+        F.xxhash64(F.lit(side), h, part).alias("half"), F.lit(side).alias("side"))
     return F.flatten(F.transform(sizes, lambda h: F.array(
-        F.xxhash64(F.lit(1), h, F.left(line, h)), F.xxhash64(F.lit(2), h, F.right(line, h)))))
+        half(h, 1, F.left(line, h)), half(h, 2, F.right(line, h)))))
 
 
-def variant_keys(line: Column) -> Column:
-    """struct(variant hash, place of the deleted character) of every deletion."""
-    return F.transform(F.sequence(F.lit(1), F.length(line)), lambda i: F.struct(
+def variant_keys(line: Column, head: Column, tail: Column) -> Column:
+    """struct(variant hash, place of the deleted character): the line itself at place 0, and deletions in the
+    first half (head), the last (tail) or both."""
+    n = F.length(line)
+    half = F.floor(n / 2).cast("int")
+    places = F.sequence(F.when(head, 1).otherwise(half + 1), F.when(tail, n).otherwise(n - half))
+    deletions = F.transform(places, lambda i: F.struct(
         F.xxhash64(F.concat(F.left(line, i - 1), F.substr(line, i + 1))).alias("variant"), i.alias("at")))
+    return F.concat(F.array(F.struct(F.xxhash64(line).alias("variant"), F.lit(0).alias("at"))), deletions)
 
 
 def near_candidates(lines: DataFrame, classes: DataFrame, near_chars: int) -> DataFrame:
-    """h1, h2, place, mark of the classes that share a half with another class."""
-    halves = (
-        lines.where(F.length("line") >= near_chars)
-        .select(*KEY, F.explode(half_keys(F.col("line"))).alias("half")).distinct()
-    )
+    """The classes that share a half with another one: h1, h2, place, mark, head, tail.
+
+    A shared first half leaves deletions in the last one to try (tail), a shared last half those in the first.
+    """
+    halves = lines.where(F.length("line") >= near_chars).select("h1", F.explode(half_keys(F.col("line"))).alias("h"))
+    halves = halves.select("h1", "h.half", "h.side")
     shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high")
-    chosen = halves.join(shared.select("half"), "half", "left_semi").select(*KEY).distinct()
-    return classes.join(chosen, KEY, "left_semi").select(*KEY, "place", "mark")
+    chosen = halves.join(shared.select("half"), "half", "left_semi").groupBy("h1").agg(
+        F.bool_or(F.col("side") == 2).alias("head"), F.bool_or(F.col("side") == 1).alias("tail"))
+    return classes.join(chosen, "h1").select(*KEY, "place", "mark", "head", "tail")
 
 
 def near_partners(lines: DataFrame) -> DataFrame:
-    """h1, h2, place, line of the later line and p1, p2 of an earlier line one edit away, unverified."""
-    variants = lines.select(*KEY, "place", F.explode(variant_keys(F.col("line"))).alias("v")).select(
-        *KEY, "place", "v.variant", "v.at")
-    first = F.min(F.struct("place", *KEY)).alias("first")
-    groups = variants.groupBy("variant", "at").agg(first, F.count("*").alias("n")).where("n > 1").drop("n")
-    substituted = variants.join(groups, ["variant", "at"]).where("first.place < place")
-    whole = lines.select(F.xxhash64("line").alias("variant"), F.struct("place", *KEY).alias("short"))
-    longer = (
-        variants.groupBy("variant", *KEY, "place").agg(F.min("at")).join(whole, "variant")
-        .select(F.struct("place", *KEY).alias("long"), "short")
-    )
-    later_long = longer.where("short.place < long.place").groupBy("long").agg(F.min("short").alias("first"))
-    later_short = longer.where("long.place < short.place").groupBy("short").agg(F.min("long").alias("first"))
-    return (
-        substituted.select(*KEY, F.col("first.h1").alias("p1"), F.col("first.h2").alias("p2"))
-        .unionByName(later_long.select("long.h1", "long.h2", F.col("first.h1").alias("p1"), F.col("first.h2").alias("p2")))
-        .unionByName(later_short.select("short.h1", "short.h2", F.col("first.h1").alias("p1"),
-                                        F.col("first.h2").alias("p2")))
-        .distinct()
+    """h1 of a line and p1 of an earlier line one edit away, unverified.
+
+    One shuffle by variant: lines with one variant and place differ in that character alone, a line that is
+    itself a variant is one deletion away. The earliest of each kind is partner of all that come later.
+    """
+    own = F.struct(F.col("place.none"), F.col("place.id"), F.col("place.pos"), "h1")
+    rows = lines.select(own.alias("own"), F.explode(variant_keys(F.col("line"), F.col("head"), F.col("tail"))).alias("v"))
+    rows = rows.select("own", "v.variant", "v.at")
+    by_variant, by_place = Window.partitionBy("variant"), Window.partitionBy("variant", "at")
+    met = (
+        rows.withColumn("n", F.count("*").over(by_variant))
+        .withColumn("whole", F.min(F.when(F.col("at") == 0, F.col("own"))).over(by_variant))
+        .withColumn("longer", F.min(F.when(F.col("at") > 0, F.col("own"))).over(by_variant))
+        .where("n > 1").withColumn("same", F.min("own").over(by_place))
     )
+    partners = F.when(F.col("at") == 0, F.array("longer")).otherwise(F.array("whole", "same"))
+    pairs = met.select("own", F.explode(partners).alias("partner")).where(
+        F.struct("partner.none", "partner.id", "partner.pos") < F.struct("own.none", "own.id", "own.pos"))
+    return pairs.select("own.h1", F.col("partner.h1").alias("p1")).where("h1 <> p1").distinct()
+
+
+def in_bits(values: DataFrame, name: str, column: Column) -> Column:
+    """Whether a 64-bit hash may be among the values: a bit map of fixed size, without false negatives."""
+    place = F.pmod(F.col(name), F.lit(64 * BIT_WORDS))
+    word, bit = F.floor(place / 64).cast("long"), F.pmod(place, F.lit(64)).cast("int")
+    words = values.groupBy(word.alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    dense = values.sparkSession.range(BIT_WORDS).join(words, F.col("id") == F.col("word"), "left").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))),
+                    lambda x: x.bits).alias("bits")).scalar()
+    place = F.pmod(column, F.lit(64 * BIT_WORDS))
+    found = F.get(dense, F.floor(place / 64).cast("int"))
+    return F.call_function("shiftright", found, F.pmod(place, F.lit(64)).cast("int")).bitwiseAND(1) == 1
 
 
 def near_repeats(lines: DataFrame, classes: DataFrame, documents: DataFrame, key: str, text: str,
                  near_chars: int) -> DataFrame:
     """h1, h2 of the classes that have an earlier line within one edit."""
     wanted = near_candidates(lines, classes, near_chars)
+    by_document = cut(wanted.groupBy(F.col("place.id").alias("wanted_id"), F.col("mark").alias("wanted_mark")).agg(
+        F.collect_list(F.struct("place.pos", "place", *KEY, "head", "tail")).alias("wanted")).withColumn(
+        "spot", F.xxhash64("wanted_id", "wanted_mark")), "near-documents")
     source = documents.select(F.col(key).alias("id"), F.col(text).alias("text"), row_mark(F.col(text)).alias("mark"))
-    by_document = wanted.groupBy(F.col("place.id").alias("wanted_id"), F.col("mark").alias("wanted_mark")).agg(
-        F.collect_list(F.struct("place.pos", "place", *KEY)).alias("wanted"))
+    # Few documents hold candidates: the others are left out before the shuffle.
+    source = source.where(in_bits(by_document, "spot", F.xxhash64("id", "mark")))
     found = source.join(by_document, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("mark") == F.col("wanted_mark")))
     texts = cut(
         found.select(lines_of(F.col("text")).alias("all"), F.explode("wanted").alias("w"))
-        .select("w.h1", "w.h2", "w.place", F.get("all", F.col("w.pos")).alias("line"))
+        .select("w.h1", "w.h2", "w.place", "w.head", "w.tail", F.get("all", F.col("w.pos")).alias("line"))
         .distinct(), "near-lines")
     pairs = near_partners(texts)
-    partner = texts.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("line").alias("partner"))
+    partner = texts.select(F.col("h1").alias("p1"), F.col("line").alias("partner"))
     return (
-        pairs.join(texts.select(*KEY, "line"), KEY).join(partner, ["p1", "p2"])
+        pairs.join(texts.select(*KEY, "line"), "h1").join(partner, "p1")
         .where(F.levenshtein("line", "partner", 1) >= 0).select(*KEY).distinct()
     )
 
