@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 
 from recordlens.llm.hashing import char_ngrams, slices, word_hashes
 
-TRAIN_ROWS = 6000
-TRAIN_BYTES = 65536
+TRAIN_ROWS = 4000
+TRAIN_BYTES = 32768
 WINDOW = 24
 DIMENSIONS = 6
 BUCKETS = 1 << 17
 SHIFT = np.uint64(64 - 17)
 MIN_TEXTS = 5
+# A missed toxic text costs as much as this many rejected clean ones.
+TOXIC_WEIGHT = 2.0
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 CACHE_WORDS = 400_000
 
@@ -117,15 +119,35 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([rows, np.arange(len(words))]), np.concatenate([cols, (whole >> SHIFT).astype(np.int64)])
 
 
+def common_features(words: list[str], texts_of_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, buckets in use and, per word, places among these, of the features in MIN_TEXTS texts or more."""
+    texts = np.zeros(BUCKETS)
+    parts = [words[at:at + 20000] for at in range(0, len(words), 20000)]
+    for k, part in enumerate(parts):
+        rows, cols = word_features(part)
+        texts += np.bincount(cols, texts_of_word[rows + 20000 * k], BUCKETS)
+    known = np.flatnonzero(texts >= MIN_TEXTS)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[known] = np.arange(len(known))
+    out_rows, out_cols = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for k, part in enumerate(parts):
+        rows, cols = word_features(part)
+        kept = np.flatnonzero(place[cols] >= 0)
+        kept = kept[np.argsort(rows[kept], kind="stable")]
+        out_rows.append((rows[kept] + 20000 * k).astype(np.int32))
+        out_cols.append(place[cols[kept]])
+    return np.concatenate(out_rows), known, np.concatenate(out_cols)
+
+
 def ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The numbers begin[i] to begin[i] + length[i] - 1 of every i, one after the other."""
     ends = np.cumsum(length)
     return np.repeat(begin - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def fit(texts: list[str], toxic: np.ndarray, epochs: int = 16, window: int = WINDOW, step: float = 0.3,
+def fit(texts: list[str], toxic: np.ndarray, steps: int = 1000, window: int = WINDOW, step: float = 0.3,
         batch: int = 64, seed: int = 7) -> ToxicityModel:
-    """Joint training of n-gram embeddings and softmax weights: AdaGrad over small batches of texts.
+    """Joint training of n-gram embeddings and softmax weights: AdaGrad, about ``steps`` small batches of texts.
 
     The first two epochs read a random passage of each text, the others its most toxic one so far.
     n-grams found in fewer than ``MIN_TEXTS`` texts are left out.
@@ -146,11 +168,8 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 16, window: int = WIN
     bags, toxic = [bags[i] for i in keep], np.asarray(toxic, float)[keep]
     if not bags:
         return ToxicityModel(np.zeros(BUCKETS), float(np.log(share / (1 - share))), window)
-    rows, cols = word_features(list(vocabulary))
     texts_of_word = np.bincount(np.concatenate([np.unique(b) for b in bags]), minlength=len(vocabulary))
-    common = np.bincount(cols, texts_of_word[rows], BUCKETS)[cols] >= MIN_TEXTS
-    order = np.argsort(rows[common], kind="stable")
-    rows, known, cols = rows[common][order], *np.unique(cols[common][order], return_inverse=True)
+    rows, known, cols = common_features(list(vocabulary), texts_of_word)
     grams = np.bincount(rows, minlength=len(vocabulary))
     gram_begin = np.cumsum(grams) - grams
     words, sizes = np.concatenate(bags), np.array([len(b) for b in bags])
@@ -162,7 +181,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 16, window: int = WIN
     vectors, memory = rng.normal(0, 0.1, (len(known), DIMENSIONS)), np.full((len(known), DIMENSIONS), 1e-4)
     weights, memory_w = rng.normal(0, 0.5, (DIMENSIONS, 2)), np.full((DIMENSIONS, 2), 1e-4)
     bias, memory_b = np.log([1 - share, share]), np.full(2, 1e-4)
-    for epoch in range(epochs):
+    for epoch in range(max(3, round(steps * batch / len(bags)))):
         if epoch < 2:
             first = begin + (rng.random(len(bags)) * counts).astype(np.int64)
         else:
@@ -184,6 +203,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 16, window: int = WIN
             logits -= logits.max(1, keepdims=True)
             error = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
             error -= np.stack([1 - toxic[part], toxic[part]], 1)
+            error *= (1 + (TOXIC_WEIGHT - 1) * toxic[part])[:, None]
             back = error @ weights.T
             distinct, place = np.unique(used, return_inverse=True)
             slope = np.stack([np.bincount(place, back[doc_of, k] * portion, len(distinct))
