@@ -31,7 +31,7 @@ WINDOW_TOKENS = 4096
 PIECE_TOKENS = 1024
 BLOCK_WINDOWS = 192
 END_ID = 2
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 300_000
 # str.split() takes these for blanks, the tokenizer does not.
 NO_BLANKS = "\x1c\x1d\x1e\x1f"
 
@@ -52,8 +52,11 @@ class ChunkTokenizer:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        # Two generations each: what is still in use moves from the old one to the new one.
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     def encode(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes()
@@ -74,20 +77,23 @@ class ChunkTokenizer:
                 begin = end
 
     def learn(self, split: list[list[str]]) -> None:
-        chunks = set().union(*split)
-        new = [c for c in chunks if c not in self.chunks]
-        if len(self.chunks) + len(new) > CACHE_CHUNKS:
-            self.chunks.clear()
-            self.words.clear()
-            new = list(chunks)
+        if len(self.chunks) > CACHE_CHUNKS:
+            self.old_chunks, self.chunks = self.chunks, {}
+            self.old_words, self.words = self.words, {}
+        new = [c for c in set().union(*split) if c not in self.chunks]
         plain, other = {}, []
         for c in new:
+            if c in self.old_chunks:
+                self.chunks[c] = self.old_chunks[c]
+                continue
             word = c.rstrip(".,;:!?")
             if word.isalpha():
                 plain[c] = word.lower() if c.isascii() else word
             else:
                 other.append(c)
-        self.learn_words([w for w in set(plain.values()) if w not in self.words])
+        words = {w for w in plain.values() if w not in self.words}
+        self.words.update((w, self.old_words[w]) for w in words if w in self.old_words)
+        self.learn_words([w for w in words if w not in self.words])
         for c, word in plain.items():
             tail = c[len(word):]
             if tail and tail not in self.words:
@@ -114,6 +120,13 @@ def tokenizer_at(path: str, end_id: int) -> ChunkTokenizer:
     return _TOKENIZERS[path, end_id]
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, longer by underscores where a column has it already."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def piece_lengths(total: int, window: int = WINDOW_TOKENS, piece: int = PIECE_TOKENS) -> list[int]:
     """Whole windows, then the rest in equal parts of at most ``piece`` tokens."""
     whole, rest = divmod(total, window)
@@ -139,8 +152,9 @@ def tokenized(documents: DataFrame, path: str, text: str = "text", end_id: int =
             yield pd.Series(out)
 
     others = [c for c in documents.columns if c not in (text, "start", "length", "doc_tokens", "ids")]
-    found = documents.select(*others, F.explode(pieces(F.col(text))).alias("piece"))
-    return found.select(*others, "piece.start", "piece.length", "piece.doc_tokens", "piece.ids")
+    name = free_name("piece", others)
+    found = documents.select(*others, F.explode(pieces(F.col(text))).alias(name))
+    return found.select(*others, *[F.col(name)[c].alias(c) for c in ("start", "length", "doc_tokens", "ids")])
 
 
 def differencing(sizes: list[int], windows: int) -> tuple[np.ndarray, int]:
@@ -202,11 +216,12 @@ def packed(pieces: DataFrame, window: int = WINDOW_TOKENS, block_windows: int =
     """Stored pieces (a table with a column length) with sequence_id and offset in the sequence."""
     total = pieces.agg(F.sum("length")).first()[0] or 0
     blocks = max(1, round(total / (window * block_windows)))
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
+    name = free_name("block", [*pieces.columns, "sequence_id", "offset"])
+    dealt = pieces.withColumn(name, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
     schema = pieces.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
 
     def pack(block: pd.DataFrame) -> pd.DataFrame:
-        number = int(block["block"].iloc[0])
+        number = int(block[name].iloc[0])
         sizes = block["length"].to_numpy()
         place = balanced(sizes, window)
         order = np.argsort(place, kind="stable")
@@ -215,9 +230,9 @@ def packed(pieces: DataFrame, window: int = WINDOW_TOKENS, block_windows: int =
         offset = np.empty(len(sizes), np.int64)
         begins = ends - sizes[order]
         offset[order] = begins - np.maximum.accumulate(np.where(first, begins, 0))
-        return block.drop(columns="block").assign(sequence_id=(number << 32) + place, offset=offset)
+        return block.drop(columns=name).assign(sequence_id=(number << 32) + place, offset=offset)
 
-    return dealt.groupBy("block").applyInPandas(pack, schema)
+    return dealt.groupBy(name).applyInPandas(pack, schema)
 
 
 def pack_documents(documents: DataFrame, path: str, text: str = "text", end_id: int = END_ID,
