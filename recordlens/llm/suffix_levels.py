@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,24 +47,20 @@ OTHER_CODES = mix(BYTE_CODES)
 RESPONSE = "run long, kind int, part long, keys binary, low binary, high binary"
 
 
-def doubled(codes: np.ndarray, most: int) -> dict[int, np.ndarray]:
-    """Polynomial fingerprints of all runs of 1, 2, 4, ... up to ``most`` codes."""
-    out, width, power = {1: codes}, 1, BASE
-    while width * 2 <= most:
-        value = out[width]
-        out[width * 2] = value[:-width] * power + value[width:] if len(value) > width else value[:0]
-        width, power = width * 2, np.multiply(power, power, dtype=np.uint64)
-    return out
-
-
-def window_prints(data: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Fingerprint of the 50 bytes from each place."""
-    n = len(data) - MATCH + 1
+def run_prints(codes: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprint of the ``size`` codes from each place, put together from runs of 1, 2, 4, ... codes."""
+    n = len(codes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    part = doubled(codes[data], 32)
-    scale = np.cumprod(np.full(18, BASE), dtype=np.uint64)
-    return mix(part[32][:n] * scale[17] + part[16][32:32 + n] * scale[1] + part[2][48:48 + n])
+    parts = [(1, codes, np.array([BASE]))]
+    while parts[-1][0] * 2 <= size:
+        width, value, power = parts[-1]
+        parts.append((2 * width, value[:-width] * power + value[width:], power * power))
+    out, done = np.zeros(n, np.uint64), 0
+    for width, value, power in reversed(parts):
+        if size & width:
+            out, done = out * power + value[done:done + n], done + width
+    return mix(out)
 
 
 def ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -90,7 +87,7 @@ class Stretch:
             self.doc = self.start = self.at = self.count = self.unit = np.zeros(0, np.int64)
             self.key, self.unit_first = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             return
-        grams = mix(doubled(BYTE_CODES[data], GRAM)[GRAM])
+        grams = run_prints(BYTE_CODES[data], GRAM)
         least = (grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64)
         width, span = 1, MATCH - GRAM + 1
         while width * 2 <= span:
@@ -293,11 +290,11 @@ class OpenStretches:
 
 
 def stretch_batches(run: int, found: OpenStretches) -> pd.DataFrame:
-    """The distinct stretches of a run by part: their bytes, lengths, smallest and largest documents."""
+    """The distinct stretches of a run by part: their packed bytes, lengths, smallest and largest documents."""
     rows = []
     for part, numbers in found.by_part().items():
         bodies = [found.order[k][1] for k in numbers]
-        rows.append((part, run, b"".join(bodies), np.array([len(b) for b in bodies], np.int32).tobytes(),
+        rows.append((part, run, zlib.compress(b"".join(bodies), 1), np.array([len(b) for b in bodies], np.int32).tobytes(),
                      np.array([found.low[k] for k in numbers], np.int64).tobytes(),
                      np.array([found.high[k] for k in numbers], np.int64).tobytes()))
     return pd.DataFrame(rows, columns=["part", "run", "data", "sizes", "low", "high"])
@@ -305,12 +302,12 @@ def stretch_batches(run: int, found: OpenStretches) -> pd.DataFrame:
 
 def stretch_windows(row) -> tuple[np.ndarray, ...]:
     """key, tag, stretch and offset of every window of a batch."""
-    data, sizes = np.frombuffer(row.data, np.uint8), np.frombuffer(row.sizes, np.int32).astype(np.int64)
+    data, sizes = np.frombuffer(zlib.decompress(row.data), np.uint8), np.frombuffer(row.sizes, np.int32).astype(np.int64)
     counts = sizes - MATCH + 1
     at = ranges(np.cumsum(sizes) - sizes, counts)
     stretch = np.repeat(np.arange(len(sizes)), counts)
     offset = at - np.repeat(np.cumsum(sizes) - sizes, counts)
-    return window_prints(data, BYTE_CODES)[at], window_prints(data, OTHER_CODES)[at], stretch, offset
+    return run_prints(BYTE_CODES[data], MATCH)[at], run_prints(OTHER_CODES[data], MATCH)[at], stretch, offset
 
 
 def window_answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
