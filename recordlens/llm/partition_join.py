@@ -371,12 +371,17 @@ def links_between_groups(to_hub: DataFrame, links: DataFrame, sets: DataFrame, p
     """a, b: links of sets with many popular keys across the groups that the links so far leave."""
     clusters = components(to_hub, "a", "b").select(F.col("id").alias("a"), F.col("component_id").alias("cluster"))
     groups = components(links, "a", "b").select(F.col("id").alias("a"), F.col("component_id").alias("group"))
-    known = cut(clusters.join(groups, "a", "left").select("a", "cluster", F.coalesce("group", "a").alias("group")), "groups")
-    mixed = known.groupBy("cluster").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n"))
-    mixed = mixed.where("low <> high").select("cluster", F.ceil(F.col("n") / BLOCK_SETS).cast("int").alias("blocks"))
-    dealt = known.join(mixed, "cluster").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    # Only sets of one size band or of neighbours can link: each goes to its own band and the next.
+    starts = F.array(*[F.lit(int(x)) for x in band_starts(percent)])
+    band = F.size(F.filter(starts, lambda x: x <= F.col("size")))
+    sized = sets.select(F.col("print").alias("a"), F.floor(F.octet_length("members") / 8).alias("size"))
+    known = cut(clusters.join(groups, "a", "left").join(sized, "a").select(
+        "a", "cluster", F.coalesce("group", "a").alias("group"), F.explode(F.array(band, band + 1)).alias("band")), "groups")
+    mixed = known.groupBy("cluster", "band").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n"))
+    mixed = mixed.where("low <> high").select("cluster", "band", F.ceil(F.col("n") / BLOCK_SETS).cast("int").alias("blocks"))
+    dealt = known.join(mixed, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cluster", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "a", "group")
+        "cluster", "band", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "a", "group")
     rows = sent.join(sets.select(F.col("print").alias("a"), "members"), "a")
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
@@ -391,4 +396,4 @@ def links_between_groups(to_hub: DataFrame, links: DataFrame, sets: DataFrame, p
         moved = np.flatnonzero(label != np.arange(len(held)))
         return pd.DataFrame({"a": prints[moved], "b": prints[label[moved]]})
 
-    return rows.groupBy("cluster", "first", "second").applyInPandas(compare, "a long, b long")
+    return rows.groupBy("cluster", "band", "first", "second").applyInPandas(compare, "a long, b long")
