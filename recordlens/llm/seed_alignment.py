@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of the passages they hit.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of the passages they hit.
 
-Words are runs of letters and digits (A-Z as a-z). The seeds of a test item are its ``SEED`` word n-grams;
-how many documents hold each is counted over the whole corpus, and of those found an item keeps the rarer
-half, at least ``LEAST_SEEDS``, so that an item copied everywhere still has seeds. A passage that holds ``HITS`` seeds of an
-item within the item's length is aligned with it word by word (match 2, mismatch -1, gap -1). The score is
+Words are runs of letters and digits (A-Z as a-z). The seeds of a test item are all its ``SEED`` word n-grams,
+so whether a copy is found does not depend on other documents. A passage around seeds of an item that are at
+most the item's length apart, one seed being enough, is aligned with the item word by word (match 2, mismatch
+-1, gap -1), unless it holds so few of the item's words that no alignment could reach the limit. The score is
 the best local alignment over that of a perfect copy; from ``SCORE`` on the document is contaminated.
 Edited, shortened and paraphrased copies keep enough matching words, common phrases do not.
 
@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 from recordlens.llm.hashing import NO_LETTERS, all_shingles, slices, word_hashes
 
 SEED = 3
-LEAST_SEEDS = 8
-HITS = 2
 SCORE = 0.5
 BLOCK_ITEMS = 20_000
 MATCHES = "array<struct<item_id:long,score:double,first_word:long,last_word:long>>"
@@ -41,16 +39,12 @@ class Items:
         self.words, self.begins = word_hashes([t if isinstance(t, str) else "" for t in texts], NO_LETTERS)
         grams, at = all_shingles(self.words, self.begins, SEED)
         item = np.searchsorted(self.begins, at, side="right") - 1
-        self.index(grams, item, at - self.begins[item])
-
-    def index(self, grams: np.ndarray, item: np.ndarray, place: np.ndarray) -> None:
         order = np.argsort(grams, kind="stable")
-        self.item, self.place = item[order], place[order]
+        self.item, self.place = item[order], (at - self.begins[item])[order]
         self.seeds, self.first = np.unique(grams[order], return_index=True)
         self.counts = np.diff(np.append(self.first, len(grams)))
         self.may = np.zeros(1 << 16, dtype=bool)
         self.may[(self.seeds >> np.uint64(48)).astype(np.int64)] = True
-        self.needed = np.minimum(HITS, np.bincount(self.item, minlength=len(self.ids)))
 
     def lookup(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in grams, seed) of the grams that are seeds."""
@@ -61,17 +55,6 @@ class Items:
         hit = self.seeds[found] == grams[maybe]
         return maybe[hit], found[hit]
 
-    def keep_rare(self, documents: np.ndarray) -> None:
-        """Leaves each item its rarer half of seeds by document count; ties go by place."""
-        seed = np.repeat(np.arange(len(self.seeds)), self.counts)
-        order = np.lexsort((self.place, documents[seed], self.item))
-        order = order[documents[seed[order]] > 0]  # a seed in no document finds nothing
-        item = self.item[order]
-        rank = np.arange(len(order)) - np.searchsorted(item, item)
-        total = np.bincount(item, minlength=len(self.ids))[item]
-        kept = order[rank < np.maximum(-(-total // 2), LEAST_SEEDS)]
-        self.index(self.seeds[seed[kept]], self.item[kept], self.place[kept])
-
 
 def align(item: np.ndarray, passage: np.ndarray) -> float:
     """Best local alignment over the score of a perfect copy."""
@@ -87,7 +70,7 @@ def align(item: np.ndarray, passage: np.ndarray) -> float:
 
 
 def passages(items: Items, words: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(text, item, first word, end word) of the passages that hold enough seeds, words counted in the text."""
+    """(text, item, first word, end word) of the passages that hold seeds, words counted in the text."""
     grams, at = all_shingles(words, begins, SEED)
     position, seed = items.lookup(grams)
     if not len(position):
@@ -105,7 +88,7 @@ def passages(items: Items, words: np.ndarray, begins: np.ndarray) -> Iterator[tu
     new[1:] = (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(position) > length[1:])
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], len(text))
-    for a, b in zip(starts[ends - starts >= items.needed[item[starts]]], ends[ends - starts >= items.needed[item[starts]]]):
+    for a, b in zip(starts, ends):
         size, base = int(length[a]), int(begins[text[a]])
         spare = size // 4 + 2
         low = int((position[a:b] - place[a:b]).min()) - spare
@@ -119,33 +102,15 @@ def find(items: Items, texts: list[str], least: float) -> list[list[tuple]]:
     best: list[dict[int, tuple]] = [{} for _ in texts]
     for text, item, first, end in passages(items, words, begins):
         passage = words[begins[text] + first:begins[text] + end]
-        score = align(items.words[items.begins[item]:items.begins[item + 1]], passage)
+        wanted = items.words[items.begins[item]:items.begins[item + 1]]
+        if np.isin(wanted, passage).mean() < least:  # a word that is not there adds nothing to a score
+            continue
+        score = align(wanted, passage)
         if score >= least and score > best[text].get(item, (None, 0.0))[1]:
             best[text][item] = (items.ids[item], score, first, end - 1)
     return [[b[i] for i in sorted(b)] for b in best]
 
 
-def document_counts(documents: DataFrame, items, size: int, text: str) -> np.ndarray:
-    """Number of texts that hold each seed, over the whole corpus."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, total = items.value, np.zeros(size, np.int64)
-        for batch in batches:
-            for _, run in slices(list(batch["text"])):
-                words, begins = word_hashes(run, NO_LETTERS)
-                grams, at = all_shingles(words, begins, SEED)
-                position, seed = known.lookup(grams)
-                owner = np.searchsorted(begins, at[position], side="right") - 1
-                total += np.bincount(np.unique(owner * size + seed) % max(size, 1), minlength=size)[:size]
-        held = np.flatnonzero(total)
-        yield pd.DataFrame({"seed": held, "n": total[held]})
-
-    rows = documents.select(F.col(text).alias("text")).mapInPandas(count, "seed long, n long")
-    out = np.zeros(size, np.int64)
-    for r in rows.groupBy("seed").agg(F.sum("n").alias("n")).collect():
-        out[r.seed] = r.n
-    return out
-
-
 def item_blocks(benchmark: DataFrame, key: str, text: str, block_items: int) -> Iterator[Items]:
     rows = benchmark.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     blocks = -(-rows.count() // block_items)
@@ -160,15 +125,12 @@ def benchmark_matches(documents: DataFrame, benchmark: DataFrame, text: str = "t
     """The documents with their matches in column ``name``: item id, score, first and last word of the passage."""
     spark, out = documents.sparkSession, documents.withColumn(name, F.array().cast(MATCHES))
     for items in item_blocks(benchmark, item_key, item_text, block_items):
-        every = spark.sparkContext.broadcast(items)
-        items.keep_rare(document_counts(documents, every, len(items.seeds), text))
-        every.unpersist()
-        rare = spark.sparkContext.broadcast(items)
+        sent = spark.sparkContext.broadcast(items)
 
         @F.pandas_udf(MATCHES)
         def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for texts in batches:
-                yield pd.Series([m for _, run in slices(list(texts)) for m in find(rare.value, run, least)])
+                yield pd.Series([m for _, run in slices(list(texts)) for m in find(sent.value, run, least)])
 
         out = out.withColumn(name, F.concat(name, found(F.col(text))))
     return out

@@ -321,6 +321,25 @@ def test_benchmark_copies_are_found_and_others_left(spark):
     assert nothing.where(F.size("matches") > 0).count() == 0
 
 
+def test_copies_of_one_item_do_not_compete(spark):
+    rng = np.random.default_rng(31)
+    words = [f"w{i}" for i in range(40)]
+    short = [f"s{i}" for i in range(7)]
+    copies = {0: words, 1: [w if k % 5 else "altered" for k, w in enumerate(words)],
+              2: [w if k % 5 != 3 else "other" for k, w in enumerate(words)], 3: words[:20], 4: words[20:],
+              5: short, 6: short[:3] + ["other"] + short[4:6]}  # the last one holds a single seed
+    rows = [(i, f"{sentence(rng, 60)} {' '.join(c)} {sentence(rng, 60)}") for i, c in copies.items()]
+    benchmark = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(short))], "item_id long, text string")
+    want = {i: seed_alignment.find(seed_alignment.Items([0, 1], [" ".join(words), " ".join(short)]), [text], 0.5)[0]
+            for i, text in rows}
+    assert {i: [m[0] for m in found] for i, found in want.items()} == {i: [int(i > 4)] for i in copies}
+    assert want[1][0][1] == pytest.approx(57 / 80) and want[6][0][1] == pytest.approx(9 / 14)
+    for repeats in (1, 30):
+        some = rows + [(100 + i, rows[0][1]) for i in range(repeats)]
+        found = seed_alignment.benchmark_matches(docs(spark, some), benchmark).where("doc_id < 100").collect()
+        assert {r.doc_id: [tuple(m) for m in r.matches] for r in found} == want
+
+
 def test_alignment_scores():
     item = np.arange(10, dtype=np.uint64)
     assert seed_alignment.align(item, np.concatenate([[99, 98], item, [97]]).astype(np.uint64)) == 1.0
