@@ -164,3 +164,15 @@ def test_marks(spark, table):
     got = [tuple(r) for r in df.select(text.normalize_mark(F.col("m")), text.is_valid_mark(F.col("m"))).collect()]
     assert got == [("N123AB", True), ("N0", False), ("N12345", True), ("N123456", False), ("N12I", False),
                    ("NAB", False), ("N1Z", True), ("", False)]
+
+
+def test_edit_rate_stream_has_the_last_windows(spark):
+    from recordlens.bindings import Tables, registered
+
+    sf = "/root/testdata/sf0.001"
+    events = Tables(spark, sf).v_files
+    batch = jobs.edit_windows(events, window="1 hour").withColumn(
+        "hour", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
+    got = rows(registered()[0]["stream_edit_rate_all"](spark, sf), "hour", "filePath", "edits", "thrashing")
+    assert got == rows(batch, "hour", "filePath", "edits", "thrashing")
+    assert sum(r[2] for r in got) == events.count() and got[-1][0] >= "2024-01-30"
