@@ -159,3 +159,13 @@ def test_shape_hash():
     assert shape.hash_text("null") is None and shape.hash_text("{oops") is None
     assert shape.shape_of(json.loads('[[[[[[1]]]]]]')) == [[[[["any"]]]]]
     assert shape.shape_of({"t": True, "n": None, "e": []}) == {"e": ["empty"], "n": "null", "t": "boolean"}
+
+
+def test_shape_hash_sees_all_keys_and_levels(spark, table):
+    wide = [json.dumps({f"k{i:03}": v if i == 60 else 1 for i in range(80)}) for v in (1, "x")]
+    deep = ['{"a":' * 9 + v + "}" * 9 for v in ("1", '"x"')]
+    for a, b in (wide, deep):
+        df = table("body", (a,), (b,))
+        assert df.select(shape.schema_hash(F.col("body"))).distinct().count() == 2
+        assert df.select(shape.schema_hash(F.col("body"), max_depth=4, max_keys=50)).distinct().count() == 1
+    assert shape.hash_text("[" * 3000 + "1" + "]" * 3000) != shape.hash_text("[" * 3000 + "]" * 3000)
