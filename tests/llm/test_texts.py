@@ -86,6 +86,20 @@ def test_random_keys_are_found_among_words(spark):
     assert caught >= 36 and false <= 0.1 * caught
 
 
+def test_random_keys_are_found_without_long_words(spark):
+    rng = np.random.default_rng(6)
+    symbols = np.array(list(secret_battery.ALPHABETS[4][1]))
+    keys = ["".join(rng.choice(symbols[:62], 48)) for _ in range(40)]
+    plain = "The quick brown fox jumps over the lazy dog, and nobody saw where it went."
+    rows = [(i, f"{plain} {key} {plain}") for i, key in enumerate(keys)]
+    for some in (rows[:1], rows[:7], rows):
+        found = secret_battery.find_secrets(frame(spark, some, "doc_id long, text string")).collect()
+        caught = sum([rows[r.doc_id][1][s.start:s.end] for s in r.spans] == [keys[r.doc_id]] for r in found)
+        assert caught >= 0.9 * len(some) and all(len(r.spans) <= 1 for r in found)
+    words = [(0, f"{plain} {'thequickbrownfoxjumps'} {'nobodysawwhereitwent'}-again {plain}")]
+    assert not secret_battery.find_secrets(frame(spark, words, "doc_id long, text string")).first().spans
+
+
 def test_battery_tells_random_from_words():
     rng = np.random.default_rng(8)
     symbols = list(secret_battery.ALPHABETS[4][1])
