@@ -466,10 +466,9 @@ def ingest_warnings(t: Tables):
         F.concat(F.lit("N"), c("s_suppkey")).alias("Registration Number"), c("s_name").alias("ACFT MAKE"),
         F.lit("M1").alias("Model"))
     for name, part in (("sdr_2019", rows), ("sdr_2020", rows.toDF("a", "b", "c", "d", "e"))):
-        tables.csv_sink(part.coalesce(1), part.columns, f"{base}/in/{name}.csv")
+        tables.csv_sink(part, part.columns, f"{base}/in/{name}.csv")
     ingest.run_ingest(spark, {"sdr": f"{base}/in"}, f"{base}/db", as_of=ORDERS_AS_OF)
-    # the part file's own name is random
-    warnings = F.regexp_replace("error_message", r"^part-[^:]*: ", "")
+    warnings = F.regexp_replace("error_message", r"^sdr_2020\.csv: ", "")
     return store.read_health(spark, f"{base}/db").select(
         "source_name", "status", "confidence", "records_loaded", warnings.alias("warnings"))
 

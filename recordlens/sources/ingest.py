@@ -27,15 +27,24 @@ class FeedProblem(Exception):
         self.status = status
 
 
+def _one_source(path: str) -> str:
+    """The folder of a part file that Spark wrote into a folder named as a CSV file, else the path."""
+    folder, _, name = path.rpartition("/")
+    return folder if name.startswith("part-") and folder.lower().endswith(".csv") else path
+
+
 def _csv_files(spark: SparkSession, folder: str, pattern: str = "*.[cC][sS][vV]") -> list[str]:
-    """Paths of the landed files (a short list from the file system, no content)."""
+    """Paths of the landed files (a short list from the file system, no content).
+
+    The part files of one CSV folder have one layout and count as one file, under the folder's name.
+    """
     try:
         listing = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/{pattern}")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return []
-    return sorted(r[0] for r in listing.select("path").collect())
+    return sorted({_one_source(r[0]) for r in listing.select("path").collect()})
 
 
 def _union_files(spark: SparkSession, folder: str, headers: dict, essential: list[str]) -> DataFrame:

@@ -302,3 +302,19 @@ def test_a_lost_carry_is_an_error(spark, tmp_path):
     (tmp_path / "out" / "carry" / "batch=2").rename(tmp_path / "aside")
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         run("d.json")
+
+
+def test_part_files_of_a_csv_folder_are_one_source(spark, tmp_path):
+    from recordlens.sources import ingest, store, tables as csv_tables
+
+    base = f"file:{tmp_path}"
+    report = spark.range(40).selectExpr(
+        "string(id) `SDR No`", "'2019-01-01' `Difficulty Date`", "concat('N', id) `Registration Number`",
+        "'Maker' `ACFT MAKE`", "'M1' `Model`")
+    for name, part in (("sdr_2019", report), ("sdr_2020", report.toDF("a", "b", "c", "d", "e"))):
+        csv_tables.csv_sink(part.repartition(4), part.columns, f"{base}/in/{name}.csv")
+    assert len(list(tmp_path.glob("in/sdr_2019.csv/part-*"))) == 4
+    ingest.run_ingest(spark, {"sdr": f"{base}/in"}, f"{base}/db", as_of="2024-06-01")
+    health = store.read_health(spark, f"{base}/db").first()
+    assert (health["status"], health["records_loaded"]) == ("OK_WITH_WARNINGS", "82")  # 40 reports twice, two files
+    assert health["error_message"].startswith("sdr_2020.csv: no column for DATE, MFR, MODEL")
