@@ -87,7 +87,8 @@ class ChunkTokenizer:
                 self.chunks[c] = self.old_chunks[c]
                 continue
             word = c.rstrip(".,;:!?")
-            if word.isalpha():
+            # Some letters become a letter and a mark when lower-cased, and a mark joins what stands behind it.
+            if word.lower().isalpha():
                 plain[c] = word.lower() if c.isascii() else word
             else:
                 other.append(c)

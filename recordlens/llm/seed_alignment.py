@@ -1,9 +1,9 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of the passages they hit.
 
 Words are runs of letters and digits (A-Z as a-z). The seeds of a test item are all its ``SEED`` word n-grams,
-so whether a copy is found does not depend on other documents. A passage around seeds of an item that are at
-most the item's length apart, one seed being enough, is aligned with the item word by word (match 2, mismatch
--1, gap -1), unless it holds so few of the item's words that no alignment could reach the limit. The score is
+so whether a copy is found does not depend on other documents. A passage around seeds of an item, one seed being
+enough, reaches as far as any alignment of the least score can (``reach``) and is aligned with the item word by
+word (match 2, mismatch -1, gap -1), unless it holds so few of the item's words that none could reach the limit. The score is
 the best local alignment over that of a perfect copy; from ``SCORE`` on the document is contaminated.
 Edited, shortened and paraphrased copies keep enough matching words, common phrases do not.
 
@@ -69,8 +69,20 @@ def align(item: np.ndarray, passage: np.ndarray) -> float:
     return best / (2 * len(item))
 
 
-def passages(items: Items, words: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(text, item, first word, end word) of the passages that hold seeds, words counted in the text."""
+def reach(size: int, least: float) -> int:
+    """Most words of a text that an alignment of score ``least`` with an item of ``size`` words can span.
+
+    It has m <= size matches and costs 1 for each word between them, 2 m - extra >= 2 least size, so it spans
+    at most m + extra <= 3 size - 2 least size words.
+    """
+    return size + max(int(2 * (1 - least) * size), 0)
+
+
+def passages(items: Items, words: np.ndarray, begins: np.ndarray, least: float) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, first word, end word) of the passages around seeds, words counted in the text.
+
+    Whatever alignment of the least score holds a seed lies whole in a passage.
+    """
     grams, at = all_shingles(words, begins, SEED)
     position, seed = items.lookup(grams)
     if not len(position):
@@ -83,16 +95,14 @@ def passages(items: Items, words: np.ndarray, begins: np.ndarray) -> Iterator[tu
     text = np.searchsorted(begins, position, side="right") - 1
     order = np.lexsort((position, item, text))
     text, item, position, place = text[order], item[order], position[order], place[order]
-    length = np.diff(items.begins)[item]
+    spans = np.array([reach(int(n), least) for n in np.diff(items.begins)])[item]
     new = np.ones(len(text), dtype=bool)
-    new[1:] = (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(position) > length[1:])
+    new[1:] = (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(position) > spans[1:])
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], len(text))
     for a, b in zip(starts, ends):
-        size, base = int(length[a]), int(begins[text[a]])
-        spare = size // 4 + 2
-        low = int((position[a:b] - place[a:b]).min()) - spare
-        high = int((position[a:b] - place[a:b]).max()) + size + spare
+        span, base = int(spans[a]), int(begins[text[a]])
+        low, high = int(position[a]) + SEED - span, int(position[b - 1]) + span
         yield int(text[a]), int(item[a]), max(low - base, 0), min(high, int(begins[text[a] + 1])) - base
 
 
@@ -100,7 +110,7 @@ def find(items: Items, texts: list[str], least: float) -> list[list[tuple]]:
     """Matches (item id, score, first word, last word) of each text, the best per item."""
     words, begins = word_hashes(texts, NO_LETTERS)
     best: list[dict[int, tuple]] = [{} for _ in texts]
-    for text, item, first, end in passages(items, words, begins):
+    for text, item, first, end in passages(items, words, begins, least):
         passage = words[begins[text] + first:begins[text] + end]
         wanted = items.words[items.begins[item]:items.begins[item + 1]]
         if np.isin(wanted, passage).mean() < least:  # a word that is not there adds nothing to a score

@@ -340,6 +340,28 @@ def test_copies_of_one_item_do_not_compete(spark):
         assert {r.doc_id: [tuple(m) for m in r.matches] for r in found} == want
 
 
+def test_stretched_copies_are_found_as_by_aligning_whole_texts():
+    rng = np.random.default_rng(37)
+    words = [f"w{i}" for i in range(40)]
+    stretched = words[:6] + [x for w in words[6:] for x in (w, "extra")]
+    texts = [" ".join(stretched), " ".join(["front"] * 50 + stretched[::-1] + ["back"] * 50)]
+    for _ in range(150):
+        copy = []
+        for w in words[rng.integers(0, 10):]:
+            copy += [w] * (rng.random() > rng.choice([0.05, 0.2, 0.4])) + ["extra"] * int(rng.poisson(rng.choice([0.1, 0.6, 1.0])))
+        texts.append(" ".join([*rng.choice(WORDS, 60), *copy, *rng.choice(WORDS, 60)]))
+    items = seed_alignment.Items([7], [" ".join(words)])
+    grams = {" ".join(words[i:i + 3]) for i in range(38)}
+    found = seed_alignment.find(items, texts, 0.5)
+    want = [seed_alignment.align(items.words, seed_alignment.word_hashes([t], seed_alignment.NO_LETTERS)[0]) for t in texts]
+    assert want[0] == pytest.approx(0.575) and found[0][0][1] == pytest.approx(0.575)
+    for text, matches, score in zip(texts, found, want):
+        held = any(f" {g} " in f" {text} " for g in grams)
+        assert bool(matches) == (score >= 0.5 and held)
+        assert not matches or matches[0][1] == pytest.approx(score)
+    assert 20 < sum(map(bool, found)) < 140
+
+
 def test_alignment_scores():
     item = np.arange(10, dtype=np.uint64)
     assert seed_alignment.align(item, np.concatenate([[99, 98], item, [97]]).astype(np.uint64)) == 1.0

@@ -10,6 +10,7 @@ import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from recordlens.llm import (
     differencing_pack,
@@ -289,6 +290,20 @@ def test_packing_round_trip(spark):
     assert differencing_pack.pack_documents(data.limit(0), TOKENIZER).count() == 0
 
 
+def test_ids_equal_the_tokenizers_own():
+    import random
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    chunked, own = differencing_pack.ChunkTokenizer(path), Tokenizer.from_file(path)
+    rnd = random.Random(11)
+    letters = ("abcXYZ\u0130\u0131\u00df\u1e9e\u03a3\u03c3\u03c2\u00c9e\u0301i\u0307K\u212a\u01c5\ufb01"
+               ".,;:!?'-\u2019 \u00a0\u2028\t\n\x1c09<|>\u0660\u4e2d\U0001f600")
+    texts = ["\u0130,", "BELGES\u0130, \u00dcN\u0130VERS\u0130TES\u0130.", "a <|endoftext|>b <|ENDOFTEXT|>", ""]
+    texts += ["".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 30))) for _ in range(6000)]
+    want = [own.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert [np.frombuffer(i, "<u4").tolist() for i in chunked.ids(texts)] == want
+
+
 def test_differencing_is_near_equal():
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 1000, 600)
