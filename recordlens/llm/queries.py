@@ -12,16 +12,21 @@ from recordlens.llm import (
     cover_tree,
     differencing_pack,
     line_neighbourhood,
+    one_bit_negatives,
     partition_join,
     secret_battery,
     seed_alignment,
+    spelling_variants,
     suffix_levels,
+    token_cache,
     toxicity_subwords,
     url_ngrams,
     warc_revisits,
 )
+from recordlens.session import scratch_path
 
 TOXIC_SCORE = 0.3
+WORD_BPE = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +95,22 @@ def op10_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
 
 
+def op11_one_bit_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return one_bit_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label=moved)
+
+
+def op12_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cache = scratch_path(spark, "token-counts")
+    counted = token_cache.token_counts(documents, public_tokenizers.path(WORD_BPE), cache)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_groups(spelling_variants.vocabulary(table(spark, sf_dir, "documents")))
+
+
 def near_sets_sql(documents: str, size: int = partition_join.SHINGLE, percent: int = partition_join.PERCENT) -> str:
     """Common table expressions that end in near_sets(doc_id, n_shingles, component_id)."""
     return f"""
@@ -134,6 +155,29 @@ ORACLES = {
         WITH {line_neighbourhood.oracle_sql()}
         SELECT doc_id, n_lines, n_removed, sha256(text) AS text_sha256 FROM line_dedup
     """,
+    "op11_one_bit_negatives": """
+        WITH r AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS row_id, a.label = b.label AS same,
+                   CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+            FROM r a JOIN r b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id
+        ), p AS (
+            SELECT anchor_id, row_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, row_id) <= 5
+        ), n AS (
+            SELECT p.*, row_id AS negative_id, score AS negative_score,
+                   row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, row_id) AS place
+            FROM p JOIN s USING (anchor_id)
+            WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        )
+        SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score
+        FROM n WHERE place <= 3
+    """,
     "op4_warc_revisits": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
