@@ -143,8 +143,9 @@ def block_near(block: pd.DataFrame) -> pd.DataFrame:
     order = np.lexsort((rank[y], x))
     x, y = x[order], y[order]
     first = np.flatnonzero(np.concatenate([np.ones(min(len(x), 1), bool), x[1:] != x[:-1]]))
-    return pd.DataFrame({"word": [words[i] for i in x[first].tolist()], "n_near": np.diff(np.append(first, len(x))),
-                         "near": [words[i] for i in y[first].tolist()], "near_n": n[y[first]]})
+    names = np.array(words, dtype=object)
+    return pd.DataFrame({"word": pd.Series(names[x[first]], dtype=object), "n_near": np.diff(np.append(first, len(x))),
+                         "near": pd.Series(names[y[first]], dtype=object), "near_n": n[y[first]]})
 
 
 def halves(rows: DataFrame) -> DataFrame:
