@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recordlens.functions import dates, fixed, text
 from recordlens.operators.ordered import pick_row
+from recordlens.session import cut
 
 
 # ------------------------------------------------------------------ identity
@@ -336,56 +337,78 @@ def spread_key(key: Column, usable: Column, rows: DataFrame) -> Column:
     return F.when(usable, key).otherwise(F.concat(F.lit("\x00"), F.xxhash64(*rows.columns).cast("string")))
 
 
-BIT_WORDS = 1 << 14
+GRAM = 3
 
 
-def may_be_among(values: DataFrame, name: str):
-    """Test for a text column expression: False only for texts that are not among the values.
+def piece_grams(c: Column, size: int = GRAM) -> Column:
+    """Distinct runs of ``size`` characters of a word; a shorter word is its own."""
+    return F.when(F.length(c) <= size, F.array(c)).otherwise(
+        F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))))
 
-    A bit map of fixed size, whatever the number of values; it travels to the rows as one array.
-    """
-    bits = 64 * BIT_WORDS
-    place = F.pmod(F.xxhash64(name), F.lit(bits))
-    words = values.groupBy(F.floor(place / 64).cast("long").alias("_word")).agg(F.bit_or(F.call_function(
-        "shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))).alias("_bits"))
-    dense = values.sparkSession.range(BIT_WORDS).join(words, F.col("id") == F.col("_word"), "left").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("_bits", F.lit(0).cast("long")).alias("b")))),
-                    lambda x: x.b).alias("b")).scalar()
 
-    def test(value: Column) -> Column:
-        at = F.pmod(F.xxhash64(value), F.lit(bits))
-        word = F.get(dense, F.floor(at / 64).cast("int"))
-        return F.call_function("shiftright", word, F.pmod(at, F.lit(64)).cast("int")).bitwiseAND(1) == 1
+def token_pieces(tokens: DataFrame, separator: str) -> DataFrame:
+    """TOKEN, PIECE, HEAD, TAIL: words that tell a token, and whether it begins or ends with them.
+
+    These are the words inside the token, which a text can only hold whole; where there are none, the longest.
+    """
+    words = F.split("TOKEN", f"\\Q{separator}\\E", -1)
+    placed = F.transform(words, lambda w, i: F.struct(
+        w.alias("PIECE"), (i == 0).alias("HEAD"), (i == F.size(words) - 1).alias("TAIL")))
+    inner = F.filter(placed, lambda p: ~p["HEAD"] & ~p["TAIL"] & (F.length(p["PIECE"]) > 0))
+    longest = F.array_max(F.transform(placed, lambda p: F.struct(F.length(p["PIECE"]).alias("n"), p.alias("p"))))
+    told = F.when(F.size(inner) > 0, inner).otherwise(F.array(longest["p"]))
+    return tokens.select("TOKEN").distinct().select("TOKEN", F.inline(told)).filter(F.length("PIECE") > 0)
 
-    return test
 
+def matching_words(words: DataFrame, pieces: DataFrame) -> DataFrame:
+    """The text words (WORD, DOCS) with the pieces they can hold: PIECE, HEAD, TAIL.
 
-def contained_tokens(texts: DataFrame, id_col: str, text_col: str, tokens: DataFrame) -> DataFrame:
+    Inside a token a piece is the text's word itself. Where the token begins the text's word ends with the
+    piece, where it ends the word starts with it, and a token of one word lies anywhere in it. These pieces are
+    looked up by their rarest gram among the distinct text words.
+    """
+    kinds = pieces.select("PIECE", "HEAD", "TAIL").distinct()
+    names = ["WORD", "DOCS", "PIECE", "HEAD", "TAIL"]
+    inner = words.join(kinds.filter("NOT HEAD AND NOT TAIL"), F.col("WORD") == F.col("PIECE"))
+    outer = kinds.filter("HEAD OR TAIL").withColumn("_gram", F.explode(piece_grams(F.col("PIECE"))))
+    wanted = outer.select("_gram").distinct()
+    # Pieces shorter than a gram are looked up by runs of their own length.
+    sizes = [GRAM] + sorted(r[0] for r in wanted.select(F.length("_gram").alias("n")).filter(
+        F.col("n") < GRAM).distinct().collect())
+    grams = F.array_distinct(F.flatten(F.array(*[piece_grams(F.col("WORD"), n) for n in sizes])))
+    held = words.withColumn("_gram", F.explode(grams)).join(wanted, "_gram")
+    counted = held.groupBy("_gram").agg(F.count("*").alias("_words"))
+    rarest = outer.join(counted, "_gram", "left").groupBy("PIECE", "HEAD", "TAIL").agg(
+        F.min_by("_gram", F.struct(F.coalesce("_words", F.lit(0)), "_gram")).alias("_gram"))
+    fits = (F.when(F.col("HEAD") & F.col("TAIL"), F.contains("WORD", "PIECE"))
+            .when(F.col("HEAD"), F.endswith("WORD", "PIECE")).otherwise(F.startswith("WORD", "PIECE")))
+    return inner.select(names).unionByName(held.join(rarest, "_gram").filter(fits).select(names))
+
+
+def contained_tokens(texts: DataFrame, id_col: str, text_col: str, tokens: DataFrame, separator: str = "_") -> DataFrame:
     """(id, token) for every token (column TOKEN) that occurs anywhere inside the text.
 
-    Each token is keyed by its leading characters (8, 4, 2 or 1 of them); the texts are cut into
-    overlapping pieces of those lengths, matched on equality, then checked in full. Only lengths
-    that occur among the tokens are cut. A bit map of the keys keeps most pieces from being joined.
+    Texts and tokens are cut at the separator. The distinct words of all texts, far fewer than their
+    occurrences, are matched with the words of the tokens; each token is then keyed by the one of its words
+    whose matches are in the fewest texts, and those texts are checked in full, each with all its tokens at once.
     """
-    size = (F.when(F.length("TOKEN") >= 8, 8).when(F.length("TOKEN") >= 4, 4)
-            .when(F.length("TOKEN") >= 2, 2).otherwise(1))
-    vocab = tokens.select("TOKEN").distinct().filter(F.length("TOKEN") > 0).withColumn("_size", size)
-    vocab = vocab.withColumn("_gram", F.col("TOKEN").substr(F.lit(1), F.col("_size")))
-    grams = vocab.select("_size", "_gram").distinct()
-    sizes = sorted(r[0] for r in grams.select("_size").distinct().collect())  # at most four rows
-    src = texts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    if not sizes:
-        return src.select(F.col("_id").alias(id_col), F.lit("").alias("TOKEN")).limit(0)
-    known, pieces = may_be_among(grams, "_gram"), None
-    for s in sizes:
-        cuts = F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{s}}}))"), F.lit(1))
-        part = src.select("_id", F.explode(F.array_distinct(cuts)).alias("_gram")).filter(known(F.col("_gram")))
-        pieces = part if pieces is None else pieces.unionByName(part)
-    candidates = pieces.join(vocab, "_gram").select("_id", "TOKEN")
-    return (
-        candidates.join(src, "_id").filter(F.contains(F.col("_text"), F.col("TOKEN")))
-        .select(F.col("_id").alias(id_col), "TOKEN").distinct()
-    )
+    pieces = cut(token_pieces(tokens, separator), "token-pieces")
+    # Read three times, so computed and spread once.
+    src = cut(texts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).repartition("_id"), "texts")
+    held = src.select("_id", F.explode(F.array_distinct(F.split("_text", f"\\Q{separator}\\E", -1))).alias("WORD"))
+    words = held.filter(F.length("WORD") > 0).groupBy("WORD").agg(F.count("*").alias("DOCS"))
+    found = cut(matching_words(cut(words, "words"), pieces), "word-pieces")
+    spread = found.groupBy("PIECE", "HEAD", "TAIL").agg(F.sum("DOCS").alias("_docs"))
+    # A token with such a word that no text holds is in none. Tokens of separators alone are not looked for.
+    keyed = pieces.join(spread, ["PIECE", "HEAD", "TAIL"], "left").groupBy("TOKEN").agg(
+        F.min_by(F.struct("PIECE", "HEAD", "TAIL"), F.struct("_docs", "PIECE")).alias("k"),
+        F.bool_and(F.col("_docs").isNotNull()).alias("_all")).filter("_all").select("TOKEN", "k.*")
+    marks = cut(found.join(keyed, ["PIECE", "HEAD", "TAIL"]).select("WORD", "TOKEN"), "token-words")
+    candidates = held.join(marks, "WORD").select("_id", "TOKEN")
+    listed = candidates.groupBy("_id").agg(F.collect_set("TOKEN").alias("_tokens"))
+    checked = src.join(listed, "_id").select("_id", F.explode(F.filter(
+        "_tokens", lambda t: F.contains(F.col("_text"), t))).alias("TOKEN"))
+    return checked.select(F.col("_id").alias(id_col), "TOKEN").distinct()
 
 
 def match_tiers(reports: DataFrame, registry: DataFrame, *, id_col: str,
