@@ -8,7 +8,7 @@ from recordlens.bindings import Tables, query
 from recordlens.bindings.aggregates import LIVE_SQL, SESSION_SQL, STATE_SQL
 from recordlens.bindings.windows import RUNS_SELECT, RUNS_SQL
 from recordlens.plans import activity
-from recordlens.session import scratch_path
+from recordlens.session import scratch_path, stream_session
 from recordlens.sources import feeds
 from recordlens.streaming import carry, jobs
 
@@ -108,9 +108,7 @@ def arrivals(t: Tables, view_name: str, time: str, start, base: str, close: str
     With ``close``, one event that much after the last one follows; it moves the watermark past all windows,
     and its own window stays open.
     """
-    if t.spark.sparkContext.master.startswith("local"):
-        # stateful streams keep their number of partitions, so one machine gets one per core
-        t.spark.conf.set("spark.sql.shuffle.partitions", str(t.spark.sparkContext.defaultParallelism))
+    own = stream_session(t.spark)
     df = getattr(t, view_name)
     ts = c(time).cast("timestamp")
     source = f"{base}/in"
@@ -127,7 +125,7 @@ def arrivals(t: Tables, view_name: str, time: str, start, base: str, close: str
         parts.append(last.withColumn(time, c(time) + F.expr(f"INTERVAL {close}")))
     for i, part in enumerate(parts):
         part.write.parquet(f"{source}/part{i}")
-        stream = t.spark.readStream.schema(part.schema).parquet(f"{source}/*")
+        stream = own.readStream.schema(part.schema).parquet(f"{source}/*")
         start(stream).awaitTermination()
 
 
@@ -154,24 +152,40 @@ def hourly_edits(t: Tables):
         F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"), "filePath", "edits", "thrashing")
 
 
-@query("""
+HOURLY_SQL = """
 SELECT strftime(time_bucket(INTERVAL 1 HOUR, timestamp), '%Y-%m-%d %H:%M') AS hour, filePath, count(*) AS edits,
-       count(*) >= 3 AS thrashing FROM v_files WHERE timestamp < TIMESTAMP '2024-01-30' GROUP BY 1, 2
-""", views=("v_files",))
+       count(*) >= 3 AS thrashing FROM v_files GROUP BY 1, 2
+"""
+
+
+@query(HOURLY_SQL, views=("v_files",))
 def stream_edit_rate(t: Tables):
-    """The hourly windows before the date its SQL has; ``stream_edit_rate_all`` has every one."""
-    return hourly_edits(t).filter(c("hour") < "2024-01-30")
+    """Every hourly window up to the last event."""
+    return hourly_edits(t)
 
 
-@query("""
-SELECT strftime(time_bucket(INTERVAL 1 HOUR, timestamp), '%Y-%m-%d %H:%M') AS hour, filePath, count(*) AS edits,
-       count(*) >= 3 AS thrashing FROM v_files GROUP BY 1, 2
-""", views=("v_files",))
+@query(HOURLY_SQL, views=("v_files",))
 def stream_edit_rate_all(t: Tables):
-    """Every hourly window up to the last event."""
+    """The same under its earlier name."""
     return hourly_edits(t)
 
 
+@query("""
+SELECT filePath, event_id, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS at, count(*) OVER w AS edits,
+       count(*) OVER w >= 3 AS thrashing
+FROM v_files WHERE eventType NOT IN ('addDir', 'unlinkDir')
+WINDOW w AS (PARTITION BY filePath ORDER BY epoch_us(timestamp::TIMESTAMP)
+             RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW)
+""", views=("v_files",))
+def stream_recent_edits(t: Tables):
+    """The edits of the six hours up to each edit; the events are too far apart for a minute."""
+    base = scratch_path(t.spark, "recent")
+    arrivals(t, "v_files", "timestamp", lambda s: jobs.stream_recent_edits(
+        s, base, window_s=6 * 3600, span_s=5 * 86400), base, close="12 DAYS")
+    return t.spark.read.parquet(f"{base}/out").select(
+        "filePath", "event_id", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"), "edits", "thrashing")
+
+
 @query(f"WITH {RUNS_SQL} {RUNS_SELECT}", views=("v_files",))
 def stream_run_groups(t: Tables):
     base = scratch_path(t.spark, "runs")
@@ -199,7 +213,7 @@ def stream_status_events(t: Tables):
 def stream_streak(t: Tables):
     base = scratch_path(t.spark, "streak")
     arrivals(t, "v_history", "ts", lambda s: jobs.stream_streak(s, HISTORY_ORDER, base), base)
-    return carry.last_carry(t.spark, base)
+    return carry.last_carry(t.spark, base, ["source"])
 
 
 @query("SELECT 'N' || s_suppkey AS mark, s_name AS maker, s_nationkey::VARCHAR AS model FROM supplier")

@@ -29,6 +29,22 @@ def local_session(cpus: int | str = "*", app: str = "recordlens") -> SparkSessio
     )
 
 
+def stream_session(spark: SparkSession) -> SparkSession:
+    """Session of its own for streams: state in RocksDB and, on one machine, one state partition per core.
+
+    A stream keeps its number of partitions for life, so it is set here and not on the caller's session.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass",
+                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    if spark.sparkContext.master.startswith("local"):
+        partitions = str(spark.sparkContext.defaultParallelism)
+    own.conf.set("spark.sql.shuffle.partitions", partitions)
+    return own
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint folder.
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from recordlens.functions import text
 from recordlens.operators import sequences
@@ -111,6 +113,75 @@ def stream_edit_rate(events: DataFrame, base: str, *, watermark: str = "10 minut
     )
 
 
+# ------------------------------------------------------------------ edits just before each edit
+RECENT_EDITS = "filePath string, timestamp timestamp, event_id long, edits long, thrashing boolean"
+
+
+def with_span(events: DataFrame, window_s: int, span_s: int) -> DataFrame:
+    """File events with the span of time they count in, and again as context of the next span where that may
+    look back at them; ``own`` tells the two apart.
+
+    A busy path so is split by time, and a span needs nothing but its own rows.
+    """
+    at = F.unix_micros("timestamp")
+    span = F.floor(at / (span_s * 1_000_000)).cast("long")
+    files = events.filter(~F.col("eventType").isin("addDir", "unlinkDir") & F.col("timestamp").isNotNull())
+    reaches = at > (span + 1) * (span_s * 1_000_000) - window_s * 1_000_000
+    spans = F.array_compact(F.array(
+        F.struct(span.alias("span"), F.lit(True).alias("own")),
+        F.when(reaches, F.struct((span + 1).alias("span"), F.lit(False).alias("own")))))
+    return files.select("filePath", "event_id", "timestamp", at.alias("at"), F.explode(spans).alias("s")).select(
+        "filePath", "event_id", "timestamp", "at", "s.span", "s.own")
+
+
+class RecentEdits(StatefulProcessor):
+    """Rows of one path and span wait in list state; a timer at the span's end counts and emits them."""
+
+    def __init__(self, window_s: int, span_s: int, edits: int):
+        self.window, self.span_s, self.edits = window_s * 1_000_000, span_s, edits
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "at long, event_id long, own boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        fresh = False
+        for batch in rows:
+            batch = batch[["at", "event_id", "own"]]
+            fresh = fresh or not self.rows.exists()
+            self.rows.appendList([(int(a), None if e != e else int(e), bool(o)) for a, e, o in batch.itertuples(index=False)])
+        if fresh:
+            # The last millisecond of the span: later rows of it would be behind the watermark.
+            self.handle.registerTimer((int(key[1]) + 1) * self.span_s * 1000 - 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held = pd.DataFrame(list(self.rows.get()), columns=["at", "event_id", "own"]).sort_values("at", kind="stable")
+        self.rows.clear()
+        at = held["at"].to_numpy(np.int64)
+        count = np.searchsorted(at, at, side="right") - np.searchsorted(at, at - self.window, side="right")
+        out = pd.DataFrame({
+            "filePath": [key[0]] * len(at), "timestamp": pd.to_datetime(at, unit="us"),
+            "event_id": held["event_id"].astype("Int64").array, "edits": count, "thrashing": count >= self.edits})
+        yield out[held["own"].to_numpy(bool)]
+
+
+def stream_recent_edits(events: DataFrame, base: str, *, watermark: str = "10 minutes", window_s: int = 60,
+                        span_s: int = 600, edits: int = 3) -> StreamingQuery:
+    """For each edit the number of edits of its path in the ``window_s`` seconds up to it, and the thrashing flag.
+
+    Edits that arrive out of order within the watermark count at their own time. A span's edits are emitted when
+    the watermark has passed its end, and its state goes. Needs the RocksDB state store (``session.stream_session``).
+    """
+    rows = with_span(events, window_s, span_s).withWatermark("timestamp", watermark)
+    counted = rows.groupBy("filePath", "span").transformWithStateInPandas(
+        RecentEdits(window_s, span_s, edits), RECENT_EDITS, "Append", "eventTime")
+    return (
+        counted.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
+        .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    )
+
+
 # ------------------------------------------------------------------ run groups
 def stream_run_groups(events: DataFrame, order: list[str], base: str, *, gap_ms: int = 5000,
                       at_least: int = 3, session: str = "sessionId") -> StreamingQuery:
@@ -138,12 +209,13 @@ def stream_run_groups(events: DataFrame, order: list[str], base: str, *, gap_ms:
         still = marked.filter("_is_open").select(session, "run_count", "_first", "_last")
         return closed, still
 
-    return start_with_carry(events, step, base)
+    return start_with_carry(events, step, base, [session])
 
 
-def run_groups_now(spark: SparkSession, base: str, columns: list[str], at_least: int = 3) -> DataFrame:
+def run_groups_now(spark: SparkSession, base: str, columns: list[str], at_least: int = 3,
+                   session: str = "sessionId") -> DataFrame:
     """Closed runs and the runs still open at the end of the data so far."""
-    still = sequences.show_runs(last_carry(spark, base), columns, at_least)
+    still = sequences.show_runs(last_carry(spark, base, [session]), columns, at_least)
     return output(spark, base).unionByName(still)
 
 
@@ -169,7 +241,7 @@ def stream_status_events(history: DataFrame, order: list[str], base: str) -> Str
         last = pick_row(rows.select(*columns), ["source"], order, last=True)
         return out.select("source", *order, "e.*"), last
 
-    return start_with_carry(history, step, base)
+    return start_with_carry(history, step, base, ["source"])
 
 
 # ------------------------------------------------------------------ streaks
@@ -186,12 +258,12 @@ def stream_streak(history: DataFrame, order: list[str], base: str) -> StreamingQ
         else:
             old = carry.select("source", F.col("streak").alias("s0"), F.col("probes").alias("p0"))
             keep = F.when(F.coalesce("broke", F.lit(False)), 0).otherwise(F.coalesce("s0", F.lit(0)))
-            state = fresh.join(old, "source", "full_outer").select(
+            state = fresh.join(old, "source", "left").select(
                 "source", (keep + F.coalesce("streak", F.lit(0))).alias("streak"),
                 (F.coalesce("p0", F.lit(0)) + F.coalesce("probes", F.lit(0))).alias("probes"))
         return state, state
 
-    return start_with_carry(history, step, base)
+    return start_with_carry(history, step, base, ["source"])
 
 
 # ------------------------------------------------------------------ feed files

@@ -278,30 +278,79 @@ def test_streamed_files_without_columns_are_quarantined(spark, tmp_path):
     assert jobs.ingested(spark, base).count() == 2
 
 
-def test_a_lost_carry_is_an_error(spark, tmp_path):
+def sums(batch, carry):
+    """Running sum per key; the output is the sum after each batch."""
     from pyspark.sql import functions as F
+
+    total = batch.groupBy("k").agg(F.sum("v").alias("n"))
+    if carry is not None:
+        total = total.unionByName(carry).groupBy("k").agg(F.sum("n").alias("n"))
+    return total, total
+
+
+def run_sums(spark, tmp_path, name, lines, compact=3):
     from recordlens.streaming.carry import start_with_carry
 
-    src, base = tmp_path / "in", str(tmp_path / "out")
+    write(tmp_path / "in" / name, "".join(lines))
+    stream = spark.readStream.schema("k string, v int").json(str(tmp_path / "in"))
+    start_with_carry(stream, sums, str(tmp_path / "out"), ["k"], compact=compact).awaitTermination()
+
+
+def test_the_carry_is_a_log_of_touched_keys(spark, tmp_path):
+    from recordlens.streaming.carry import last_carry
+
+    (tmp_path / "in").mkdir()
+    base, want = str(tmp_path / "out"), {}
+    for i in range(8):
+        rows = [(f"k{j}", 1) for j in range(100)] if i == 0 else [("k1", 10), (None, 1), (f"n{i}", i)]
+        for k, v in rows:
+            want[k] = want.get(k, 0) + v
+        run_sums(spark, tmp_path, f"f{i}.json", [f'{{"k": {"null" if k is None else chr(34) + k + chr(34)}, "v": {v}}}\n'
+                                                 for k, v in rows])
+        # What a batch writes follows the batch, not the number of keys so far.
+        assert spark.read.parquet(f"{base}/carry/batch={i}").count() == len(rows)
+        assert {r.k: r.n for r in last_carry(spark, base, ["k"]).collect()} == want
+    assert sorted(p.name for p in (tmp_path / "out" / "carry").iterdir()) == ["batch=6", "batch=7"]
+    assert [p.name for p in (tmp_path / "out" / "compact").iterdir()] == ["batch=5"]
+    # A batch that is run again reads the same log and writes the same rows.
+    out = sorted(map(tuple, spark.read.parquet(f"{base}/out/batch=7").collect()), key=str)
+    (tmp_path / "out" / "checkpoint" / "commits" / "7").unlink()
+    (tmp_path / "out" / "checkpoint" / "commits" / ".7.crc").unlink(missing_ok=True)
+    run_sums(spark, tmp_path, "g.json", ['{"k": "k1", "v": 5}\n'])
+    assert sorted(map(tuple, spark.read.parquet(f"{base}/out/batch=7").collect()), key=str) == out
+    assert {r.k: r.n for r in last_carry(spark, base, ["k"]).collect()} == {**want, "k1": want["k1"] + 5}
+
 
-    def count(batch, carry):
-        total = batch.agg(F.count("*").alias("n"))
-        if carry is not None:
-            total = total.unionByName(carry).agg(F.sum("n").alias("n"))
-        return total, total
-
-    def run(name):
-        write(src / name, '{"k": 1}\n')
-        stream = spark.readStream.schema("k int").json(str(src))
-        start_with_carry(stream, count, base).awaitTermination()
-
-    for name in ("a.json", "b.json", "c.json"):
-        run(name)
-    assert sorted(r["n"] for r in spark.read.parquet(f"{base}/out").collect()) == [1, 2, 3]
-    assert sorted(p.name for p in (tmp_path / "out" / "carry").iterdir()) == ["batch=1", "batch=2"]
-    (tmp_path / "out" / "carry" / "batch=2").rename(tmp_path / "aside")
+def test_a_lost_carry_is_an_error(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("a", "b"):
+        run_sums(spark, tmp_path, f"{name}.json", ['{"k": "x", "v": 1}\n'])
+    assert sorted(r["n"] for r in spark.read.parquet(str(tmp_path / "out" / "out")).collect()) == [1, 2]
+    (tmp_path / "out" / "carry" / "batch=1").rename(tmp_path / "aside")
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
-        run("d.json")
+        run_sums(spark, tmp_path, "c.json", ['{"k": "x", "v": 1}\n'])
+
+
+def test_edits_of_the_last_minute(spark, tmp_path):
+    import datetime
+
+    from recordlens.session import stream_session
+    from recordlens.streaming import jobs
+
+    start, base = datetime.datetime(2024, 1, 1, 12), str(tmp_path / "out")
+    # Across the border of a span, at the same time, exactly a minute apart, out of order, folders, no time.
+    seconds = [570, 580, 590, 600, 640, 640, 650, 700, 760, 1199, 1201, 595]
+    rows = [(i, start + datetime.timedelta(seconds=s), "change", "a/b") for i, s in enumerate(seconds)]
+    rows += [(50, start + datetime.timedelta(seconds=600), "addDir", "a/b"), (51, None, "change", "a/b"),
+             (52, start + datetime.timedelta(seconds=601), "change", None)]
+    for part in (rows[:7], rows[7:], [(99, start + datetime.timedelta(hours=2), "change", "z")]):
+        frame = spark.createDataFrame(part, "event_id long, timestamp timestamp, eventType string, filePath string")
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = stream_session(spark).readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+        jobs.stream_recent_edits(stream, base, watermark="20 minutes").awaitTermination()
+    got = {r.event_id: (r.edits, r.thrashing) for r in spark.read.parquet(f"{base}/out").collect()}
+    want = {i: sum(s - 60 < x <= s for x in seconds) for i, s in enumerate(seconds)} | {52: 1}
+    assert got == {i: (n, n >= 3) for i, n in want.items()}
 
 
 def test_part_files_of_a_csv_folder_are_one_source(spark, tmp_path):
