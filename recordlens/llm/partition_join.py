@@ -11,10 +11,14 @@ Two classes link when 100 * intersection >= ``percent`` * union.
    K + 1, so up to K may be passed over. ``Family`` weighs keys against chance agreement for this.
 3. Keys held by few classes give pairs directly. A popular key (more than ``POPULAR`` classes: copies,
    templates, empty segments) is passed over by sets with few of them, which loses nothing by point 2. Sets
-   with many are near copies of each other: first all are compared with the key's hub. Where the sets that
-   hang together by popular keys then still form several groups, blocks of ``BLOCK_SETS`` are counted against
-   each other shingle by shingle; a block pair gives one link per set at most, never its pairs.
-4. Pairs are verified exactly on the sets.
+   with many are near copies of each other or hold the same passages: first all are compared with the key's hub.
+   Where the sets that hang together by popular keys then still form several groups, blocks of ``BLOCK_SETS`` are
+   compared, by tallies first (point 4); sets that may link across groups are then counted against each other
+   shingle by shingle; a block pair gives one link per set at most, never its pairs.
+4. Each class has a tally: its shingles counted in ``TALLY`` buckets by hash. Two sets differ in at least as many
+   shingles as their tallies do, so pairs whose tallies differ by more than the threshold allows are left out
+   before any set is fetched; that loses no link.
+5. What is left is verified exactly on the sets.
 
 Keys travel in sorted binary runs, at most ``RUN_KEYS`` at a time; a task that gathers keys holds at most
 ``POPULAR`` + 1 classes per key. Only the links of different texts are formed, copies join their class.
@@ -49,6 +53,7 @@ PART_BYTES = 12 << 20
 CHANCE_WEIGHT = 50.0
 BLOCK_SETS = 256
 SHINGLES_AT_ONCE = 4096
+TALLY = 128
 
 
 @lru_cache
@@ -72,7 +77,7 @@ class Family:
         high = int(starts[band + 1]) - 1
         # 100 i >= p u makes the symmetric difference at most (100 - p) / (100 + p) of both sizes.
         self.band, self.differences = band, (100 - percent) * 2 * high // (100 + percent)
-        self.spare = math.ceil(SPARE * (self.differences + 1))
+        self.spare = max(math.ceil(SPARE * (self.differences + 1)), 2)
         budget = self.differences + 1 + self.spare
         size = (int(starts[band]) + high) / 2
 
@@ -83,8 +88,11 @@ class Family:
 
         self.loose = min(range(0, budget // 2 + 1), key=cost) if budget < 64 else 0
         self.segments = budget - self.loose
-        # Half of the spare may go to empty segments, half to popular keys.
-        self.skip = self.spare // 2 if not self.loose else 0
+        # Linked sets agree on segments worth spare + 1, a segment of budget 1 being worth 2. Without those, half of
+        # the spare may go to empty segments, half to popular keys; with them empty segments are kept, and half of
+        # the spare is left for popular keys.
+        self.skip = self.spare // 2
+        self.skip_empty = 0 if self.loose else self.skip
 
 
 @lru_cache
@@ -107,7 +115,7 @@ def segment_keys(members: np.ndarray, f: Family) -> np.ndarray:
     place = np.arange(f.segments, dtype=np.uint64)
     empty = ~full
     empty[:f.loose] = False
-    passed = empty if empty.sum() <= f.skip else np.zeros(f.segments, dtype=bool)
+    passed = empty if empty.sum() <= f.skip_empty else np.zeros(f.segments, dtype=bool)
     keys = [sums[~passed] + place[~passed] * BASE]
     if f.loose:
         inside = segment < f.loose
@@ -142,15 +150,44 @@ def keys_of(members: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
+def tally(members: np.ndarray) -> bytes:
+    """Members counted by bucket, up to 255 each, which only brings tallies nearer."""
+    counts = np.bincount((mix(members) >> np.uint64(40)).astype(np.int64) % TALLY, minlength=TALLY)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def tallies(held: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(held), np.uint8).reshape(-1, TALLY).astype(np.int16)
+
+
+def room(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Most members in which sets of these sizes together may differ: 100 i >= p u."""
+    return (100 - percent) * sizes // (100 + percent)
+
+
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a < b of the pairs of classes that their tallies do not rule out."""
+    @F.pandas_udf("boolean")
+    def may_link(t_a: pd.Series, t_b: pd.Series, n: pd.Series) -> pd.Series:
+        apart = np.abs(tallies(t_a) - tallies(t_b)).sum(1, dtype=np.int64)
+        return pd.Series(apart <= room(n.to_numpy(np.int64), percent))
+
+    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    ends = [classes.select(F.col("print").alias(k), F.col("n").alias(f"n_{k}"), F.col("tally").alias(f"t_{k}")) for k in "ab"]
+    joined = ordered.join(ends[0], "a").join(ends[1], "b")
+    return joined.where(may_link("t_a", "t_b", F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def measured(documents: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """id, n (set size), print (fingerprint) of every row."""
+    """id, n (set size), print (fingerprint), tally of every row."""
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(len(s), fingerprint(s)) for s in sets_of(list(batch["text"]), size)]
-            yield pd.DataFrame({"id": batch["id"].to_numpy(), "n": [r[0] for r in rows], "print": [r[1] for r in rows]})
+            rows = [(len(s), fingerprint(s), tally(s)) for s in sets_of(list(batch["text"]), size)]
+            yield pd.DataFrame({"id": batch["id"].to_numpy(), "n": [r[0] for r in rows], "print": [r[1] for r in rows],
+                                "tally": [r[2] for r in rows]})
 
     rows = documents.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"))
-    out = rows.mapInPandas(measure, "id string, n long, print long")
+    out = rows.mapInPandas(measure, "id string, n long, print long, tally binary")
     return out.withColumn("id", F.col("id").cast("long"))
 
 
@@ -271,14 +308,15 @@ def class_sets(documents: DataFrame, classes: DataFrame, wanted: DataFrame, key:
             out = pd.DataFrame({"print": prints, "members": [s.tobytes() for s in found]})
             yield out[out["print"].to_numpy() == batch["print"].to_numpy()]
 
-    chosen = classes.join(wanted.distinct(), "print").select(F.col("id").alias("chosen"), "print")
+    # Stored, so that its size is known when the join is planned: below Spark's threshold no text is shuffled.
+    chosen = cut(classes.join(wanted.distinct(), "print").select(F.col("id").alias("chosen"), "print"), "chosen")
     rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(
         chosen, F.col("id") == F.col("chosen")).select("print", "text")
     return rows.mapInPandas(build, "print long, members binary").dropDuplicates(["print"])
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b of the pairs of classes whose sets pass the threshold."""
+    """a, b of the pairs (a < b) of classes whose sets pass the threshold."""
     left = sets.select(F.col("print").alias("a"), F.col("members").alias("set_a"))
     right = sets.select(F.col("print").alias("b"), F.col("members").alias("set_b"))
 
@@ -291,8 +329,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.loc[good, ["a", "b"]]
 
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    return ordered.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInPandas(
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInPandas(
         verify, "a long, b long")
 
 
@@ -312,7 +349,8 @@ def near_sets(documents: DataFrame, key: str = "doc_id", text: str = "text", siz
     """key, n_shingles, component_id of every row."""
     spark = documents.sparkSession
     rows = cut(measured(documents, key, text, size), "sets")
-    classes = cut(rows.where("n > 0 AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("id")), "classes")
+    classes = cut(rows.where("n > 0 AND id IS NOT NULL").groupBy("print").agg(
+        F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("tally").alias("tally")), "classes")
     total = rows.agg(F.sum("n")).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(least, math.ceil(total * 8 / PART_BYTES))
@@ -322,12 +360,12 @@ def near_sets(documents: DataFrame, key: str = "doc_id", text: str = "text", siz
     weight = members.groupBy("a").agg(F.count("*").alias("weight"))
     hubs = members.join(weight, "a").groupBy("key").agg(F.max(F.struct("weight", "a")).alias("hub"))
     to_hub = cut(members.join(hubs, "key").select("a", F.col("hub.a").alias("b")).where("a <> b").distinct(), "hubs")
-    pairs = cut(found.where("kind = 0").select("a", "b").unionByName(to_hub).distinct(), "pairs")
+    pairs = cut(possible(found.where("kind = 0").select("a", "b").unionByName(to_hub), classes, percent), "pairs")
     ends = pairs.select(F.col("a").alias("print")).unionByName(pairs.select(F.col("b").alias("print")))
-    sets = cut(class_sets(source, classes, ends.unionByName(members.select(F.col("a").alias("print"))),
-                          key, text, size), "class-sets")
-    links = cut(linked(pairs, sets, percent), "set-links")
-    links = links.unionByName(links_between_groups(to_hub, links, sets, percent))
+    links = cut(linked(pairs, cut(class_sets(source, classes, ends, key, text, size), "class-sets"), percent), "set-links")
+    open_blocks = cut(blocks_between_groups(to_hub, links, classes, percent), "open-blocks")
+    open_sets = class_sets(source, classes, open_blocks.select(F.col("a").alias("print")), key, text, size)
+    links = links.unionByName(links_in_blocks(open_blocks, open_sets, percent))
     by_id = classes.select("print", "id")
     named = (
         links.join(by_id.toDF("a", "id_a"), "a").join(by_id.toDF("b", "id_b"), "b").select("id_a", "id_b")
@@ -367,27 +405,47 @@ def common_counts(members: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def links_between_groups(to_hub: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: links of sets with many popular keys across the groups that the links so far leave."""
+def blocks_between_groups(to_hub: DataFrame, links: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """cluster, band, first, second, a, group: sets with many popular keys that may link across the groups that the
+    links so far leave, in the block pairs where their tallies allow it."""
     clusters = components(to_hub, "a", "b").select(F.col("id").alias("a"), F.col("component_id").alias("cluster"))
     groups = components(links, "a", "b").select(F.col("id").alias("a"), F.col("component_id").alias("group"))
     # Only sets of one size band or of neighbours can link: each goes to its own band and the next.
     starts = F.array(*[F.lit(int(x)) for x in band_starts(percent)])
-    band = F.size(F.filter(starts, lambda x: x <= F.col("size")))
-    sized = sets.select(F.col("print").alias("a"), F.floor(F.octet_length("members") / 8).alias("size"))
+    band = F.size(F.filter(starts, lambda x: x <= F.col("n")))
+    sized = classes.select(F.col("print").alias("a"), "n", "tally")
     known = cut(clusters.join(groups, "a", "left").join(sized, "a").select(
-        "a", "cluster", F.coalesce("group", "a").alias("group"), F.explode(F.array(band, band + 1)).alias("band")), "groups")
-    mixed = known.groupBy("cluster", "band").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n"))
-    mixed = mixed.where("low <> high").select("cluster", "band", F.ceil(F.col("n") / BLOCK_SETS).cast("int").alias("blocks"))
+        "a", "cluster", F.coalesce("group", "a").alias("group"), "n", "tally",
+        F.explode(F.array(band, band + 1)).alias("band")), "groups")
+    mixed = known.groupBy("cluster", "band").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("held"))
+    mixed = mixed.where("low <> high").select("cluster", "band", F.ceil(F.col("held") / BLOCK_SETS).cast("int").alias("blocks"))
     dealt = known.join(mixed, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cluster", "band", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "a", "group")
-    rows = sent.join(sets.select(F.col("print").alias("a"), "members"), "a")
+        "cluster", "band", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"),
+        "a", "group", "n", "tally")
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        group, n = block["group"].to_numpy(), block["n"].to_numpy(np.int64)
+        if (group != group[0]).any():
+            apart = np.zeros((len(n), len(n)), np.int32)
+            for column in tallies(block["tally"]).T:
+                apart += np.abs(column[:, None] - column[None, :])
+            may = apart <= room(n[:, None] + n[None, :], percent)
+            wanted = (may & (group[:, None] != group[None, :])).any(1)
+        else:
+            wanted = np.zeros(len(n), bool)
+        return block.loc[wanted, ["cluster", "band", "first", "second", "a", "group"]]
+
+    return sent.groupBy("cluster", "band", "first", "second").applyInPandas(
+        compare, "cluster long, band int, first int, second int, a long, group long")
+
+
+def links_in_blocks(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links across groups of the sets of each block pair, one a set at most."""
+    rows = blocks.join(sets.select(F.col("print").alias("a"), "members"), "a")
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         group, prints = block["group"].to_numpy(), block["a"].to_numpy()
-        if (group == group[0]).all():
-            return pd.DataFrame({"a": [], "b": []})
         held = [np.frombuffer(m, np.uint64) for m in block["members"]]
         common, size = common_counts(held), np.array([len(m) for m in held])
         near = 100 * common >= percent * (size[:, None] + size[None, :] - common)
