@@ -277,7 +277,7 @@ def batch_top_finding(t: Tables):
 
 
 def _run(t: Tables):
-    return assessment.Assessment(requests(t), feed_tables(t), as_of=AS_OF, keep_scores=True)
+    return assessment.Assessment(requests(t), feed_tables(t), as_of=AS_OF)
 
 
 @query(f"""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recordlens.functions import dates, fixed, text
 from recordlens.operators.ordered import pick_row
-from recordlens.session import cut
+from recordlens.session import bucketed, cut
 
 
 # ------------------------------------------------------------------ identity
@@ -52,10 +52,15 @@ def identity_confidence(resolved: DataFrame, *, as_of: str) -> DataFrame:
     )
 
 
+def entity_mark(entities: DataFrame) -> Column:
+    """Mark of an entity; resolved entities carry it as a column, which keeps the buckets of a stored table."""
+    return F.col("MARK") if "MARK" in entities.columns else text.normalize_mark(F.col("N_NUMBER"))
+
+
 def tail_events(entities: DataFrame, records: DataFrame) -> DataFrame:
     """Records that carry the entity's own mark."""
     keyed = records.withColumn("ENTITY", text.normalize_mark(F.col("N_NUMBER"))).filter(F.col("ENTITY") != "")
-    ids = entities.select(text.normalize_mark(F.col("N_NUMBER")).alias("ENTITY")).distinct()
+    ids = entities.select(entity_mark(entities).alias("ENTITY")).distinct()
     return keyed.join(ids, "ENTITY")
 
 
@@ -72,7 +77,8 @@ def or_key_join(entities: DataFrame, records: DataFrame) -> DataFrame:
             F.when(~text.is_blank(serial), pair("serial", serial)))))
 
     mark = text.normalize_mark(F.col("N_NUMBER"))
-    ents = entities.select(mark.alias("ENTITY"), keys(mark, F.col("SERIAL_NUMBER")).alias("_e"))
+    own = entity_mark(entities)
+    ents = entities.select(own.alias("ENTITY"), keys(own, F.col("SERIAL_NUMBER")).alias("_e"))
     ents = ents.select("ENTITY", F.col("_e.kind").alias("_ek"), F.col("_e.key").alias("_ekey"))
     recs = records.withColumn("_mark", mark).withColumn(
         "_r", keys(F.col("_mark"), F.col("SERIAL_NUMBER"))).select(
@@ -104,30 +110,40 @@ def with_model_key(records: DataFrame, mfr: str = "MFR", model: str = "MODEL") -
     )
 
 
-def family_labels(entities: DataFrame, records: DataFrame, label: Column) -> DataFrame:
+def label_groups(records: DataFrame, label: Column, *sums: Column) -> DataFrame:
+    """Records counted per mark, maker, model and label: ENTITY, _mfr, _model, LABEL, n and the ``sums``.
+
+    One grouping serves the own records of a mark as well as those of its model family. Records without a mark
+    have the blank one; their groups are bounded by the models and labels.
+    """
+    keyed = with_model_key(records.withColumn("LABEL", label)).withColumn(
+        "ENTITY", text.normalize_mark(F.col("N_NUMBER")))
+    return keyed.groupBy("ENTITY", "_mfr", "_model", "LABEL").agg(F.count("*").alias("n"), *sums)
+
+
+def family_labels(entities: DataFrame, groups: DataFrame) -> DataFrame:
     """Labels of the other records of each entity's model family: ENTITY, LABELS array (LABEL, n).
 
-    Records are counted per (maker, model, label) and gathered per distinct entity model; the array
-    then goes to the entities of that model, less the entity's own records, so no entity-record
-    pairs are made. Labels come from a short list (chapters, themes), which bounds the arrays.
+    ``groups`` come from ``label_groups``. They are summed per (maker, model, label) and gathered per distinct
+    entity model; the array then goes to the entities of that model, less the entity's own records, so no
+    entity-record pairs are made. Labels come from a short list (chapters, themes), which bounds the arrays.
     """
-    recs = with_model_key(records.withColumn("LABEL", label)).filter(F.length("_model") > 0)
-    family = recs.groupBy("_mfr", "_model", "LABEL").agg(F.count("*").alias("n"))
+    recs = groups.filter(F.length("_model") > 0)
+    family = recs.groupBy("_mfr", "_model", "LABEL").agg(F.sum("n").alias("n"))
     keys = model_prefixes(entities, "MFR", "MODEL")
     per_model = (
         keys.join(family, (keys["MFR_KEY"] == family["_mfr"]) & (keys["PREFIX"] == family["_model"]))
         .groupBy("MFR_KEY", "MODEL_KEY", "LABEL").agg(F.sum("n").alias("n"))
         .groupBy("MFR_KEY", "MODEL_KEY").agg(F.collect_list(F.struct("LABEL", "n")).alias("_all"))
     )
-    ents = entities.select(text.normalize_mark(F.col("N_NUMBER")).alias("ENTITY"),
-                           text.loose(F.col("MFR")).alias("MFR_KEY"),
+    ents = entities.select(entity_mark(entities).alias("ENTITY"), text.loose(F.col("MFR")).alias("MFR_KEY"),
                            text.loose(F.col("MODEL")).alias("MODEL_KEY"))
-    mine = recs.select(text.normalize_mark(F.col("N_NUMBER")).alias("ENTITY"), "_mfr", "_model", "LABEL").filter(
+    mine = recs.select("ENTITY", "_mfr", "_model", "LABEL", "n").filter(
         F.col("ENTITY") != "")  # records without a mark are nobody's own
     own = (
         mine.join(ents, "ENTITY")
         .filter((F.col("_mfr") == F.col("MFR_KEY")) & F.col("MODEL_KEY").startswith(F.col("_model")))
-        .groupBy("ENTITY", "LABEL").agg(F.count("*").alias("n"))
+        .groupBy("ENTITY", "LABEL").agg(F.sum("n").alias("n"))
         .groupBy("ENTITY").agg(F.map_from_entries(F.collect_list(F.struct("LABEL", "n"))).alias("_own"))
     )
     less = F.transform("_all", lambda x: F.struct(
@@ -139,7 +155,8 @@ def family_labels(entities: DataFrame, records: DataFrame, label: Column) -> Dat
 
 def prefix_model_counts(entities: DataFrame, records: DataFrame, label: Column) -> DataFrame:
     """Matching records of the model family per entity and label, without the entity's own."""
-    return family_labels(entities, records, label).select(
+    groups = bucketed(label_groups(records, label), "families", "ENTITY")
+    return family_labels(entities, groups).select(
         "ENTITY", F.explode("LABELS").alias("l")).select("ENTITY", "l.LABEL", "l.n")
 
 
@@ -149,7 +166,7 @@ CONFIG = ["M1", "M2", "E1", "E2"]
 def configurations(entities: DataFrame) -> DataFrame:
     """Each entity with its airframe and engine as comparison keys."""
     return entities.select(
-        text.normalize_mark(F.col("N_NUMBER")).alias("ENTITY"),
+        entity_mark(entities).alias("ENTITY"),
         text.loose(F.col("MFR")).alias("M1"), text.loose(F.col("MODEL")).alias("M2"),
         text.loose(F.col("ENG_MFR")).alias("E1"), text.loose(F.col("ENG_MODEL")).alias("E2"),
     )
@@ -268,8 +285,7 @@ def context_counts(entities: DataFrame, flights: DataFrame, reports: DataFrame,
         keys.join(cube, (keys["MFR_KEY"] == cube["_mfr"]) & (keys["PREFIX"] == cube["_model"]))
         .groupBy("MFR_KEY", "MODEL_KEY", "_apt", "LABEL").agg(F.sum("n").alias("n"))
     )
-    ents = entities.select(text.normalize_mark(F.col("N_NUMBER")).alias("ENTITY"),
-                           text.loose(F.col("MFR")).alias("MFR_KEY"),
+    ents = entities.select(entity_mark(entities).alias("ENTITY"), text.loose(F.col("MFR")).alias("MFR_KEY"),
                            text.loose(F.col("MODEL")).alias("MODEL_KEY"))
     used = airport_sets(flights).select("ENTITY", F.upper("AIRPORT").alias("_apt")).filter(
         F.col("_apt") != "").distinct().join(ents.select("ENTITY"), "ENTITY")
@@ -550,7 +566,7 @@ def prior_holder_reason(event_date: Column, event_mfr: Column, year_mfr: Column,
 
 def prior_holder_split(events: DataFrame, entities: DataFrame) -> DataFrame:
     """Mark-or-serial events of each entity with the reason for exclusion, if any."""
-    ents = entities.select(text.normalize_mark(F.col("N_NUMBER")).alias("ENTITY"), "YEAR_MFR",
+    ents = entities.select(entity_mark(entities).alias("ENTITY"), "YEAR_MFR",
                            F.col("MFR").alias("REG_MFR"))
     hits = or_key_join(entities, events).join(ents, "ENTITY")
     return hits.withColumn("REASON", prior_holder_reason(

@@ -74,6 +74,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """The frame as a table of the shared folder, in buckets by ``keys`` and sorted by them.
+
+    Joins and groupings by the keys need no exchange. There are as many buckets as shuffle partitions, so the table
+    fits whatever is joined to it. Its catalog entry is the name of its folder; both stay until the shared folder is
+    cleared, since the result is read later.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, name)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys) \
+        .option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at a path, None where the path does not exist; any other trouble stays an error."""
     try:

@@ -33,3 +33,19 @@ def test_pruning_and_pushdown(spark):
 
 def test_contract_is_one_scan(spark):
     assert plan(QUERIES["run_contract"](spark, SF)).split("== Initial Plan ==")[0].count("FileScan") == 1
+
+
+def test_assessment_joins_without_exchange(spark):
+    """Marks and modules are stored by mark: nine scans of stored tables, no shuffle, no feed read again."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(QUERIES["assess_all"](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in text and text.count("FileScan") == 9 and SF not in text
+
+
+def test_feed_is_grouped_once(spark):
+    """Own and family figures come from one stored grouping of the reports."""
+    text = plan(QUERIES["score_maintenance"](spark, SF))
+    assert "part.parquet" in text and "lineitem.parquet" not in text
