@@ -225,7 +225,7 @@ def stage_and_promote(t: Tables):
     s.promote(first)
     changed = [s.stage("feed", "parts", t.part.select("p_partkey", "p_name", "p_brand"))]
     blocked = len(s.schema_changes(changed)) == 1
-    promoted = t.spark.read.parquet(f"{s.base}/promotions").count()
+    promoted = s.promotions().count()
     return s.production("parts").select("p_partkey", "p_name", F.lit(promoted).cast("bigint").alias(
         "promotions"), F.lit(blocked).alias("blocked"))
 

@@ -90,10 +90,12 @@ def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
     return spark.table(table)
 
 
-def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+def read_if_there(spark: SparkSession, path: str, *, schema: str | None = None,
+                  recursive: bool = False) -> DataFrame | None:
     """The table at a path, None where the path does not exist; any other trouble stays an error."""
+    reader = spark.read.option("recursiveFileLookup", recursive)
     try:
-        return spark.read.parquet(path)
+        return (reader.schema(schema) if schema else reader).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recordlens.operators.ordered import pick_row, with_previous
@@ -36,6 +37,9 @@ def latest_artifacts(files: DataFrame, order: list[str]) -> DataFrame:
     return pick_row(files, ["name"], order, last=True)
 
 
+LOG = "run long, source string, table string, path string, columns array<string>, rows long"
+
+
 class TableStore:
     """Staging, promotion and schema fingerprints below a base folder."""
 
@@ -51,12 +55,13 @@ class TableStore:
     def read_staged(self, staged: dict) -> DataFrame:
         return self.spark.read.parquet(staged["path"])
 
-    def _log(self) -> DataFrame | None:
-        return read_if_there(self.spark, f"{self.base}/promotions")
+    def promotions(self) -> DataFrame | None:
+        """The promotion log: run, source, table, path, columns, rows; None before the first promotion."""
+        return read_if_there(self.spark, f"{self.base}/promotions", schema=LOG, recursive=True)
 
     def schema_changes(self, staged: list[dict]) -> list[dict]:
         """Staged tables whose ordered columns differ from those promoted last."""
-        log = self._log()
+        log = self.promotions()
         if log is None:
             return []
         known = {r["table"]: r["columns"] for r in  # one row per table
@@ -64,17 +69,41 @@ class TableStore:
         return [{"table": s["table"], "previous": known[s["table"]], "current": s["columns"]}
                 for s in staged if s["table"] in known and known[s["table"]] != s["columns"]]
 
+    def _next_run(self) -> int:
+        log = self.promotions()
+        return 1 if log is None else (log.agg(F.max("run")).first()[0] or 0) + 1
+
+    def _claim(self, run: int) -> bool:
+        """Takes a run number by creating its file, which only one run can do."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        place = jvm.org.apache.hadoop.fs.Path(f"{self.base}/claims/{run:012d}")
+        fs = place.getFileSystem(conf)
+        fs.mkdirs(place.getParent())
+        try:
+            fs.create(place, False).close()
+            return True
+        except Py4JJavaError:
+            if fs.exists(place):
+                return False
+            raise
+
     def promote(self, staged: list[dict]) -> list[str]:
-        log = self._log()
-        run = 1 if log is None else log.agg(F.max("run")).first()[0] + 1
+        """Appends the staged tables to the log under a run number of their own.
+
+        Runs that promote at the same time take different numbers, and readers follow the greatest. A run that
+        stops between claim and append leaves a gap in the numbers and nothing else. The claim is as exclusive as
+        the file system's create without overwrite.
+        """
+        run = self._next_run()
+        while not self._claim(run):
+            run += 1
         rows = [(run, s["source"], s["table"], s["path"], s["columns"], s["rows"]) for s in staged]
-        self.spark.createDataFrame(
-            rows, "run long, source string, table string, path string, columns array<string>, rows long"
-        ).coalesce(1).write.mode("append").parquet(f"{self.base}/promotions")
+        # a folder of its own: appends to one folder share its temporary part, which the first to finish removes
+        self.spark.createDataFrame(rows, LOG).coalesce(1).write.parquet(f"{self.base}/promotions/{run:012d}")
         return [s["table"] for s in staged]
 
     def production(self, table: str) -> DataFrame | None:
-        log = self._log()
+        log = self.promotions()
         if log is None:
             return None
         hit = log.filter(F.col("table") == table).orderBy(F.desc("run")).select("path").first()

@@ -197,6 +197,28 @@ def test_ingest_end_to_end(spark, landed, tmp_path):
     assert store.read_health(spark, base).count() == 16
 
 
+def test_interleaved_promotions_take_different_numbers(spark, tmp_path, table):
+    base = str(tmp_path)
+    one, two = store.TableStore(spark, base), store.TableStore(spark, base)
+    first, second = (s.stage("src", "t", table("a", (v,))) for s, v in ((one, "first"), (two, "second")))
+    number = two._next_run
+    two._next_run = lambda: (number(), one.promote([first]))[0]  # the other run promotes after this one has looked
+    two.promote([second])
+    assert rows(one.promotions(), "run", "path") == [(1, first["path"]), (2, second["path"])]
+    assert rows(one.production("t")) == [("second",)]
+
+
+def test_concurrent_promotions_lose_none(spark, tmp_path, table):
+    from concurrent.futures import ThreadPoolExecutor
+
+    stores = [store.TableStore(spark, str(tmp_path)) for _ in range(4)]
+    staged = [s.stage("src", f"t{i}", table("a", (str(i),))) for i, s in enumerate(stores)]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda p: p[0].promote([p[1]]), zip(stores, staged)))
+    assert rows(stores[0].promotions(), "run") == [(1,), (2,), (3,), (4,)]
+    assert [rows(s.production(f"t{i}")) for i, s in enumerate(stores)] == [[(str(i),)] for i in range(4)]
+
+
 def test_changed_columns_are_not_promoted(spark, tmp_path, table):
     base, state = str(tmp_path / "db"), {"df": table("A B", ("1", "2"))}
     loaders = {"x": lambda *_: ({"x": state["df"]}, "high", [])}
