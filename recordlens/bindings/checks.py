@@ -474,18 +474,17 @@ def ingest_warnings(t: Tables):
 
 
 @query("""
-WITH t AS (SELECT n_name AS "table", ['key', 'name', 'v' || n_regionkey] AS now,
-  CASE n_nationkey % 4 WHEN 0 THEN ['key', 'v' || n_regionkey, 'name'] WHEN 1 THEN ['key', 'name']
-       ELSE ['key', 'name', 'v' || n_regionkey] END AS before FROM nation WHERE n_nationkey % 5 <> 2)
-SELECT "table", array_to_string(before, ',') AS previous, array_to_string(now, ',') AS current FROM t WHERE now <> before
+WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS now
+  FROM events GROUP BY ALL),
+p AS (SELECT *, lag(now) OVER (PARTITION BY user_id ORDER BY day) AS before FROM d)
+SELECT CAST(user_id AS VARCHAR) || '@' || CAST(day AS VARCHAR) AS "table", before AS previous, now AS current
+FROM p WHERE before <> now
 """)
 def table_schema_drift(t: Tables):
-    version = F.concat(F.lit("v"), c("n_regionkey").cast("string"))
-    now = F.array(F.lit("key"), F.lit("name"), version)
-    current = t.nation.select(c("n_name").alias("table"), now.alias("columns"))
-    kind = c("n_nationkey") % 4
-    before = F.when(kind == 0, F.array(F.lit("key"), version, F.lit("name"))).when(
-        kind == 1, F.array(F.lit("key"), F.lit("name"))).otherwise(now)
-    saved = t.nation.filter(c("n_nationkey") % 5 != 2).select(c("n_name").alias("table"), before.alias("columns"))
-    return quality.table_schema_drift(current, saved).select(
+    """Every user's events are a table whose columns are the types seen; each day against the one before."""
+    cells = t.events.select(c("user_id").cast("string").alias("user"), c("ts").cast("date").alias("on"), "event_type")
+    daily = quality.daily_columns(cells, "user", "on", "event_type")
+    named = lambda df: df.select(
+        F.concat("table", F.lit("@"), c("day").cast("string")).alias("table"), "columns")
+    return quality.table_schema_drift(named(daily), named(quality.saved_before(daily))).select(
         "table", F.array_join("previous", ",").alias("previous"), F.array_join("current", ",").alias("current"))

@@ -513,6 +513,21 @@ def table_schema_drift(current: DataFrame, saved: DataFrame) -> DataFrame:
         "table", "previous", F.col("columns").alias("current"))
 
 
+def daily_columns(cells: DataFrame, table: str, day: str, column: str) -> DataFrame:
+    """Sorted column list of each table and day, from one row per filled cell: table, day, columns.
+
+    The set of names is mergeable, so a busy table is gathered map-side; days and columns bound what is kept.
+    """
+    return cells.groupBy(F.col(table).alias("table"), F.col(day).alias("day")).agg(
+        F.array_sort(F.collect_set(column)).alias("columns"))
+
+
+def saved_before(daily: DataFrame) -> DataFrame:
+    """For each table and day the column list of the last day before it; the first day has none."""
+    before = Window.partitionBy("table").orderBy("day")
+    return daily.withColumn("columns", F.lag("columns").over(before)).filter(F.col("columns").isNotNull())
+
+
 def ingest_validation(df: DataFrame, required: Sequence[str], *, low_rows: int = 1000,
                       missing_files: Sequence[str] = ()) -> DataFrame:
     """Status and confidence of one ingested table: files, columns, zero rows, few rows."""

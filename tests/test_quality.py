@@ -169,3 +169,11 @@ def test_shape_hash_sees_all_keys_and_levels(spark, table):
         assert df.select(shape.schema_hash(F.col("body"))).distinct().count() == 2
         assert df.select(shape.schema_hash(F.col("body"), max_depth=4, max_keys=50)).distinct().count() == 1
     assert shape.hash_text("[" * 3000 + "1" + "]" * 3000) != shape.hash_text("[" * 3000 + "]" * 3000)
+
+
+def test_columns_are_compared_with_the_last_day_before(table):
+    cells = table("t d c", ("a", "1", "x"), ("a", "1", "y"), ("a", "1", "x"), ("a", "3", "x"), ("a", "4", "x"),
+                  ("b", "1", "x"))
+    daily = quality.daily_columns(cells, "t", "d", "c")
+    assert rows(daily) == [("a", "1", ["x", "y"]), ("a", "3", ["x"]), ("a", "4", ["x"]), ("b", "1", ["x"])]
+    assert rows(quality.saved_before(daily)) == [("a", "3", ["x", "y"]), ("a", "4", ["x"])]
