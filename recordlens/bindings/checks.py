@@ -338,7 +338,7 @@ def find_row_array(t: Tables):
 
 
 @query("""
-SELECT count(*) AS rows, CASE WHEN count(*) < 1000 THEN 'VALIDATION_FAILED' ELSE 'VALIDATION_FAILED' END
+SELECT count(*) AS rows, CASE WHEN count(*) = 0 THEN 'ZERO_ROWS' ELSE 'VALIDATION_FAILED' END
        AS status, 'none' AS confidence, 'p_comment' AS missing_columns, 'part' AS src FROM part
 UNION ALL SELECT count(*), CASE WHEN count(*) < 1000 THEN 'OK_WITH_WARNINGS' ELSE 'OK' END,
        CASE WHEN count(*) < 1000 THEN 'medium' ELSE 'high' END, '', 'supplier' FROM supplier

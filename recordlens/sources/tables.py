@@ -88,10 +88,13 @@ def with_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there; a path that cannot be read is an error, not an absent one."""
     try:
         spark.read.format("binaryFile").load(path)
         return True
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return False
 
 
