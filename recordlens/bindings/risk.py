@@ -301,7 +301,39 @@ def score_components(t: Tables):
         c("VALUE").alias("value"), c("EVIDENCE_COUNT").alias("evidence"))
 
 
-@query()
+PHRASES = ("few open points on record", "a handful of points to check", "questions that ought to be cleared up",
+           "weighty points that call for answers", "so many weighty points that an expert should look")
+PHRASE_SQL = " ".join(f"WHEN '{b[1]}' THEN '{p}'" for b, p in zip(fixed.SCORE_BANDS, PHRASES))
+
+
+def number_sql(x: str, one: str, many: str) -> str:
+    return f"CASE WHEN {x} = 1 THEN '1 {one}' WHEN {x} > 1 THEN CAST({x} AS BIGINT) || ' {many}' END"
+
+
+@query(f"""
+WITH {ASSESS},
+v AS (SELECT a.*, r."YEAR_MFR" AS made, coalesce(m6.evidence, 0) AS actions FROM assessed a
+  LEFT JOIN v_registry r ON r."N_NUMBER" = a.entity LEFT JOIN m6 ON m6.entity = a.entity),
+l AS (SELECT *, list_filter([
+  {number_sql('direct_n', 'accident or incident report on this aircraft',
+              'accident or incident reports on this aircraft')},
+  CASE WHEN actions > 0 THEN 'public enforcement history under the registrant''s name' END,
+  CASE WHEN canc > 0 THEN 'a prior deregistration of this mark'
+       WHEN changes >= 2 THEN CAST(changes AS BIGINT) || ' ownership changes in five years' END,
+  {number_sql('e4', 'airworthiness directive that applies', 'airworthiness directives that apply')},
+  {number_sql('tail_n', 'defect report on this aircraft', 'defect reports on this aircraft')}],
+  lambda x: x IS NOT NULL)[1:3] AS f FROM v)
+SELECT mark AS "N_NUMBER", CASE WHEN NOT found
+  THEN 'The registry does not know this mark; check it before anything else.'
+  ELSE 'This ' || concat_ws(' ', nullif(made, ''), mfr, model) || ' shows ' || CASE band {PHRASE_SQL} END || '.'
+  || CASE WHEN len(f) = 0 THEN ' No record names this airframe, which proves nothing by itself.'
+     ELSE ' The record holds ' || CASE len(f) WHEN 1 THEN f[1] WHEN 2 THEN f[1] || ' and ' || f[2]
+       ELSE f[1] || ', ' || f[2] || ', and ' || f[3] END || '.' END
+  || CASE WHEN s > 60 THEN ' Clear them up ahead of paying, with a thorough inspection.'
+     WHEN direct_n > 0 THEN ' Look up the event reports and the repairs that followed.'
+     WHEN s > 20 THEN ' Ask the seller about them and have the inspector look.'
+     ELSE ' Go on with the usual inspection.' END END AS "VERDICT" FROM l
+""", views=VIEWS)
 def plain_verdict(t: Tables):
     return assessment.plain_verdict(assessment.assess_all(requests(t), feed_tables(t), as_of=AS_OF))
 
