@@ -14,7 +14,7 @@ Units that an earlier document holds are covered as they are. For the other wind
 the run sends the bytes around the anchor, once per distinct stretch, to the range of the anchor; there the
 windows' full suffix array goes through such a family again, and the run learns the smallest document of
 each window. A passage in a third of all documents so costs one stretch per run, not one per document.
-Windows are compared by 128 bits of fingerprint.
+Windows and units are compared by 128 bits of fingerprint.
 
 The documents are shuffled once, by run, and read three times from that shuffle.
 
@@ -43,6 +43,8 @@ RUN_BYTES = 8 << 20
 PIECE_BYTES = 1 << 20
 UNIT_MASK = np.uint64(15)
 PLACE = np.uint64((1 << 24) - 1)
+GATHER = 200_000  # entries that are sorted or asked at once
+WINDOWS_A_SIZE = 5  # windows of a stretch for each byte of its 4-byte size, about
 OTHER_CODES = mix(BYTE_CODES)
 RESPONSE = "run long, kind int, part long, keys binary, low binary, high binary"
 
@@ -106,13 +108,14 @@ class Stretch:
         self.unit_first = np.flatnonzero(opens)
         self.unit = np.cumsum(opens) - 1
 
-    def unit_keys(self) -> np.ndarray:
-        """Fingerprint of each unit's bytes; odd, where anchors' keys are even."""
+    def unit_prints(self) -> tuple[np.ndarray, np.ndarray]:
+        """Key and tag of each unit's bytes, 128 bits in all; its key is odd, where anchors' keys are even."""
         last = np.append(self.unit_first[1:], len(self.at)) - 1
         begin = self.at[self.unit_first].tolist()
         end = (self.at[last] + self.count[last] + MATCH - 1).tolist() if len(last) else []
-        digest = b"".join(hashlib.blake2b(self.data[a:b], digest_size=8).digest() for a, b in zip(begin, end))
-        return np.frombuffer(digest, np.uint64) | np.uint64(1)
+        digest = b"".join(hashlib.blake2b(self.data[a:b], digest_size=16).digest() for a, b in zip(begin, end))
+        both = np.frombuffer(digest, np.uint64).reshape(-1, 2)
+        return both[:, 0] | np.uint64(1), both[:, 1]
 
 
 def stretches(bodies: list[bytes]) -> Iterator[Stretch]:
@@ -130,8 +133,23 @@ def stretches(bodies: list[bytes]) -> Iterator[Stretch]:
         yield Stretch(group)
 
 
+def in_level(keys: np.ndarray, tags: np.ndarray, key: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of (key, tag) in a level sorted by key, and which of them are there."""
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    hit = (keys[at] == key) & (tags[at] == tag)
+    look = np.flatnonzero((keys[at] == key) & ~hit)
+    while len(look):  # equal keys of different tags lie side by side
+        at[look] += 1
+        look = look[at[look] < len(keys)]
+        look = look[keys[at[look]] == key[look]]
+        found = tags[at[look]] == tag[look]
+        hit[look[found]] = True
+        look = look[~found]
+    return at, hit
+
+
 class LevelFamily:
-    """Sorted levels of (key, tag, smallest and largest document), each key in one level."""
+    """Sorted levels of (key, tag, smallest and largest document), each key and tag in one level."""
 
     def __init__(self):
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -140,13 +158,15 @@ class LevelFamily:
         """Sorts the batch, scans it against the levels and files what is new."""
         if not len(key):
             return
-        order = np.lexsort((low, key))
-        key, tag, low, high = key[order], tag[order], low[order], high[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        key, tag, low, high = key[first], tag[first], low[first], np.maximum.reduceat(high, first)
+        order = np.argsort(key, kind="stable")
+        if ((key[order[1:]] == key[order[:-1]]) & (tag[order[1:]] != tag[order[:-1]])).any():
+            order = np.lexsort((tag, key))
+        key, tag = key[order], tag[order]
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])]))
+        low, high = np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
+        key, tag = key[first], tag[first]
         for keys, tags, lows, highs in self.levels:
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = (keys[at] == key) & (tags[at] == tag)
+            at, hit = in_level(keys, tags, key, tag)
             lows[at[hit]] = np.minimum(lows[at[hit]], low[hit])
             highs[at[hit]] = np.maximum(highs[at[hit]], high[hit])
             key, tag, low, high = key[~hit], tag[~hit], low[~hit], high[~hit]
@@ -158,15 +178,19 @@ class LevelFamily:
             self.levels.append(tuple(c[order] for c in merged))
 
     def find(self, key: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Smallest and largest document of each key; both 0 for an unknown one."""
+        """Smallest and largest document of each key and tag; both 0 for unknown ones."""
         low, high = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
         for keys, tags, lows, highs in self.levels:
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = (keys[at] == key) & (tags[at] == tag)
+            at, hit = in_level(keys, tags, key, tag)
             low[hit], high[hit] = lows[at[hit]], highs[at[hit]]
         return low, high
 
 
+def parts_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """The key range of each key, of as many equal ones."""
+    return (((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
 def run_documents(group: pd.DataFrame) -> tuple[np.ndarray, list[bytes]]:
     """Ids and bodies of a run's documents with an id, in an order that does not depend on the shuffle."""
     group = group[group["id"].notna()]
@@ -175,25 +199,30 @@ def run_documents(group: pd.DataFrame) -> tuple[np.ndarray, list[bytes]]:
 
 
 def key_batches(group: pd.DataFrame, parts: int) -> pd.DataFrame:
-    """The run's distinct keys with their smallest and largest document, cut by part."""
+    """The run's distinct keys with their smallest and largest document, and the tags of the units, cut by part."""
     ids, bodies = run_documents(group)
-    keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    keys, tags, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for s in stretches(bodies):
-        keys += [s.key, s.unit_keys()]
+        unit, tag = s.unit_prints()
+        keys += [s.key, unit]
+        tags += [np.zeros(len(s.key), np.uint64), tag]
         docs += [ids[s.doc], ids[s.doc[s.unit_first]]]
-    key, doc = np.concatenate(keys), np.concatenate(docs)
-    part = (key >> np.uint64(8)) % np.uint64(parts)
-    order = np.lexsort((doc, key, part))
-    key, doc, part = key[order], doc[order], part[order].astype(np.int64)
+    key, tag, doc = np.concatenate(keys), np.concatenate(tags), np.concatenate(docs)
+    # Documents come by id and no unit has the key of an anchor, so those of one key stay in order.
+    order = np.argsort(key, kind="stable")
+    key, tag, doc = key[order], tag[order], doc[order]
     first = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]]))
     last = np.append(first[1:], len(key)) - 1
     # A second entry only where the largest document differs.
     both = np.sort(np.concatenate([first, last[doc[first] != doc[last]]]))
-    key, doc, part = key[both], doc[both], part[both]
+    key, tag, doc = key[both], tag[both], doc[both]
+    part = parts_of(key, parts)
     at = np.flatnonzero(np.concatenate([np.ones(min(len(part), 1), bool), part[1:] != part[:-1]]))
     ends = np.append(at[1:], len(part))
+    unit = (key & np.uint64(1)).astype(bool)
     return pd.DataFrame({"part": part[at], "run": group["run"].iloc[0] if len(group) else 0,
                          "keys": [key[a:b].tobytes() for a, b in zip(at, ends)],
+                         "tags": [tag[a:b][unit[a:b]].tobytes() for a, b in zip(at, ends)],
                          "docs": [doc[a:b].tobytes() for a, b in zip(at, ends)]})
 
 
@@ -210,25 +239,49 @@ def by_part(batches: Iterator[pd.DataFrame]) -> Iterator[list]:
         yield rows
 
 
+def gathered(rows: list, size) -> Iterator[list]:
+    """The rows in groups of about GATHER entries."""
+    group, held = [], 0
+    for row in rows:
+        group.append(row)
+        held += size(row)
+        if held > GATHER:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
+def answer_rows(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["run", "kind", "part", "keys", "low", "high"])
+
+
+def batch_keys(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of some batches and their tags, 0 for anchors."""
+    key = np.frombuffer(b"".join(r.keys for r in rows), np.uint64)
+    tag = np.zeros(len(key), np.uint64)
+    tag[(key & np.uint64(1)).astype(bool)] = np.frombuffer(b"".join(r.tags for r in rows), np.uint64)
+    return key, tag
+
+
 def shared_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each run the keys that several documents hold, with the smallest and largest of them."""
     for rows in by_part(batches):
-        index, waiting, held = LevelFamily(), [], 0
-        for row in rows:
-            waiting.append((np.frombuffer(row.keys, np.uint64), np.frombuffer(row.docs, np.int64)))
-            held += len(waiting[-1][0])
-            if held > 200_000 or row is rows[-1]:
-                key, doc = (np.concatenate(c) for c in zip(*waiting))
-                index.add(key, np.zeros(len(key), np.uint64), doc, doc)
-                waiting, held = [], 0
-        for row in rows:
-            key = np.unique(np.frombuffer(row.keys, np.uint64))
-            low, high = index.find(key, np.zeros(len(key), np.uint64))
-            held_by_more = low != high
-            if held_by_more.any():
-                yield pd.DataFrame({"run": [row.run], "kind": [0], "part": [row.part],
-                                    "keys": [key[held_by_more].tobytes()], "low": [low[held_by_more].tobytes()],
-                                    "high": [high[held_by_more].tobytes()]})
+        index = LevelFamily()
+        for some in gathered(rows, lambda r: len(r.keys) // 8):
+            doc = np.frombuffer(b"".join(r.docs for r in some), np.int64)
+            index.add(*batch_keys(some), doc, doc)
+        for some in gathered(rows, lambda r: len(r.keys) // 8):
+            key, tag = batch_keys(some)
+            low, high = index.find(key, tag)
+            run = np.repeat(np.arange(len(some)), [len(r.keys) // 8 for r in some])
+            # A run sends a key twice where its documents differ, and wants it once.
+            held = low != high
+            held[1:] &= (key[1:] != key[:-1]) | (run[1:] != run[:-1])
+            key, low, high = key[held], low[held], high[held]
+            cuts = np.searchsorted(run[held], np.arange(len(some) + 1)).tolist()
+            yield answer_rows([(r.run, 0, r.part, key[a:b].tobytes(), low[a:b].tobytes(), high[a:b].tobytes())
+                               for r, a, b in zip(some, cuts, cuts[1:]) if b > a])
 
 
 class Shared:
@@ -261,13 +314,13 @@ class OpenStretches:
         self.spans: list[np.ndarray] = []  # rows of doc, start, end that shared units cover
         self.order: list[tuple[int, bytes]] = []
         for s in stretches(bodies):
-            hit, low = shared.lows(s.unit_keys())
+            hit, low = shared.lows(s.unit_prints()[0])
             earlier = hit & (low < ids[s.doc[s.unit_first]])
             covered = earlier[s.unit]
             self.spans.append(np.stack([s.doc[covered], s.start[covered],
                                         s.start[covered] + s.count[covered] + MATCH - 1], 1))
             mine = np.flatnonzero(~covered & shared.lows(s.key)[0])
-            part = ((s.key[mine] >> np.uint64(8)) % np.uint64(parts)).tolist()
+            part = parts_of(s.key[mine], parts).tolist()
             for p, doc, start, at, n in zip(part, s.doc[mine].tolist(), s.start[mine].tolist(), s.at[mine].tolist(),
                                             s.count[mine].tolist()):
                 own = (p, s.data[at:at + n + MATCH - 1])
@@ -300,40 +353,42 @@ def stretch_batches(run: int, found: OpenStretches) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["part", "run", "data", "sizes", "low", "high"])
 
 
-def stretch_windows(row) -> tuple[np.ndarray, ...]:
-    """key, tag, stretch and offset of every window of a batch."""
-    data, sizes = np.frombuffer(zlib.decompress(row.data), np.uint8), np.frombuffer(row.sizes, np.int32).astype(np.int64)
+def stretch_windows(rows: list) -> tuple[np.ndarray, ...]:
+    """key, tag, stretch and offset of every window of some batches; stretches are numbered through."""
+    data = np.frombuffer(b"".join(zlib.decompress(r.data) for r in rows), np.uint8)
+    sizes = np.frombuffer(b"".join(r.sizes for r in rows), np.int32).astype(np.int64)
     counts = sizes - MATCH + 1
     at = ranges(np.cumsum(sizes) - sizes, counts)
     stretch = np.repeat(np.arange(len(sizes)), counts)
-    offset = at - np.repeat(np.cumsum(sizes) - sizes, counts)
+    offset = at - (np.cumsum(sizes) - sizes)[stretch]
     return run_prints(BYTE_CODES[data], MATCH)[at], run_prints(OTHER_CODES[data], MATCH)[at], stretch, offset
 
 
 def window_answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each run the windows that a document before its largest one holds: stretch, from, to, smallest document."""
     for rows in by_part(batches):
-        index, prints = LevelFamily(), []
-        for row in rows:
-            key, tag, stretch, offset = stretch_windows(row)
-            low, high = np.frombuffer(row.low, np.int64), np.frombuffer(row.high, np.int64)
+        index, asked = LevelFamily(), []
+        for some in gathered(rows, lambda r: len(r.sizes) * WINDOWS_A_SIZE):
+            key, tag, stretch, offset = stretch_windows(some)
+            low, high = (np.frombuffer(b"".join(c), np.int64) for c in zip(*((r.low, r.high) for r in some)))
             index.add(key, tag, low[stretch], high[stretch])
-            prints.append((key, tag))
-        for row, (key, tag) in zip(rows, prints):
-            sizes = np.frombuffer(row.sizes, np.int32).astype(np.int64) - MATCH + 1
-            stretch = np.repeat(np.arange(len(sizes)), sizes)
-            offset = ranges(np.zeros(len(sizes), np.int64), sizes)
+            asked.append((some, key, tag, stretch.astype(np.int32), offset.astype(np.int32)))
+        while asked:
+            some, key, tag, stretch, offset = asked.pop()
             low, _ = index.find(key, tag)
-            held = low < np.frombuffer(row.high, np.int64)[stretch]
-            stretch, offset, low = stretch[held], offset[held], low[held]
+            held = low < np.frombuffer(b"".join(r.high for r in some), np.int64)[stretch]
+            stretch, offset, low = stretch[held].astype(np.int64), offset[held].astype(np.int64), low[held]
             if not len(low):
                 continue
             first = np.flatnonzero(np.concatenate([[True], (np.diff(stretch) != 0) | (np.diff(offset) != 1) |
                                                    (np.diff(low) != 0)]))
-            last = np.append(first[1:], len(low)) - 1
-            yield pd.DataFrame({"run": [row.run], "kind": [1], "part": [row.part],
-                                "keys": [np.stack([stretch[first], offset[first]], 1).tobytes()],
-                                "low": [low[first].tobytes()], "high": [offset[last].tobytes()]})
+            last = offset[np.append(first[1:], len(low)) - 1]
+            stretch, offset, low = stretch[first], offset[first], low[first]
+            begin = np.cumsum([0, *[len(r.sizes) // 4 for r in some]])
+            cuts = np.searchsorted(stretch, begin).tolist()
+            yield answer_rows([(r.run, 1, r.part, np.stack([stretch[a:b] - own, offset[a:b]], 1).tobytes(),
+                                low[a:b].tobytes(), last[a:b].tobytes())
+                               for r, own, a, b in zip(some, begin.tolist(), cuts, cuts[1:]) if b > a])
 
 
 def covered_spans(ids: np.ndarray, bodies: list[bytes], answers: pd.DataFrame, parts: int) -> np.ndarray:
@@ -407,10 +462,13 @@ def run_result(documents: DataFrame, key: str, text: str, run_bytes: int, last:
                              "n_removed": [len(b) - len(k) for b, (k, _) in zip(bodies, left)],
                              "n_spans": [n for _, n in left], **finish([k for k, _ in left])})
 
-    sent = dealt.groupBy("run").applyInPandas(send_keys, "part long, run long, keys binary, docs binary")
+    sent = dealt.groupBy("run").applyInPandas(send_keys, "part long, run long, keys binary, tags binary, docs binary")
     answers = sent.repartition(parts, "part").sortWithinPartitions("part", "run").mapInPandas(shared_keys, RESPONSE)
+    answers = answers.repartition(runs, "run")
     stretched = dealt.groupBy("run").cogroup(answers.groupBy("run")).applyInPandas(
         send_stretches, "part long, run long, data binary, sizes binary, low binary, high binary")
     windows = stretched.repartition(parts, "part").sortWithinPartitions("part", "run").mapInPandas(window_answers, RESPONSE)
+    # Both kinds of answers lie by run, so their union needs no exchange and the first kind is found once.
+    windows = windows.repartition(runs, "run")
     return dealt.groupBy("run").cogroup(answers.unionByName(windows).groupBy("run")).applyInPandas(
         result, f"{key} long, n_bytes long, n_removed long, n_spans long, {last}")

@@ -289,6 +289,14 @@ def test_levels_keep_geometric_sizes():
     assert low.tolist() == [min(seen[k]) for k in keys.tolist()] and high.tolist() == [max(seen[k]) for k in keys.tolist()]
 
 
+def test_levels_tell_equal_keys_of_different_tags_apart():
+    family = suffix_levels.LevelFamily()
+    for doc, (keys, tags) in enumerate([([5, 5, 7], [1, 2, 1]), ([5, 5, 7], [3, 2, 1]), ([5] * 9, range(9))]):
+        family.add(np.array(keys, np.uint64), np.array(tags, np.uint64), np.full(len(keys), doc), np.full(len(keys), doc))
+    low, high = family.find(np.array([5, 5, 5, 5, 5, 7, 7, 9], np.uint64), np.array([1, 2, 3, 8, 9, 1, 2, 1], np.uint64))
+    assert low.tolist() == [0, 0, 1, 2, 0, 0, 0, 0] and high.tolist() == [2, 2, 2, 2, 0, 1, 0, 0]
+
+
 def test_benchmark_copies_are_found_and_others_left(spark):
     rng = np.random.default_rng(23)
     items = [(i, sentence(rng, rng.integers(12, 60))) for i in range(30)]
