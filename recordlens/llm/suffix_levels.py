@@ -101,7 +101,8 @@ class Stretch:
         self.at, self.count = starts[first], np.diff(np.append(first, len(starts)))
         self.doc = np.array([p[0] for p in pieces])[owner]
         self.start = np.array([p[1] for p in pieces])[owner] + self.at - begin[owner]
-        self.key = grams[anchor[first]] & ~np.uint64(1)
+        # Anchors are least grams, so their hashes lie low; hashed again they spread over all key ranges.
+        self.key = mix(grams[anchor[first]]) & ~np.uint64(1)
         opens = ((self.key >> np.uint64(1)) & UNIT_MASK) == 0
         opens[0] = True
         opens[1:] |= np.diff(owner) != 0
