@@ -8,7 +8,7 @@ from recordlens.bindings import Tables, query
 from recordlens.bindings.expressions import WS, sql_case
 from recordlens.functions import fixed
 from recordlens.session import scratch_path
-from recordlens.sources import documents, feeds, registry, store, tables
+from recordlens.sources import documents, feeds, ingest, registry, store, tables
 
 c = F.col
 
@@ -280,20 +280,28 @@ def batch_sink(t: Tables):
 
 
 @query("""
-SELECT CASE WHEN l_linenumber <= 3 THEN '2019' ELSE '2020' END AS year, 'N' || l_suppkey AS mark, l_returnflag AS mfr,
-  CASE WHEN l_linenumber <= 3 THEN '' ELSE l_linestatus END AS part, count(*) AS n FROM lineitem GROUP BY ALL
+WITH r AS (SELECT CAST(2019 + l_linenumber % 4 AS VARCHAR) AS y, l_linenumber % 2 = 0 AS named,
+  CAST(l_orderkey AS VARCHAR) AS id, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day, CAST(l_suppkey AS VARCHAR) AS supp,
+  l_returnflag AS mfr, l_linestatus AS model FROM lineitem),
+h AS (SELECT *, sha256(concat_ws('|', '', day, supp, '', mfr, model, '', '', '', '', model, '', '')) AS d FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY y, named, d) AS turn FROM h)
+SELECT y AS year, CASE WHEN named THEN id ELSE y || '-' || d || CASE WHEN turn > 1 THEN '-' || turn ELSE '' END END AS report,
+  day, 'N' || supp AS mark, mfr, model, CASE WHEN named THEN '' ELSE model END AS part FROM n
 """)
 def multi_file_union(t: Tables):
-    day = c("l_shipdate").cast("date").cast("string")
-    a = t.lineitem.filter("l_linenumber <= 3").select(
-        c("l_orderkey").cast("string").alias("SDR No"), day.alias("Difficulty Date"),
-        c("l_suppkey").cast("string").alias("Registration Number"), c("l_returnflag").alias("ACFT MAKE"),
-        c("l_linestatus").alias("Model"))
-    b = t.lineitem.filter("l_linenumber > 3").select(
-        day.alias("DATE"), c("l_suppkey").cast("string").alias("n-number"), c("l_returnflag").alias("MFR"),
-        c("l_linestatus").alias("AIRCRAFT_MODEL"), c("l_linestatus").alias("component name"))
-    rows, _, _ = tables.multi_file_union(
-        [(a, "2019", "sdr_2019.csv"), (b, "2020", "sdr_2020.csv")], feeds.SDR_HEADERS, feeds.SDR_ESSENTIAL)
-    return rows.filter(c("REPORT_ID") != "").groupBy(
-        c("SOURCE_YEAR").alias("year"), c("N_NUMBER").alias("mark"), c("MFR").alias("mfr"),
-        c("PART_NAME").alias("part")).agg(F.count("*").alias("n"))
+    """Four yearly files of two layouts; of two years the reports have no id of their own."""
+    base = scratch_path(t.spark, "years")
+    rows = t.lineitem.withColumns({
+        "year": 2019 + c("l_linenumber") % 4, "day": c("l_shipdate").cast("date").cast("string")})
+    named = rows.select("year", c("l_orderkey").alias("SDR No"), c("day").alias("Difficulty Date"),
+                        c("l_suppkey").alias("Registration Number"), c("l_returnflag").alias("ACFT MAKE"),
+                        c("l_linestatus").alias("Model"))
+    without = rows.select("year", c("day").alias("DATE"), c("l_suppkey").alias("n-number"), c("l_returnflag").alias("MFR"),
+                          c("l_linestatus").alias("AIRCRAFT_MODEL"), c("l_linestatus").alias("component name"))
+    for year in range(2019, 2023):
+        layout = without if year % 2 == 0 else named
+        tables.csv_sink(layout.filter(c("year") == year), layout.columns[1:], f"{base}/sdr_{year}.csv")
+    found, _, _ = tables.yearly_files(t.spark, ingest.landed_files(t.spark, base), feeds.SDR_HEADERS, feeds.SDR_ESSENTIAL)
+    return found.select(c("SOURCE_YEAR").alias("year"), c("REPORT_ID").alias("report"), c("DATE").alias("day"),
+                        c("N_NUMBER").alias("mark"), c("MFR").alias("mfr"), c("MODEL").alias("model"),
+                        c("PART_NAME").alias("part"))

@@ -27,39 +27,24 @@ class FeedProblem(Exception):
         self.status = status
 
 
-def _one_source(path: str) -> str:
-    """The folder of a part file that Spark wrote into a folder named as a CSV file, else the path."""
-    folder, _, name = path.rpartition("/")
-    return folder if name.startswith("part-") and folder.lower().endswith(".csv") else path
-
-
-def _csv_files(spark: SparkSession, folder: str, pattern: str = "*.[cC][sS][vV]") -> list[str]:
-    """Paths of the landed files (a short list from the file system, no content).
-
-    The part files of one CSV folder have one layout and count as one file, under the folder's name.
-    """
+def landed_files(spark: SparkSession, folder: str, pattern: str = "*.[cC][sS][vV]") -> list[str]:
+    """Paths of the landed files (a list from the file system, no content)."""
     try:
         listing = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/{pattern}")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return []
-    return sorted({_one_source(r[0]) for r in listing.select("path").collect()})
+    return sorted(r[0] for r in listing.select("path").collect())
 
 
 def _union_files(spark: SparkSession, folder: str, headers: dict, essential: list[str]) -> DataFrame:
-    parts = []
-    for path in _csv_files(spark, folder):
-        mapped, missing = tables.reconcile_columns(tables.csv_scan(spark, path), headers, essential)
-        if mapped is None:
-            raise FeedProblem("VALIDATION_FAILED", f"unmapped essential columns: {missing}")
-        parts.append(mapped)
-    if not parts:
+    layouts, refused, _ = tables.landed_tables(spark, landed_files(spark, folder), headers, essential)
+    if refused:
+        raise FeedProblem("VALIDATION_FAILED", f"unmapped essential columns: {refused[0][1]}")
+    if not layouts:
         raise FeedProblem("ZERO_ROWS", f"no files in {folder}")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return tables.union_all(layouts).drop(tables.SOURCE_PATH)
 
 
 def load_registry(spark, folder, store, as_of):
@@ -79,17 +64,10 @@ def load_registry(spark, folder, store, as_of):
 
 
 def load_sdr(spark, folder, store, as_of):
-    import re
-
-    files = _csv_files(spark, folder)
+    files = landed_files(spark, folder)
     if not files:
         raise FeedProblem("ZERO_ROWS", f"no files in {folder}")
-    parts = []
-    for path in files:
-        name = path.rsplit("/", 1)[-1]
-        hit = re.search(r"(19|20)\d{2}", name)
-        parts.append((tables.csv_scan(spark, path), hit.group(0) if hit else "unknown", path))
-    reports, lineage, skipped = tables.multi_file_union(parts, feeds.SDR_HEADERS, feeds.SDR_ESSENTIAL)
+    reports, lineage, skipped = tables.yearly_files(spark, files, feeds.SDR_HEADERS, feeds.SDR_ESSENTIAL)
     warnings = [f"{file}: {reason}" for file, reason in skipped]
     if reports is None:
         raise FeedProblem("ZERO_ROWS", f"no file has the essential columns: {' | '.join(warnings)}")
@@ -108,29 +86,26 @@ def load_sdr(spark, folder, store, as_of):
 
 
 def load_ntsb(spark, folder, store, as_of):
-    parts, warnings = [], []
-    for path in _csv_files(spark, folder):
-        mapped, missing = tables.reconcile_columns(
-            tables.csv_scan(spark, path), feeds.NTSB_HEADERS, feeds.NTSB_ESSENTIAL)
-        if mapped is None:
-            lost = ", ".join(f for f in missing if f in feeds.NTSB_ESSENTIAL)
-            warnings.append(f"{path.rsplit('/', 1)[-1]}: no column for {lost}; the file is left out")
-        else:
-            parts.append(mapped.withColumns({
-                "N_NUMBER": text.normalize_mark(F.col("N_NUMBER")), "SOURCE_MODE": F.lit("bulk")}))
-    for path in _csv_files(spark, folder, "*.[jJ][sS][oO][nN]"):
+    layouts, refused, _ = tables.landed_tables(
+        spark, landed_files(spark, folder), feeds.NTSB_HEADERS, feeds.NTSB_ESSENTIAL)
+    warnings = []
+    for path, missing in refused:
+        lost = ", ".join(f for f in missing if f in feeds.NTSB_ESSENTIAL)
+        warnings.append(f"{path.rsplit('/', 1)[-1]}: no column for {lost}; the file is left out")
+    parts = [(F.concat(F.lit("csv "), tables.SOURCE_PATH), rows.withColumns({
+        "N_NUMBER": text.normalize_mark(F.col("N_NUMBER")), "SOURCE_MODE": F.lit("bulk")})) for rows in layouts]
+    for path in landed_files(spark, folder, "*.[jJ][sS][oO][nN]"):
         body = spark.read.option("wholetext", True).text(path)
         if body.filter(F.try_parse_json("value").isNull()).count():
             warnings.append(f"{path.rsplit('/', 1)[-1]}: not readable as JSON; the file is left out")
             continue
-        parts.append(documents.eav_pivot_scan(body, "value", "api"))
-        parts.append(documents.ntsb_json(body, "value", "api"))
+        parts.append((F.lit(f"json {path} 1"), documents.eav_pivot_scan(body, "value", "api")))
+        parts.append((F.lit(f"json {path} 2"), documents.ntsb_json(body, "value", "api")))
     if not parts:
         raise FeedProblem("ZERO_ROWS", " | ".join(["no events", *warnings]))
-    rows = None
-    for i, p in enumerate(parts):  # later files win over earlier ones
-        p = tables.with_columns(p, feeds.NTSB).withColumn("_file", F.lit(i))
-        rows = p if rows is None else rows.unionByName(p)
+    # Later files win over earlier ones, JSON over CSV.
+    rows = tables.union_all([p.withColumn("_file", file).select(
+        *tables.columns_as_text(p, feeds.NTSB), "_file") for file, p in parts])
     key = F.when(F.col("EVENT_ID") != "", F.col("EVENT_ID")).otherwise(
         F.concat_ws("|", "DATE", "N_NUMBER"))
     events = aggregates.dedupe_last_wins(rows, key, ["_file", *feeds.NTSB]).drop("_file")
@@ -145,12 +120,10 @@ def load_ntsb(spark, folder, store, as_of):
 
 
 def load_ads(spark, folder, store, as_of):
-    files = _csv_files(spark, folder)
-    if files:
-        rows = None
-        for path in files:
-            part = tables.with_columns(tables.csv_scan(spark, path), feeds.ADS)
-            rows = part if rows is None else rows.unionByName(part)
+    layouts = tables.csv_layouts(spark, landed_files(spark, folder))
+    if layouts:
+        rows = tables.union_all([tables.with_columns(
+            tables.csv_scan(spark, paths), feeds.ADS) for paths in layouts.values()])
         blank = F.lit("")
         directives = rows.select(
             "AD_NUMBER", blank.alias("FR_DOCUMENT_NUMBER"), F.col("SUBJECT").alias("TITLE"),
@@ -162,7 +135,7 @@ def load_ads(spark, folder, store, as_of):
         ads, confidence, warnings = rows, "high", []
         directives = aggregates.dedupe_last_wins(directives, F.col("AD_NUMBER"), feeds.DIRECTIVES)
     else:
-        bodies = _csv_files(spark, folder, "*.[jJ][sS][oO][nN]")
+        bodies = landed_files(spark, folder, "*.[jJ][sS][oO][nN]")
         if not bodies:
             raise FeedProblem("ZERO_ROWS", "no directives")
         body = spark.read.option("wholetext", True).text(bodies)

@@ -292,13 +292,16 @@ def stream_ingest(spark: SparkSession, directory: str, candidates: dict[str, lis
         listed = sorted((r["path"], r["sha256"]) for r in new.collect())
         out = tables.empty_table(session, [*candidates, "SOURCE_FILE"])
         taken, refused = [], []
-        for path, digest in listed:
-            mapped, missing = tables.reconcile_columns(tables.csv_scan(session, path), candidates, essential)
+        digests = dict(listed)
+        for paths in tables.csv_layouts(session, list(digests)).values():  # one scan each
+            mapped, missing = tables.reconcile_columns(
+                tables.csv_scan(session, paths, with_path=True), candidates, essential, [tables.SOURCE_PATH])
             if mapped is None:
-                refused.append((path, digest, f"no column for {', '.join(missing)}"))
+                refused += [(path, digests[path], f"no column for {', '.join(missing)}") for path in paths]
             else:
-                taken.append((digest, path))
-                out = out.unionByName(mapped.withColumn("SOURCE_FILE", F.lit(path.rsplit("/", 1)[-1])))
+                taken += [(digests[path], path) for path in paths]
+                out = out.unionByName(mapped.withColumnRenamed(tables.SOURCE_PATH, "SOURCE_FILE").withColumn(
+                    "SOURCE_FILE", tables.file_name(F.col("SOURCE_FILE"))))
         for name, frame in (
                 ("out", out), ("known", session.createDataFrame(taken, "sha256 string, path string")),
                 ("quarantine", session.createDataFrame(refused, "path string, sha256 string, reason string"))):

@@ -389,3 +389,28 @@ def test_part_files_of_a_csv_folder_are_one_source(spark, tmp_path):
     health = store.read_health(spark, f"{base}/db").first()
     assert (health["status"], health["records_loaded"]) == ("OK_WITH_WARNINGS", "82")  # 40 reports twice, two files
     assert health["error_message"].startswith("sdr_2020.csv: no column for DATE, MFR, MODEL")
+
+
+def test_files_of_one_layout_are_one_scan(spark, tmp_path):
+    heads = ["DATE,MFR,MODEL", '"Difficulty Date", ACFT MAKE ,Model,SDR No', "Report Date,Make,Model\n", "A,B"]
+    for i in range(40):
+        head = heads[i % 4]
+        body = "" if i == 37 else f"\n{head}\n2020-01-01,m{i},x,r{i}\n" if "No" in head else f"{head}\n2020-01-01,m{i},x\n"
+        write(tmp_path / f"sdr {1990 + i}%.csv", body)
+    write(tmp_path / "none_2050.csv", "")
+    write(tmp_path / "sdr_2060.csv" / "part-0.csv", "DATE,MFR,MODEL\n2020-01-01,last,x\n")
+    write(tmp_path / "sdr_2060.csv" / "part-1.csv", "")
+    files = ingest.landed_files(spark, str(tmp_path))
+    got, lineage, skipped = tables.yearly_files(spark, files, feeds.SDR_HEADERS, feeds.SDR_ESSENTIAL)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("] csv") <= 2 * 3, plan  # rows with and without an id of each layout
+    have = {(r.SOURCE_YEAR, r.MFR) for r in got.collect()}
+    assert have == {(str(1990 + i), f"m{i}") for i in range(40) if i % 4 != 3 and i != 37} | {("2060", "last")}
+    assert {r.REPORT_ID for r in got.collect() if r.MFR.startswith("m") and int(r.MFR[1:]) % 4 == 1} == {
+        f"r{i}" for i in range(1, 40, 4) if i != 37}
+    ids = [r.REPORT_ID for r in got.collect()]
+    assert len(set(ids)) == len(ids)
+    counted = {r.FILE: r.ROWS for r in lineage.collect()}
+    assert len(counted) == 42 and sum(counted.values()) == len(ids) + 10  # ten files of A,B
+    assert sorted(f for f, _ in skipped) == sorted(
+        [f"sdr {1990 + i}%.csv" for i in range(40) if i % 4 == 3 or i == 37] + ["none_2050.csv"])
