@@ -52,7 +52,9 @@ def csv_scan(spark: SparkSession, path: str | list[str], *, encoding: str = "UTF
     if not with_path:
         return drop_blank_rows(raw.select(*cells))
     filled = F.concat_ws("", *[text.strip(F.col(f"`{c}`")) for c in raw.columns]) != ""
-    return raw.filter(filled).select(*cells, F.col("_metadata.file_path").alias(SOURCE_PATH))
+    # Spark gives the path as in a URL, but for its plus signs.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return raw.filter(filled).select(*cells, path.alias(SOURCE_PATH))
 
 
 def _header_line(spark: SparkSession, path: str, encoding: str) -> str:
