@@ -9,6 +9,7 @@ from recordlens.bindings.expressions import sql_case, sql_chapter
 from recordlens.functions import fixed, text
 from recordlens.operators import aggregates, matching, sequences
 from recordlens.plans import activity, quality
+from recordlens.session import scratch_path
 from recordlens.views import EVENTS_AS_OF, LINEITEM_AS_OF, ORDERS_AS_OF
 
 c = F.col
@@ -286,6 +287,32 @@ def history_stats(t: Tables):
     return aggregates.history_stats(t.v_history, as_of=EVENTS_AS_OF)
 
 
+@query("""
+WITH a AS (SELECT unnest([DATE '2024-01-15', DATE '2024-01-29', DATE '2024-01-31']) AS as_of),
+h AS (SELECT as_of, v_history.* FROM v_history, a WHERE ts >= as_of - INTERVAL 30 DAY),
+c AS (SELECT as_of, source, schema_hash, lag(schema_hash) OVER (PARTITION BY as_of, source ORDER BY ts, event_id) AS p
+      FROM h WHERE schema_hash IS NOT NULL),
+k AS (SELECT as_of, source, count(*) FILTER (p <> schema_hash) AS n FROM c GROUP BY ALL),
+g AS (SELECT as_of, source, count(*) AS p30, count(*) FILTER (task_success) AS k30,
+  count(*) FILTER (ts >= as_of - INTERVAL 7 DAY) AS p7, count(*) FILTER (ts >= as_of - INTERVAL 7 DAY AND task_success) AS k7
+  FROM h GROUP BY ALL)
+SELECT CAST(as_of AS VARCHAR) AS as_of, source, CASE WHEN p7 > 0 THEN floor(k7 / p7 * 1000 + 0.5) / 1000 END AS success_rate_7d,
+  floor(k30 / p30 * 1000 + 0.5) / 1000 AS success_rate_30d, p7 AS probes_7d, p30 AS probes_30d,
+  coalesce(n, 0) AS schema_changes_30d FROM g LEFT JOIN k USING (as_of, source)
+""", views=("v_history",))
+def history_stats_daily(t: Tables):
+    """Days are stored as they come, the last ones again on their own; three dates are read from the same store."""
+    path = scratch_path(t.spark, "days")
+    day = c("ts").cast("timestamp").cast("date")
+    late = day >= F.lit("2024-01-20").cast("date")
+    aggregates.store_days(aggregates.daily_history(t.v_history, ORDER), path)
+    aggregates.store_days(aggregates.daily_history(t.v_history.filter(late), ORDER), path)
+    daily = t.spark.read.schema(aggregates.DAY_SCHEMA).parquet(path)
+    out = [aggregates.stats_of_days(daily, as_of=d).select(F.lit(d).alias("as_of"), "*")
+           for d in ("2024-01-15", "2024-01-29", "2024-01-31")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 STATE_SQL = STATS_SQL + """,
   lst AS (SELECT * FROM v_history QUALIFY row_number() OVER
           (PARTITION BY source ORDER BY ts DESC, event_id DESC) = 1),

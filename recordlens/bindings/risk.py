@@ -391,13 +391,20 @@ def report_findings(t: Tables):
         F.count("*").alias("n"), F.sum("EVIDENCE_COUNT").alias("evidence"))
 
 
-@query("SELECT '' AS entity, '' AS text WHERE false")
+@query("""
+SELECT 'N' || p_partkey AS entity, p_name || CASE p_size % 6 WHEN 0 THEN ', airworthy' ELSE ': UNSAFE.' END AS text
+FROM part WHERE p_size % 6 < 2
+""")
 def language_guard(t: Tables):
+    """Remarks, of which two in six pass a judgement, among all findings and verdicts, of which none does."""
     run = _run(t)
+    remark = F.when(c("p_size") % 6 == 0, ", airworthy").when(c("p_size") % 6 == 1, ": UNSAFE.").when(
+        c("p_size") % 6 == 2, " of safety wire").otherwise("")
+    remarks = t.part.select(F.concat(F.lit("N"), c("p_partkey")).alias("entity"), F.concat("p_name", remark).alias("text"))
     f = run.findings().select(c("ENTITY").alias("entity"), c("TEXT").alias("text"))
     v = assessment.plain_verdict(run.wide()).select(
         c("N_NUMBER").alias("entity"), c("VERDICT").alias("text"))
-    return assessment.language_guard(f.unionByName(v), "text")
+    return assessment.language_guard(f.unionByName(v).unionByName(remarks), "text")
 
 
 @query("""

@@ -243,6 +243,54 @@ def history_stats(history: DataFrame, *, as_of: str) -> DataFrame:
                     "probes_7d", "probes_30d")
 
 
+DAY_SCHEMA = "source long, probes long, passed long, changes long, first_hash string, last_hash string, day date"
+
+
+def daily_history(history: DataFrame, order: list[str]) -> DataFrame:
+    """One mergeable row per source and day: probes, passes, schema changes, first and last schema hash."""
+    day = F.to_date(F.col("ts").cast("timestamp"))
+    place = F.struct(*order)
+    hashed = F.col("schema_hash").isNotNull()
+    before = F.lag("schema_hash").over(Window.partitionBy("source", "day", hashed).orderBy(*order))
+    rows = history.withColumn("day", day).withColumn("_changed", hashed & (before != F.col("schema_hash")))
+    return rows.groupBy("source", "day").agg(
+        F.count("*").alias("probes"), F.count_if("task_success").alias("passed"),
+        F.count_if("_changed").alias("changes"),
+        F.min_by("schema_hash", F.when(hashed, place)).alias("first_hash"),
+        F.max_by("schema_hash", F.when(hashed, place)).alias("last_hash"),
+    ).select("source", "probes", "passed", "changes", "first_hash", "last_hash", "day")
+
+
+def store_days(daily: DataFrame, path: str) -> None:
+    """Replaces the stored days that are in the frame and leaves the others."""
+    daily.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def stats_of_days(daily: DataFrame, *, as_of: str) -> DataFrame:
+    """history_stats and the schema changes of 30 days for a date, from the daily rows of those days alone.
+
+    A source without probes in them has no row.
+    """
+    now, day = F.lit(as_of).cast("date"), F.col("day")
+    in7 = day >= F.date_sub(now, 7)
+    days = daily.filter(day >= F.date_sub(now, 30))
+    # A month has at most one row per day and source, so a source's rows make a small window.
+    last = F.last("last_hash", ignorenulls=True).over(
+        Window.partitionBy("source").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+    days = days.withColumn("_between", F.coalesce((last != F.col("first_hash")).cast("int"), F.lit(0)))
+    g = days.groupBy("source").agg(
+        F.coalesce(F.sum(F.when(in7, F.col("probes"))), F.lit(0)).alias("probes_7d"), F.sum("probes").alias("probes_30d"),
+        F.coalesce(F.sum(F.when(in7, F.col("passed"))), F.lit(0)).alias("_ok7"), F.sum("passed").alias("_ok30"),
+        F.sum(F.col("changes") + F.col("_between")).alias("schema_changes_30d"))
+
+    def rate(ok: str, n: str) -> Column:
+        return numbers.half_up_to(numbers.ratio(F.col(ok), F.col(n)), 3)
+
+    return g.select("source", rate("_ok7", "probes_7d").alias("success_rate_7d"),
+                    rate("_ok30", "probes_30d").alias("success_rate_30d"),
+                    "probes_7d", "probes_30d", "schema_changes_30d")
+
+
 def fleet_metrics(state: DataFrame) -> DataFrame:
     """One row over all sources: totals by status, latency order statistics, drift, categories.
 

@@ -6,8 +6,11 @@ The registry comes first, because later feeds match against it.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 
+from pyspark import InheritableThread
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -227,9 +230,48 @@ FEEDS = {
 }
 
 
+GRACE_SECONDS = 30  # how long a cancelled feed may take to notice
+
+
+def within(spark: SparkSession, seconds: float | None, work: Callable):
+    """The result of the work, whose Spark jobs are cancelled after so many seconds; None is no limit.
+
+    The work's jobs carry a tag of their own, so no other job is touched. Work that waits outside of Spark
+    is left behind after a grace period.
+    """
+    if seconds is None:
+        return work()
+    context, tag, got = spark.sparkContext, f"feed-{uuid.uuid4().hex}", {}
+
+    def run():
+        context.addJobTag(tag)
+        try:
+            got["result"] = work()
+        except BaseException as error:  # raised again by the caller's thread
+            got["error"] = error
+
+    thread = InheritableThread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if thread.is_alive():
+        for _ in range(2 * GRACE_SECONDS):  # a feed may just be between two jobs
+            context.cancelJobsWithTag(tag)
+            thread.join(0.5)
+            if not thread.is_alive():
+                break
+        raise FeedProblem("SOURCE_UNAVAILABLE", f"no result within {seconds:g} s; its jobs were cancelled")
+    if "error" in got:
+        raise got["error"]
+    return got["result"]
+
+
 def run_feed(spark: SparkSession, name: str, folder: str, base: str, *, as_of: str,
-             accept_schema_change: bool = False, feeds_by_name: dict | None = None) -> dict:
-    """One feed: load, stage, compare columns, promote. Always returns a health record."""
+             accept_schema_change: bool = False, feeds_by_name: dict | None = None,
+             seconds: float | None = None) -> dict:
+    """One feed: load, stage, compare columns, promote. Always returns a health record.
+
+    Loading and staging may take ``seconds``; what came too late is never promoted.
+    """
     started = datetime.now(timezone.utc).isoformat()
     store = TableStore(spark, base)
     done = lambda **f: health_record(
@@ -239,8 +281,11 @@ def run_feed(spark: SparkSession, name: str, folder: str, base: str, *, as_of: s
         return done(status="SOURCE_UNAVAILABLE", error_message=f"unknown source {name}",
                     confidence="none")
     try:
-        out, confidence, warnings = loader(spark, folder, store, as_of)
-        staged = [store.stage(name, t, df) for t, df in out.items()]
+        def load():
+            out, confidence, warnings = loader(spark, folder, store, as_of)
+            return [store.stage(name, t, df) for t, df in out.items()], confidence, warnings
+
+        staged, confidence, warnings = within(spark, seconds, load)
         changes = store.schema_changes(staged)
         if changes and not accept_schema_change:
             changed = ", ".join(c["table"] for c in changes)
@@ -257,11 +302,12 @@ def run_feed(spark: SparkSession, name: str, folder: str, base: str, *, as_of: s
 
 
 def run_ingest(spark: SparkSession, folders: dict[str, str], base: str, *, as_of: str,
-               accept_schema_change: bool = False, feeds_by_name: dict | None = None) -> list[dict]:
-    """Feeds in dependency order, each on its own; every run is logged."""
+               accept_schema_change: bool = False, feeds_by_name: dict | None = None,
+               seconds: float | None = None) -> list[dict]:
+    """Feeds in dependency order, each on its own and within its time; every run is logged."""
     order = list(feeds_by_name or FEEDS)
     names = sorted(folders, key=lambda n: order.index(n) if n in order else len(order))
     records = [run_feed(spark, n, folders[n], base, as_of=as_of, feeds_by_name=feeds_by_name,
-                        accept_schema_change=accept_schema_change) for n in names]
+                        accept_schema_change=accept_schema_change, seconds=seconds) for n in names]
     append_health(spark, base, records)
     return records

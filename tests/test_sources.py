@@ -416,3 +416,61 @@ def test_files_of_one_layout_are_one_scan(spark, tmp_path):
     assert len(counted) == 42 and sum(counted.values()) == len(ids) + 10  # ten files of A,B
     assert sorted(f for f, _ in skipped) == sorted(
         [f"sdr+ {1990 + i}%.csv" for i in range(40) if i % 4 == 3 or i == 37] + ["none_2050.csv"])
+
+
+def test_a_hanging_feed_is_cancelled_alone(spark, tmp_path):
+    import threading
+    import time
+
+    def hanging(spark, folder, store, as_of):
+        return {"slow": spark.range(0, 10**15, 1, 4).selectExpr(
+            "count_if(sha2(cast(id as string), 256) > 'a') AS n")}, "high", []
+
+    def quick(spark, folder, store, as_of):
+        return {"quick": spark.range(5)}, "high", []
+
+    def broken(spark, folder, store, as_of):
+        raise ingest.FeedProblem("ZERO_ROWS", "nothing")
+
+    other = []
+    beside = threading.Thread(target=lambda: other.append(spark.range(100).filter("id % 2 = 0").count()))
+    began = time.monotonic()
+    beside.start()
+    records = ingest.run_ingest(spark, {"hanging": "", "quick": "", "broken": ""}, str(tmp_path / "db"), as_of=AS_OF,
+                                feeds_by_name={"hanging": hanging, "broken": broken, "quick": quick}, seconds=8)
+    beside.join()
+    assert time.monotonic() - began < 60 and other == [50]
+    assert [(r["source_name"], r["status"]) for r in records] == [
+        ("hanging", "SOURCE_UNAVAILABLE"), ("broken", "ZERO_ROWS"), ("quick", "OK")]
+    assert "within 8 s" in records[0]["error_message"]
+    found = store.TableStore(spark, str(tmp_path / "db"))
+    assert found.production("slow") is None and found.production("quick").count() == 5
+
+
+def test_days_are_replaced_and_read_alone(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from recordlens.operators import aggregates
+
+    def probes(first, days):
+        return spark.range(first, first + days * 12).select(
+            (F.col("id") % 3).alias("source"), F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 2 * id)").alias("ts"),
+            F.col("id").alias("event_id"), (F.col("id") % 5 > 0).alias("task_success"),
+            F.when(F.col("id") % 4 > 0, F.concat(F.lit("h"), F.floor(F.col("id") / 50))).alias("schema_hash"))
+
+    path = str(tmp_path / "days")
+    store_days = lambda rows: aggregates.store_days(aggregates.daily_history(rows, ["ts", "event_id"]), path)
+    files = lambda: {p.parent.name: p.name for p in (tmp_path / "days").glob("day=*/*.parquet")}
+    store_days(probes(0, 60))
+    before = files()
+    store_days(probes(60 * 12, 1))  # a new day
+    store_days(probes(59 * 12, 1))  # a day again
+    after = files()
+    assert {d for d in after if after[d] != before.get(d)} == {"day=2024-02-29", "day=2024-03-01"} and len(after) == 61
+    daily = spark.read.schema(aggregates.DAY_SCHEMA).parquet(path)
+    for as_of in ("2024-01-20", "2024-02-25", "2024-03-02"):
+        got = aggregates.stats_of_days(daily, as_of=as_of)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(day" in plan
+        want = aggregates.history_stats(probes(0, 61), as_of=as_of)
+        assert rows(got.drop("schema_changes_30d"), *want.columns) == rows(want)
