@@ -101,6 +101,20 @@ def test_random_keys_are_found_without_long_words(spark):
     assert not secret_battery.find_secrets(frame(spark, words, "doc_id long, text string")).first().spans
 
 
+def test_null_sample_does_not_switch_with_the_size(spark):
+    """Each candidate brings its own null tokens, whether there are few ordinary long words in the table or many."""
+    plain = "The quick brown fox jumps over the lazy dog, and nobody saw where it went."
+    key = "Zk3v9QpLw81xTnB6yHs0RdJm47cUaEfG"
+    long_words = " ".join(["thequickbrownfoxjumps", "nobodysawwhereitwent"] * 600)
+    few, many = f"{plain} {key}", f"{plain} {key} {long_words}"
+    for text in (few, many):
+        *_, drawn = secret_battery.scan(text)
+        assert len(drawn) == secret_battery.DRAWS and {int(d) // secret_battery.STEPS for d in drawn} == {secret_battery.band_of(len(key))}
+    for rows in ([(0, few)], [(0, many)], [(0, few), (1, many)]):
+        found = secret_battery.find_secrets(frame(spark, rows, "doc_id long, text string")).collect()
+        assert all([dict(rows)[r.doc_id][s.start:s.end] for s in r.spans] == [key] for r in found)
+
+
 def test_battery_tells_random_from_words():
     rng = np.random.default_rng(8)
     symbols = list(secret_battery.ALPHABETS[4][1])
