@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -114,6 +115,7 @@ def stream_edit_rate(events: DataFrame, base: str, *, watermark: str = "10 minut
 
 
 # ------------------------------------------------------------------ edits just before each edit
+EMIT_ROWS = 50_000
 RECENT_EDITS = "filePath string, timestamp timestamp, event_id long, edits long, thrashing boolean"
 
 
@@ -134,47 +136,70 @@ def with_span(events: DataFrame, window_s: int, span_s: int) -> DataFrame:
         "filePath", "event_id", "timestamp", "at", "s.span", "s.own")
 
 
+HELD_EDITS = pa.schema([("filePath", pa.string()), ("at", pa.int64()), ("event_id", pa.int64()), ("own", pa.bool_())])
+
+
+def packed_edits(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, HELD_EDITS) as out:
+        out.write_table(pa.Table.from_pandas(rows[HELD_EDITS.names], HELD_EDITS, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def edits_before(path: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """For each edit the number of edits of its path in the ``window`` up to it, itself included."""
+    times, rank = np.unique(at, return_inverse=True)
+    first = path * (len(times) + 1)
+    place = np.sort(first + rank)
+    since = first + np.searchsorted(times, at - window, side="right")
+    return np.searchsorted(place, first + rank, side="right") - np.searchsorted(place, since, side="left")
+
+
 class RecentEdits(StatefulProcessor):
-    """Rows of one path and span wait in list state; a timer at the span's end counts and emits them."""
+    """Rows of many paths and one span wait in list state, packed by batch; a timer at the span's end counts and emits them."""
 
     def __init__(self, window_s: int, span_s: int, edits: int):
         self.window, self.span_s, self.edits = window_s * 1_000_000, span_s, edits
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "at long, event_id long, own boolean")
+        self.rows = handle.getListState("rows", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        fresh = False
-        for batch in rows:
-            batch = batch[["at", "event_id", "own"]]
-            fresh = fresh or not self.rows.exists()
-            self.rows.appendList([(int(a), None if e != e else int(e), bool(o)) for a, e, o in batch.itertuples(index=False)])
-        if fresh:
+        if not self.rows.exists():
             # The last millisecond of the span: later rows of it would be behind the watermark.
             self.handle.registerTimer((int(key[1]) + 1) * self.span_s * 1000 - 1)
+        for batch in rows:
+            self.rows.appendList([(packed_edits(batch),)])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        held = pd.DataFrame(list(self.rows.get()), columns=["at", "event_id", "own"]).sort_values("at", kind="stable")
+        held = pa.concat_tables([pa.ipc.open_stream(bytes(r[0])).read_all() for r in self.rows.get()])
         self.rows.clear()
-        at = held["at"].to_numpy(np.int64)
-        count = np.searchsorted(at, at, side="right") - np.searchsorted(at, at - self.window, side="right")
-        out = pd.DataFrame({
-            "filePath": [key[0]] * len(at), "timestamp": pd.to_datetime(at, unit="us"),
-            "event_id": held["event_id"].astype("Int64").array, "edits": count, "thrashing": count >= self.edits})
-        yield out[held["own"].to_numpy(bool)]
+        at, own = held["at"].to_numpy(), held["own"].to_numpy()
+        path = held["filePath"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64)
+        count = edits_before(path, at, self.window)[own]
+        kept = held.filter(held["own"])
+        for start in range(0, len(count), EMIT_ROWS):
+            part, n = kept.slice(start, EMIT_ROWS), count[start:start + EMIT_ROWS]
+            yield pd.DataFrame({
+                "filePath": part["filePath"].to_pandas(), "timestamp": pd.to_datetime(part["at"].to_numpy(), unit="us"),
+                "event_id": part["event_id"].to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get),
+                "edits": n, "thrashing": n >= self.edits})
 
 
 def stream_recent_edits(events: DataFrame, base: str, *, watermark: str = "10 minutes", window_s: int = 60,
-                        span_s: int = 600, edits: int = 3) -> StreamingQuery:
+                        span_s: int = 600, edits: int = 3, buckets: int = 64) -> StreamingQuery:
     """For each edit the number of edits of its path in the ``window_s`` seconds up to it, and the thrashing flag.
 
     Edits that arrive out of order within the watermark count at their own time. A span's edits are emitted when
-    the watermark has passed its end, and its state goes. Needs the RocksDB state store (``session.stream_session``).
+    the watermark has passed its end, and its state goes. Paths share state by hash in ``buckets``, so that quiet
+    paths cost no call each; a task holds one bucket's edits of one span, and busier streams take more buckets,
+    which a stream keeps for life. Needs the RocksDB state store (``session.stream_session``).
     """
     rows = with_span(events, window_s, span_s).withWatermark("timestamp", watermark)
-    counted = rows.groupBy("filePath", "span").transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64("filePath"), F.lit(buckets))
+    counted = rows.withColumn("bucket", bucket).groupBy("bucket", "span").transformWithStateInPandas(
         RecentEdits(window_s, span_s, edits), RECENT_EDITS, "Append", "eventTime")
     return (
         counted.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")

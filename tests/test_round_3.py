@@ -1,6 +1,9 @@
-"""Work that must not be done row by row."""
+"""Work that must not be done row by row: names of reports, state of quiet paths."""
+
+import numpy as np
 
 from recordlens.bindings import registered
+from recordlens.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
 
@@ -8,3 +11,32 @@ SF = "/root/testdata/sf0.001"
 def test_reports_are_read_once_for_their_tiers(spark):
     plan = registered()[0]["match_tiers"](spark, SF)._jdf.queryExecution().toString()
     assert "lineitem" not in plan and "tiers-" in plan
+
+
+def test_quiet_paths_share_state(spark, tmp_path, monkeypatch):
+    import datetime
+
+    from recordlens.session import stream_session
+
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start + datetime.timedelta(seconds=i % 7), "change", f"p{i % 300}" if i % 300 else None) for i in range(900)]
+    schema = "event_id long, timestamp timestamp, eventType string, filePath string"
+    base = str(tmp_path / "out")
+    for part in (rows[:500], rows[500:], [(None, start + datetime.timedelta(hours=2), "change", "z")]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = stream_session(spark).readStream.schema(schema).parquet(str(tmp_path / "in"))
+        query = jobs.stream_recent_edits(stream, base, buckets=4)
+        query.awaitTermination()
+        state = query.lastProgress.stateOperators[0]
+        assert sum(p.stateOperators[0].numRowsUpdated for p in query.recentProgress) <= 100, state
+    got = {r.event_id: r.edits for r in spark.read.parquet(f"{base}/out").collect()}
+    at = {i: (p, t) for i, t, _, p in rows}
+    want = {i: sum(q == p and u <= t for q, u in at.values()) for i, (p, t) in at.items()}
+    assert got == want
+
+
+def test_edits_before_equal_brute_force():
+    rng = np.random.default_rng(0)
+    path, at = rng.integers(-1, 4, 300), rng.integers(0, 50, 300)
+    want = [int(((path == p) & (at > t - 7) & (at <= t)).sum()) for p, t in zip(path, at)]
+    assert jobs.edits_before(path, at, 7).tolist() == want
