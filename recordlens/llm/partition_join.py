@@ -12,9 +12,10 @@ Two classes link when 100 * intersection >= ``percent`` * union.
 3. Keys held by few classes give pairs directly. A popular key (more than ``POPULAR`` classes: copies,
    templates, empty segments) is passed over by sets with few of them, which loses nothing by point 2. Sets
    with many are near copies of each other or hold the same passages: first all are compared with the key's hub.
-   Where the sets that hang together by popular keys then still form several groups, blocks of ``BLOCK_SETS`` are
-   compared, by tallies first (point 4); sets that may link across groups are then counted against each other
-   shingle by shingle; a block pair gives one link per set at most, never its pairs.
+   Linked sets that share no other key share more popular ones than may be passed over, so each set keeps its
+   rarest ones but for that number. Where the sets of such a key then still form several groups, blocks of
+   ``BLOCK_SETS`` are compared, by tallies first (point 4); sets that may link across groups are then counted against
+   each other shingle by shingle; a block pair gives one link per set at most, never its pairs.
 4. Each class has a tally: its shingles counted in ``TALLY`` buckets by hash. Two sets differ in at least as many
    shingles as their tallies do, so pairs whose tallies differ by more than the threshold allows are left out
    before any set is fetched; that loses no link.
@@ -37,7 +38,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordlens.llm.components import components, local_components
@@ -51,7 +52,9 @@ SPARE = 0.2
 RUN_KEYS = 1_500_000
 PART_BYTES = 12 << 20
 CHANCE_WEIGHT = 50.0
-BLOCK_SETS = 256
+BLOCK_SETS = 1024
+PART_SETS = 20_000
+PAIRS_A_SET = 32
 SHINGLES_AT_ONCE = 4096
 TALLY = 128
 
@@ -334,13 +337,13 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def popular_members(found: DataFrame, percent: int) -> DataFrame:
-    """key, a of the sets that have more popular keys in a family than they may pass over."""
+    """key, a of the sets that have more popular keys in a family than they may pass over (``skip``), and their number."""
     spark = found.sparkSession
     bands = F.col("key").bitwiseAND(255)
     members = found.where("kind = 1").select("key", "a", bands.alias("band")).distinct()
     skips = spark.createDataFrame([(b, family(b, percent).skip) for b in range(len(band_starts(percent)) - 2)],
                                   "band long, skip long")
-    many = members.groupBy("a", "band").count().join(skips, "band").where("count > skip").select("a", "band")
+    many = members.groupBy("a", "band").agg(F.count("*").alias("many")).join(skips, "band").where("many > skip")
     return members.join(many, ["a", "band"])
 
 
@@ -363,9 +366,12 @@ def near_sets(documents: DataFrame, key: str = "doc_id", text: str = "text", siz
     pairs = cut(possible(found.where("kind = 0").select("a", "b").unionByName(to_hub), classes, percent), "pairs")
     ends = pairs.select(F.col("a").alias("print")).unionByName(pairs.select(F.col("b").alias("print")))
     links = cut(linked(pairs, cut(class_sets(source, classes, ends, key, text, size), "class-sets"), percent), "set-links")
-    open_blocks = cut(blocks_between_groups(to_hub, links, classes, percent), "open-blocks")
-    open_sets = class_sets(source, classes, open_blocks.select(F.col("a").alias("print")), key, text, size)
-    links = links.unionByName(links_in_blocks(open_blocks, open_sets, percent))
+    still = cut(open_between_groups(members, links, classes, percent), "open")
+    few, many = still.where("b IS NOT NULL").select("a", "b").distinct(), still.where("b IS NULL")
+    many = many.join(unlike(many, "key", "first", "second"), ["key", "first", "second"])
+    open_ends = many.select(F.col("a").alias("print")).unionByName(few.select(F.explode(F.array("a", "b")).alias("print")))
+    open_sets = cut(class_sets(source, classes, open_ends, key, text, size), "open-sets")
+    links = links.unionByName(linked(few, open_sets, percent)).unionByName(links_in_blocks(many, open_sets, percent))
     by_id = classes.select("print", "id")
     named = (
         links.join(by_id.toDF("a", "id_a"), "a").join(by_id.toDF("b", "id_b"), "b").select("id_a", "id_b")
@@ -405,39 +411,71 @@ def common_counts(members: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def blocks_between_groups(to_hub: DataFrame, links: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """cluster, band, first, second, a, group: sets with many popular keys that may link across the groups that the
-    links so far leave, in the block pairs where their tallies allow it."""
-    clusters = components(to_hub, "a", "b").select(F.col("id").alias("a"), F.col("component_id").alias("cluster"))
+def unlike(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of the ``keys`` that hold the same sets ``a``, two or more, the first; told by number and two sums."""
+    a, mixed = F.col("a").cast("decimal(38,0)"), F.xxhash64("a").cast("decimal(38,0)")
+    alike = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(a).alias("one"), F.sum(mixed).alias("two"))
+    return alike.where("n > 1").groupBy("n", "one", "two").agg(F.min(F.struct(*keys)).alias("k")).select("k.*")
+
+
+def rare_popular_keys(members: DataFrame) -> DataFrame:
+    """key, a: popular keys by which sets that share more than ``skip`` of a family's still meet.
+
+    Of its keys each set leaves out the ``skip`` that most sets hold, in one order for all; two sets that share more
+    keep a common one. Of several keys held by the same sets one is enough.
+    """
+    holders = members.groupBy("key").agg(F.count("*").alias("holders"))
+    order = Window.partitionBy("a", "band").orderBy("holders", "key")
+    kept = members.join(holders, "key").withColumn("place", F.row_number().over(order)).where("place <= many - skip")
+    kept = cut(kept.select("key", "a"), "rare-keys")
+    chosen = unlike(kept, "key")
+    return kept.join(chosen, "key").select("key", "a")
+
+
+def open_between_groups(members: DataFrame, links: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """key, first, second, a, group, b: sets with many popular keys that may link across the groups that the links so far
+    leave, by their tallies. Where they are few these are pairs a < b, else (b null) the sets of a key's block pair."""
     groups = components(links, "a", "b").select(F.col("id").alias("a"), F.col("component_id").alias("group"))
-    # Only sets of one size band or of neighbours can link: each goes to its own band and the next.
-    starts = F.array(*[F.lit(int(x)) for x in band_starts(percent)])
-    band = F.size(F.filter(starts, lambda x: x <= F.col("n")))
     sized = classes.select(F.col("print").alias("a"), "n", "tally")
-    known = cut(clusters.join(groups, "a", "left").join(sized, "a").select(
-        "a", "cluster", F.coalesce("group", "a").alias("group"), "n", "tally",
-        F.explode(F.array(band, band + 1)).alias("band")), "groups")
-    mixed = known.groupBy("cluster", "band").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("held"))
-    mixed = mixed.where("low <> high").select("cluster", "band", F.ceil(F.col("held") / BLOCK_SETS).cast("int").alias("blocks"))
-    dealt = known.join(mixed, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    met = rare_popular_keys(members).join(groups, "a", "left").withColumn("group", F.coalesce("group", "a"))
+    known = cut(met, "groups")
+    mixed = known.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("held"))
+    mixed = mixed.where("low <> high").select("key", F.ceil(F.col("held") / BLOCK_SETS).cast("int").alias("blocks"))
+    dealt = known.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cluster", "band", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"),
-        "a", "group", "n", "tally")
-
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        group, n = block["group"].to_numpy(), block["n"].to_numpy(np.int64)
-        if (group != group[0]).any():
-            apart = np.zeros((len(n), len(n)), np.int32)
-            for column in tallies(block["tally"]).T:
-                apart += np.abs(column[:, None] - column[None, :])
-            may = apart <= room(n[:, None] + n[None, :], percent)
-            wanted = (may & (group[:, None] != group[None, :])).any(1)
-        else:
-            wanted = np.zeros(len(n), bool)
-        return block.loc[wanted, ["cluster", "band", "first", "second", "a", "group"]]
-
-    return sent.groupBy("cluster", "band", "first", "second").applyInPandas(
-        compare, "cluster long, band int, first int, second int, a long, group long")
+        "key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "a", "group")
+    sent = sent.join(sized, "a")
+
+    parts = max(1, math.ceil(known.count() / PART_SETS))
+    sent = sent.withColumn("part", F.pmod(F.xxhash64("key", "first", "second"), F.lit(parts)))
+
+    def may_link(group: np.ndarray, n: np.ndarray, tally: np.ndarray) -> np.ndarray:
+        apart = np.zeros((len(n), len(n)), np.int32)
+        for column in tally.T:
+            apart += np.abs(column[:, None] - column[None, :])
+        return (apart <= room(n[:, None] + n[None, :], percent)) & (group[:, None] != group[None, :])
+
+    def compare(held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values(["key", "first", "second", "a"], ignore_index=True)
+        at, prints = held[["key", "first", "second"]].to_numpy(np.int64), held["a"].to_numpy()
+        group, n, tally = held["group"].to_numpy(), held["n"].to_numpy(np.int64), tallies(held["tally"])
+        begins = np.flatnonzero(np.append(True, (at[1:] != at[:-1]).any(1)))
+        pairs, blocks = [np.zeros((0, 2), np.int64)], np.zeros(len(held), bool)
+        for x, y in zip(begins, np.append(begins[1:], len(held))):
+            if (group[x:y] != group[x]).any():
+                may = may_link(group[x:y], n[x:y], tally[x:y])
+                found = may.any(1)
+                if may.sum() > 2 * PAIRS_A_SET * found.sum():
+                    blocks[x:y] = found
+                elif found.any():
+                    pairs.append(prints[x:y][np.argwhere(np.triu(may))])
+        ends = pd.DataFrame(np.unique(np.concatenate(pairs), axis=0), columns=["a", "b"])
+        ends = ends.assign(key=None, first=None, second=None, group=None)
+        rows = held.loc[blocks, ["key", "first", "second", "a", "group"]].assign(b=None)
+        return pd.concat([f.astype("Int64") for f in (ends, rows[ends.columns])])[["key", "first", "second", "a", "group", "b"]]
+
+    return sent.groupBy("part").applyInPandas(
+        compare, "key long, first int, second int, a long, group long, b long")
 
 
 def links_in_blocks(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -454,4 +492,4 @@ def links_in_blocks(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFra
         moved = np.flatnonzero(label != np.arange(len(held)))
         return pd.DataFrame({"a": prints[moved], "b": prints[label[moved]]})
 
-    return rows.groupBy("cluster", "band", "first", "second").applyInPandas(compare, "a long, b long")
+    return rows.groupBy("key", "first", "second").applyInPandas(compare, "a long, b long")

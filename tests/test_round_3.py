@@ -1,4 +1,4 @@
-"""Work that must not be done row by row: names of reports, state of quiet paths."""
+"""Work that must not be done row by row or pair by pair: names of reports, state of quiet paths, sets of a cluster."""
 
 import numpy as np
 
@@ -40,3 +40,47 @@ def test_edits_before_equal_brute_force():
     path, at = rng.integers(-1, 4, 300), rng.integers(0, 50, 300)
     want = [int(((path == p) & (at > t - 7) & (at <= t)).sum()) for p, t in zip(path, at)]
     assert jobs.edits_before(path, at, 7).tolist() == want
+
+
+def test_sets_that_share_popular_keys_meet_at_rare_ones(spark):
+    from recordlens.llm import partition_join
+
+    rng, skip, rows = np.random.default_rng(1), 3, []
+    held = {a: set(rng.choice(40, 12, replace=False).tolist()) | {100, 101} for a in range(60)}
+    for a, keys in held.items():
+        rows += [(a, 20, key, len(keys), skip) for key in keys]
+    members = spark.createDataFrame(rows, "a long, band long, key long, many long, skip long")
+    kept = {}
+    for r in partition_join.rare_popular_keys(members).collect():
+        kept.setdefault(r.key, set()).add(r.a)
+    assert not {100, 101} & kept.keys() and sum(map(len, kept.values())) <= sum(len(k) - skip for k in held.values())
+    met = {(a, b) for sets in kept.values() for a in sets for b in sets if a < b}
+    assert met >= {(a, b) for a in held for b in held if a < b and len(held[a] & held[b]) > skip}
+
+
+def test_near_sets_of_shared_passages(spark, monkeypatch):
+    from recordlens.llm import partition_join
+
+    rng = np.random.default_rng(2)
+    word = [f"w{i}" for i in range(5000)]
+    shared = list(rng.choice(word, 220))
+    texts = []
+    for k in range(40):  # families of a passage in common and an own end, each with three near copies
+        own = list(rng.choice(word, 60))
+        for _ in range(3):
+            copy = shared + own
+            copy[int(rng.integers(len(copy)))] = "x"
+            texts.append(" ".join(copy))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(t.split()[i:i + 4]) for i in range(len(t.split()) - 3)} for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    assert 1 < len(set(label))
+    for pairs in (32, 0):
+        monkeypatch.setattr(partition_join, "PAIRS_A_SET", pairs)
+        got = {r.doc_id: r.component_id for r in partition_join.near_sets(frame).collect()}
+        assert got == dict(enumerate(label))
