@@ -84,3 +84,29 @@ def test_near_sets_of_shared_passages(spark, monkeypatch):
         monkeypatch.setattr(partition_join, "PAIRS_A_SET", pairs)
         got = {r.doc_id: r.component_id for r in partition_join.near_sets(frame).collect()}
         assert got == dict(enumerate(label))
+
+
+def test_closed_and_lowered_chunks_keep_their_ids():
+    import random
+    import string
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from recordlens.llm import differencing_pack
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    chunked, own = differencing_pack.ChunkTokenizer(path), Tokenizer.from_file(path)
+    rnd = random.Random(5)
+    letters = "abcStE\u00c9\u00e9\u00df\u00ff\u00d7\u00f7\u00b5\u00aa\u0130\u03a3\u030109   \n\u3000\x85\x1f" + string.punctuation * 2
+    texts = ["x###", "\u0130$$$ a", "it's. a 're, <|endoftext|>. A<|endoftext|>, <|ENDOFTEXT|>", " A.\n", "\u00c9t\u00e9&&& E\u0301."]
+    texts += [chr(i) + "a" + chr(i) + "b, " + chr(i) for i in range(0x20, 0x3100)]
+    texts += ["".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 30))) for _ in range(20000)]
+    want = [own.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert [np.frombuffer(i, "<u4").tolist() for i in chunked.ids(texts)] == want
+    learnt = []
+    chunked.learn_words = lambda words, tokenizer, learn=chunked.learn_words: (learnt.extend(words), learn(words, tokenizer))
+    chunked.encode = lambda parts: [learnt.append(part) for part in parts]  # no calls for single chunks
+    chunked.chunks.update({".": b"", "!!": b""})
+    chunked.ids(["Novelword. novelword", "novelword!! NOVELWORD"])
+    assert learnt == ["novelword"]
