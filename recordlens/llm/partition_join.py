@@ -57,6 +57,7 @@ PART_SETS = 20_000
 PAIRS_A_SET = 32
 SHINGLES_AT_ONCE = 4096
 TALLY = 128
+MEMBER = np.dtype([("k", np.uint64), ("p", np.int64)])
 
 
 @lru_cache
@@ -194,21 +195,32 @@ def measured(documents: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return out.withColumn("id", F.col("id").cast("long"))
 
 
+def sorted_pairs(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of key and class, in order; plain columns, which sort faster than records."""
+    order = np.lexsort((prints, keys))
+    keys, prints = keys[order], prints[order]
+    fresh = np.ones(len(keys), dtype=bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (prints[1:] != prints[:-1])
+    return keys[fresh], prints[fresh]
+
+
 def key_runs(documents: DataFrame, text: str, size: int, percent: int, parts: int) -> DataFrame:
     """part, run, keys, prints: sorted runs of (key, class) cut by part."""
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, run, keys, prints, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def rows() -> pd.DataFrame:
-            pairs = np.unique(np.rec.fromarrays([np.concatenate(keys), np.concatenate(prints)], names="k,p"))
-            part = (pairs.k >> np.uint64(8)) % np.uint64(parts)
+            k, p = sorted_pairs(np.concatenate(keys), np.concatenate(prints))
+            keys.clear()
+            prints.clear()
+            part = (k >> np.uint64(8)) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
-            pairs, part = pairs[order], part[order]
+            k, p, part = k[order], p[order], part[order]
             at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             ends = np.append(at[1:], len(part))
             return pd.DataFrame({"part": part[at].astype(np.int64), "run": (task << 20) + run,
-                                 "keys": [pairs.k[a:b].tobytes() for a, b in zip(at, ends)],
-                                 "prints": [pairs.p[a:b].tobytes() for a, b in zip(at, ends)]})
+                                 "keys": [k[a:b].tobytes() for a, b in zip(at, ends)],
+                                 "prints": [p[a:b].tobytes() for a, b in zip(at, ends)]})
 
         for batch in batches:
             for members in sets_of(list(batch["text"]), size):
@@ -219,7 +231,7 @@ def key_runs(documents: DataFrame, text: str, size: int, percent: int, parts: in
                     held += len(own)
                 if held >= RUN_KEYS:
                     yield rows()
-                    run, keys, prints, held = run + 1, [], [], 0
+                    run, held = run + 1, 0
         if held:
             yield rows()
 
@@ -231,45 +243,41 @@ class KeyTable:
     """Classes by key: all of a key's classes up to POPULAR, a mark beyond it."""
 
     def __init__(self):
-        self.pairs = np.zeros(0, dtype=[("k", np.uint64), ("p", np.int64)])
+        self.keys, self.prints = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.popular = np.zeros(0, np.uint64)
-        self.waiting: list[np.ndarray] = []
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
 
     def add(self, keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
         """Takes a run; returns the members of popular keys that came to light."""
-        out = []
+        out = [np.zeros(0, MEMBER)]
         if len(self.popular):
             at = np.minimum(np.searchsorted(self.popular, keys), len(self.popular) - 1)
             known = self.popular[at] == keys
-            out.append(np.rec.fromarrays([keys[known], prints[known]], dtype=self.pairs.dtype))
+            out.append(np.rec.fromarrays([keys[known], prints[known]], dtype=MEMBER))
             keys, prints = keys[~known], prints[~known]
-        self.waiting.append(np.rec.fromarrays([keys, prints], dtype=self.pairs.dtype))
+        self.waiting.append((keys, prints))
         self.held += len(keys)
-        if self.held > max(len(self.pairs), 100_000):
+        if self.held > max(len(self.keys), 100_000):
             out.append(self.settle())
-        return np.concatenate([np.asarray(o) for o in out]) if out else self.pairs[:0]
+        return np.concatenate([np.asarray(o) for o in out])
 
     def settle(self) -> np.ndarray:
         """Merges the waiting runs; members of keys that have become popular leave the table."""
-        merged = np.concatenate([self.pairs, *[np.asarray(w) for w in self.waiting]])
-        order = np.lexsort((merged["p"], merged["k"]))
-        merged = merged[order]
-        fresh = np.ones(len(merged), dtype=bool)
-        fresh[1:] = (merged["k"][1:] != merged["k"][:-1]) | (merged["p"][1:] != merged["p"][:-1])
-        merged = merged[fresh]
-        keys, counts = np.unique(merged["k"], return_counts=True)
+        runs, self.waiting, self.held = [(self.keys, self.prints), *self.waiting], [], 0
+        keys, prints = sorted_pairs(*map(np.concatenate, zip(*runs)))
+        begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])
+        counts = np.diff(np.append(begins, len(keys)))
         many = np.repeat(counts > POPULAR, counts)
-        self.popular = np.union1d(self.popular, keys[counts > POPULAR])
-        self.pairs, self.waiting, self.held = merged[~many], [], 0
-        return merged[many]
+        self.popular = np.union1d(self.popular, keys[begins[counts > POPULAR]])
+        self.keys, self.prints = keys[~many], prints[~many]
+        return np.rec.fromarrays([keys[many], prints[many]], dtype=MEMBER)
 
     def partners(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of classes under the keys that stayed small."""
-        keys, prints = self.pairs["k"], self.pairs["p"]
         for gap in range(1, POPULAR):
-            same = keys[gap:] == keys[:-gap]
-            yield prints[:-gap][same], prints[gap:][same]
+            same = self.keys[gap:] == self.keys[:-gap]
+            yield self.prints[:-gap][same], self.prints[gap:][same]
 
 
 def candidates(runs: DataFrame, parts: int) -> DataFrame:
@@ -298,7 +306,8 @@ def candidates(runs: DataFrame, parts: int) -> DataFrame:
         if part is not None:
             yield from finish()
 
-    dealt = runs.repartition(parts, "part").sortWithinPartitions("part", "run")
+    # A task has one part: dealt by hash several would share one, and a batch that goes to Python would hold them all.
+    dealt = runs.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "run")
     return dealt.mapInPandas(gather, "kind int, key long, a long, b long")
 
 

@@ -110,3 +110,28 @@ def test_closed_and_lowered_chunks_keep_their_ids():
     chunked.chunks.update({".": b"", "!!": b""})
     chunked.ids(["Novelword. novelword", "novelword!! NOVELWORD"])
     assert learnt == ["novelword"]
+
+
+def test_each_task_gathers_the_keys_of_one_part(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from recordlens.llm import partition_join
+
+    texts = spark.range(400).select(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.hash(i * 400 + F.col("id"))), " ").alias("text"))
+    runs = partition_join.key_runs(texts, "text", 4, 85, 24).cache()
+    assert runs.select("part").distinct().count() == 24
+    seen, deal = [], type(runs).mapInPandas
+    monkeypatch.setattr(type(runs), "mapInPandas", lambda self, f, schema: seen.append(self) or deal(self, f, schema))
+    partition_join.candidates(runs, 24)
+    tasks = seen[0].groupBy(F.spark_partition_id()).agg(F.countDistinct("part").alias("parts")).collect()
+    assert {t.parts for t in tasks} == {1} and len(tasks) == 24
+
+
+def test_sorted_pairs_equal_the_records():
+    from recordlens.llm import partition_join
+
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 5000):
+        keys, prints = rng.integers(0, 300, size).astype(np.uint64) << np.uint64(55), rng.integers(-9, 9, size)
+        got = partition_join.sorted_pairs(keys, prints)
+        assert list(zip(*(g.tolist() for g in got))) == sorted(set(zip(keys.tolist(), prints.tolist())))
