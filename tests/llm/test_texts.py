@@ -115,6 +115,21 @@ def test_null_sample_does_not_switch_with_the_size(spark):
         assert all([dict(rows)[r.doc_id][s.start:s.end] for s in r.spans] == [key] for r in found)
 
 
+def test_every_token_of_a_whole_text_is_tested(spark):
+    """Words behind the head are drawn, keys that reach beyond a fixed span and keys of letters alone are tested."""
+    plain = "The quick brown fox jumps over the lazy dog, and nobody saw where it went."
+    key = "Zk3v9QpLw81xTnB6yHs0RdJm47cUaEfG"
+    held = f"Zk3v9QpLw81xTnBX{HEX}yHs0RdJm47cUaEfGqXo5"
+    letters = "".join(np.random.default_rng(9).choice(list("abcdefghijklmnopqrstuvwxyz"), 200))
+    hexes = f"{plain} {HEX}{HEX[::-1]}"
+    late = f"{'1 22 333 ' * 600}{key} {plain}"
+    for text, want in ((late, {"random": key}), (f"{plain} {held}", {"hex": HEX, "random": held}),
+                       (f"{plain} {letters}", {"random": letters}), (hexes, {"hex": HEX + HEX[::-1]}),
+                       (f"{plain} {'internationalization' * 3} {'Donaudampfschifffahrt' * 5}", {})):
+        row = secret_battery.find_secrets(frame(spark, [(0, text)], "doc_id long, text string")).first()
+        assert {s.kind: text[s.start:s.end] for s in row.spans} == want
+
+
 def test_battery_tells_random_from_words():
     rng = np.random.default_rng(8)
     symbols = list(secret_battery.ALPHABETS[4][1])
