@@ -79,6 +79,8 @@ class TableStore:
         place = jvm.org.apache.hadoop.fs.Path(f"{self.base}/claims/{run:012d}")
         fs = place.getFileSystem(conf)
         fs.mkdirs(place.getParent())
+        if fs.getUri().getScheme() == "file":  # whose create looks first and creates then, so two runs could succeed
+            return jvm.java.io.File(place.toUri().getPath()).createNewFile()
         try:
             fs.create(place, False).close()
             return True
